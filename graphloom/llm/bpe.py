@@ -7,7 +7,6 @@ codes. A word crosses the cluster once for each block that has it, however often
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,23 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh32_intdigest
 
-from graphloom.llm.common import id_text, slices
-from graphloom.plans.staging import shared_dir
+from graphloom.llm.blocks import block_table, pack, unpack
 
-#: Bytes of text in a block (or one document, if that is longer), and distinct words that one bucket of the table takes.
-BLOCK_TEXT, BUCKET_WORDS = 24 << 20, 300_000
-_BLOCKS = "block long, doc_ids array<long>, counts binary, codes binary, n_words long, hashes binary, words binary"
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Compressed, the bytes of equal weight together."""
-    raw = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(raw.tobytes(), 3)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+#: Bytes of text in a block (or one document, if that is longer), distinct words that one bucket of
+#: the table takes, and bytes of text that are split at once.
+BLOCK_TEXT, BUCKET_WORDS, PART_TEXT = 24 << 20, 150_000, 4 << 20
+_BLOCKS = "doc_ids array<long>, counts binary, codes binary, n_words long, words binary"
 
 
 def _join(words: pa.Array) -> bytes:
@@ -46,18 +34,30 @@ def split_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa
 
     Words are parted by the six ASCII spaces, across which the tokenizer forms no token.
     """
-    lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
-    flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
-    there = pc.greater(pc.binary_length(flat), 0)
-    flat, parent = flat.filter(there), parent.filter(there)
-    counts = np.bincount(parent.to_numpy().astype(np.int64), minlength=len(texts)) if len(parent) else np.zeros(len(texts), np.int64)
-    coded = flat.dictionary_encode()
-    words = coded.dictionary
-    hashes = np.fromiter((xxh32_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint32, len(words))
+    texts = texts.cast(pa.string())
+    counts, coded = [], []
+    step = max(1, int(len(texts) * PART_TEXT // max(1, pc.sum(pc.binary_length(texts)).as_py() or 1)))
+    for at in range(0, len(texts), step):
+        part = texts[at : at + step]
+        lists = pc.ascii_split_whitespace(part)
+        flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
+        there = pc.greater(pc.binary_length(flat), 0)
+        counts.append(np.bincount(parent.filter(there).to_numpy().astype(np.int64), minlength=len(part)))
+        coded.append(flat.filter(there).dictionary_encode())
+    if not coded:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), pa.array([], pa.string())
+    one = pa.chunked_array(coded).unify_dictionaries()
+    words = one.chunk(0).dictionary
+    codes = np.concatenate([c.indices.to_numpy() for c in one.chunks])
+    hashes = word_hashes(words.cast(pa.binary()).to_pylist())
     order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(words), np.int64)
+    rank = np.empty(len(words), np.uint32)
     rank[order] = np.arange(len(words))
-    return counts, rank[coded.indices.to_numpy()], hashes[order], words.take(pa.array(order))
+    return np.concatenate(counts), rank[codes], hashes[order], words.take(pa.array(order))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
 
 
 def encode_words(words: list[str], tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -106,36 +106,24 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     if _load(saved).decoder is not None:
         raise ValueError("a vocabulary with a decoder of its own is not supported")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in slices(batch, limit=BLOCK_TEXT):
-                counts, codes, hashes, words = split_block(part.column("text"))
-                ids = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-                cols = [[number], ids, [_pack(counts)], [_pack(codes)], [len(words)], [hashes.tobytes()], [_join(words)]]
-                names = [x.split()[0] for x in _BLOCKS.split(", ")]
-                kinds = [pa.int64(), None, pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([c if k is None else pa.array(c, k) for c, k in zip(cols, kinds)], names)
-                number += 1
+    def split(part: pa.RecordBatch) -> list:
+        counts, codes, _, words = split_block(part.column("text"))
+        ids = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+        return [ids, pack(counts.astype("<u4")), pack(codes.astype("<u4")), len(words), _join(words)]
 
     # Bucketed by block, so that the codes, the largest part, are never shuffled.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"graphloom_blocks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/graphloom/{name}"
-    id_text(docs).mapInArrow(split, _BLOCKS).write.format("parquet").bucketBy(n, "block").option("path", path).saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = block_table(docs, BLOCK_TEXT, split, _BLOCKS)
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     n_buckets = max(n, -(-total // BUCKET_WORDS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, hashes, words in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "words"))):
-                found = np.frombuffer(hashes, np.uint32)
-                if not len(found):
+            for block, words in zip(*(batch.column(c).to_pylist() for c in ("block", "words"))):
+                held = zstandard.decompress(words).split(b"\n")
+                if held == [b""]:
                     continue
-                held = pa.array(zstandard.decompress(words).split(b"\n"), pa.binary())
+                found, held = word_hashes(held), pa.array(held, pa.binary())
                 bucket = (found.astype(np.uint64) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=n_buckets))
                 made = [_join(held[a:b]) for a, b in zip(cuts, cuts[1:])]
@@ -156,8 +144,8 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for x in lists:
                 own = codes[at : at + len(x)]
                 at += len(x)
-                lens.append(_pack(lengths[own]))
-                idss.append(_pack(ids[ragged(lengths, own)]))
+                lens.append(pack(lengths[own].astype("<u4")))
+                idss.append(pack(ids[ragged(lengths, own)].astype("<u4")))
             cols = [pa.array([now] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int64()), pa.array(lens, pa.binary()), pa.array(idss, pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["bucket", "block", "lengths", "ids"])
 
@@ -173,7 +161,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             yield table(held)
 
     looked = (
-        blocks.select("block", "hashes", "words").mapInArrow(deal, "bucket long, block long, words binary")
+        blocks.select("block", "words").mapInArrow(deal, "bucket long, block long, words binary")
         .repartition(n, "bucket").sortWithinPartitions("bucket", "block")
         .mapInArrow(look_up, "bucket long, block long, lengths binary, ids binary")
     )
@@ -186,13 +174,13 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for row in range(batch.num_rows):
                 doc_ids, counts, codes, found = (batch.column(c)[row].as_py() for c in ("doc_ids", "counts", "codes", "found"))
                 found = sorted(found or [], key=lambda x: x["bucket"])
-                lengths = np.concatenate([np.zeros(0, np.int64), *(_unpack(x["lengths"]) for x in found)]).astype(np.int64)
-                ids = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x["ids"]) for x in found)])
-                counts, codes = _unpack(counts).astype(np.int64), _unpack(codes).astype(np.int64)
+                lengths = np.concatenate([np.zeros(0, np.int64), *(unpack(x["lengths"], "<u4") for x in found)]).astype(np.int64)
+                ids = np.concatenate([np.zeros(0, np.uint32), *(unpack(x["ids"], "<u4") for x in found)])
+                counts, codes = unpack(counts, "<u4").astype(np.int64), unpack(codes, "<u4").astype(np.int64)
                 ends = np.cumsum(counts)
                 start = 0
                 while start < len(doc_ids):  # a few MB of words at a time
-                    stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 400_000)))
+                    stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 200_000)))
                     lo, hi = int(ends[start - 1]) if start else 0, int(ends[stop - 1])
                     own = codes[lo:hi]
                     got = ids[ragged(lengths, own)].astype("<u4")
@@ -210,6 +198,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"])
                     start = stop
+                pa.default_memory_pool().release_unused()
 
     return joined.mapInArrow(put_back, "doc_id long, n_tokens long, ids binary, decoded string")
 
