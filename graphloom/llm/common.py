@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one unit of work holds at most, unless a single document is longer.
@@ -23,7 +24,7 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes, one row at least."""
     texts = batch.column(column)
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()]
+    sizes = [0 if n is None else n for n in pc.binary_length(texts).to_pylist()]
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:

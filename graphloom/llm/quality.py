@@ -6,7 +6,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import carried_schema, id_text

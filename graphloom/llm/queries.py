@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, language, lm_score, mixing, pii, piecewise, quality, secrets, simhash
+from graphloom.llm import bpe, language, lm_score, mixing, pii, piecewise, quality, secrets, simhash, suffix_dedup
 from graphloom.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), with_text=False)
 
@@ -57,7 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_bpe, op4_lm_score, op5_secrets, op6_mixing, op7_language, op8_piecewise, op9_simhash, op10_pii)
+    f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_bpe, op4_lm_score, op5_secrets, op6_mixing, op7_language, op8_piecewise, op9_simhash, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {}
