@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import id_text, slices
+from graphloom.llm.common import give_back, id_text, slices
 from graphloom.plans.staging import shared_dir
 
 
@@ -37,11 +37,12 @@ def block_table(docs: DataFrame, limit: int, make: Callable[[pa.RecordBatch], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, limit=limit):
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *(x if isinstance(x, pa.Array) else pa.array([x]) for x in make(part))], names)
-                pa.default_memory_pool().release_unused()
+                give_back()
                 number += 1
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ codes. A word crosses the cluster once for each block that has it, however often
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ from tokenizers import Tokenizer
 from xxhash import xxh32_intdigest
 
 from graphloom.llm.blocks import block_table, pack, unpack
+from graphloom.llm.common import give_back
 
 #: Bytes of text in a block (or one document, if that is longer), distinct words that one bucket of
 #: the table takes, and bytes of text that are split at once.
-BLOCK_TEXT, BUCKET_WORDS, PART_TEXT = 24 << 20, 150_000, 4 << 20
+BLOCK_TEXT, BUCKET_WORDS, PART_TEXT = 16 << 20, 150_000, 4 << 20
 _BLOCKS = "doc_ids array<long>, counts binary, codes binary, n_words long, words binary"
 
 
@@ -71,7 +73,9 @@ def encode_words(words: list[str], tokenizer: Tokenizer) -> tuple[np.ndarray, np
     return lengths, np.array(flat, np.uint32)
 
 
+@lru_cache(2)
 def _load(saved: str) -> Tokenizer:
+    """Once in a Python worker."""
     tokenizer = Tokenizer.from_str(saved)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -134,6 +138,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     shipped = spark.sparkContext.broadcast(saved)  # the vocabulary file: a few MB, whatever the data
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tokenizer = _load(shipped.value)
 
         def table(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -155,6 +160,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 if bucket != now and held:
                     yield table(held)
                     held = []
+                    give_back()
                 now = bucket
                 held.append((block, words))
         if held:
@@ -169,6 +175,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     joined = blocks.select("block", "doc_ids", "counts", "codes").join(back, "block", "left").select("doc_ids", "counts", "codes", "found")
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         pieces = piece_table(_load(shipped.value))
         for batch in batches:
             for row in range(batch.num_rows):
@@ -198,7 +205,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"])
                     start = stop
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     return joined.mapInArrow(put_back, "doc_id long, n_tokens long, ids binary, decoded string")
 

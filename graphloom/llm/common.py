@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,3 +46,28 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def carried_schema(docs: DataFrame, carry: tuple[str, ...]) -> str:
     """Columns that pass through an operator unread, as the end of a schema string."""
     return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to give large arrays and free memory back at once; None where it isn't glibc.
+
+    Arrow then allocates through it as well, and native tokenizer threads, each with an arena of its own, stay off.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    try:
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 18), (-1, 1 << 20), (-8, 2)):  # mmap and trim thresholds, arenas
+            libc.mallopt(option, value)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        return None
+    pa.set_memory_pool(pa.system_memory_pool())
+    return libc
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the machine; workers live on from task to task."""
+    if libc := _libc():
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.blocks import block_table, pack, unpack
-from graphloom.llm.common import raw_texts
+from graphloom.llm.common import give_back, raw_texts
 from graphloom.plans.staging import stage_table
 
 WINDOW, GRAM = 50, 20
@@ -204,7 +204,7 @@ def window_masks(rows: np.ndarray, key: np.ndarray, docs: np.ndarray) -> np.ndar
     k = key[by_key]
     many = np.flatnonzero(np.append(k[1:] == k[:-1], False) | np.insert(k[1:] == k[:-1], 0, False)) if len(k) > 1 else np.zeros(0, np.int64)
     by_key, k = by_key[many], k[many]
-    step = max(1, 2_000_000 // places)
+    step = max(1, 500_000 // places)
     cuts = np.flatnonzero(np.diff(k, prepend=k[:1] + np.uint64(1))) if len(k) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(k))
     a = 0
@@ -332,10 +332,11 @@ def _open(doc_ids: list, lengths: bytes, body: bytes) -> Block:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    give_back()
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(batch.column(c)[i].as_py() for c in names)
-        pa.default_memory_pool().release_unused()
+            give_back()
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
