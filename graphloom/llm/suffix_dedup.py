@@ -31,7 +31,7 @@ LEFT = PLACES - 1
 #: Bytes around an anchor that its windows can cover, the anchor's own starting at LEFT.
 SPAN = LEFT + WINDOW
 #: Bytes of text in a block; entries that a bucket takes; contexts from which on an anchor sends windows.
-BLOCK_TEXT, BUCKET_ENTRIES, HOT = 4 << 20, 400_000, 4096
+BLOCK_TEXT, BUCKET_ENTRIES, HOT = 4 << 20, 200_000, 128
 #: No byte of UTF-8: between documents, and where a context has no window.
 GAP = 0xFF
 _BASE = np.uint64(0x9E3779B97F4A7C15)
