@@ -1,4 +1,285 @@
-"""Queries by name and their SQL counterparts."""
+"""The engine's operators as queries over the test tables, and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from graphloom.functions.hashing import duration, edge_key, edge_rank, mix64
+from graphloom.operators import kernels, log as mlog, metrics, reads, workload
+from graphloom.operators.graph import Graph
+from graphloom.plans.fixtures import LOG, copurchase, log, snap_sql, table, und_sql
+from graphloom.sources.files import dense_remap
+from graphloom.streaming.ingest import window_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+CO, CO45, CO49 = (f"with recursive {und_sql(x)}" for x in (0, 45, 49))
+SNAP = f"with recursive {snap_sql()}"
+EARLY = f"with recursive {snap_sql('5000')}"
+
+
+def _snap(s: SparkSession, d: str, version: int | None = None) -> Graph:
+    return mlog.graph_at(log(s, d), version)
+
+
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    """Every part id: probes, of which some are no vertices."""
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"))
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+PAIRS = "pairs as (select distinct l_partkey src, l_suppkey dst from lineitem where l_partkey <> l_suppkey)"
+
+# Reads
+
+query("degree", f"{CO45} select id, degree from deg")(lambda s, d: copurchase(s, d, 45).degrees())
+query("degree_histogram", f"{CO} select degree, count(*) n from deg group by 1")(lambda s, d: copurchase(s, d, 0).degrees().groupBy("degree").agg(F.count("*").alias("n")))
+query("num_vertices_edges", f"{SNAP} select (select count(*) from v) vertices, (select count(*) from und) edges")(
+    lambda s, d: _snap(s, d).vertices.agg(F.count("*").alias("vertices")).crossJoin(_snap(s, d).edges.agg(F.count("*").alias("edges")))
+)
+query("logical_ids", f"{CO45} select id, row_number() over (order by id) - 1 logical_id from v")(lambda s, d: copurchase(s, d, 45).logical_ids())
+query("has_vertex_probe", f"{CO49} select p_partkey id, p_partkey in (select id from v) found from part")(lambda s, d: reads.has_vertex(copurchase(s, d, 49), _parts(s, d)))
+query("has_edge_probe", f"{CO}, {PAIRS} select src, dst, und.lo is not null found from pairs left join und on least(src, dst) = lo and greatest(src, dst) = hi")(
+    lambda s, d: reads.get_edges(copurchase(s, d, 0), _pairs(s, d)).select("src", "dst", "found")
+)
+query("get_weight_probe", f"{CO}, {PAIRS} select src, dst, und.weight from pairs left join und on least(src, dst) = lo and greatest(src, dst) = hi")(
+    lambda s, d: reads.get_edges(copurchase(s, d, 0), _pairs(s, d)).select("src", "dst", F.col("found_weight").alias("weight"))
+)
+query("has_weighted_edge_probe", f"{CO}, {PAIRS} select src, dst, coalesce(und.weight = 1, false) found from pairs left join und on least(src, dst) = lo and greatest(src, dst) = hi")(
+    lambda s, d: reads.get_edges(copurchase(s, d, 0), _pairs(s, d)).select("src", "dst", F.coalesce(F.col("found_weight") == 1, F.lit(False)).alias("found"))
+)
+query("scan_neighbors_sum", f"{CO} select src id, count(*) n, sum(dst) dst_sum, round(sum(weight), 6) weight_sum from adj join part on src = p_partkey group by 1")(
+    lambda s, d: reads.neighbors(copurchase(s, d, 0), _parts(s, d)).groupBy("id").agg(F.count("*").alias("n"), F.sum("dst").alias("dst_sum"), F.round(F.sum("weight"), 6).alias("weight_sum"))
+)
+query("neighbors_sorted", f"{CO45} select src id, string_agg(dst::varchar, ',' order by dst) neighbors from adj join part on src = p_partkey group by 1")(
+    lambda s, d: reads.sorted_neighbors(copurchase(s, d, 45), _parts(s, d)).select("id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("neighbors"))
+)
+query("neighbors_until", f"{CO} select src id, min(case when weight >= 10 and dst > 100 then dst end) is not null stopped, min(case when weight >= 10 and dst > 100 then dst end) \"first\" from adj join part on src = p_partkey group by 1")(
+    lambda s, d: reads.until(copurchase(s, d, 0), _parts(s, d), (F.col("weight") >= 10) & (F.col("dst") > 100))
+)
+query(
+    "neighbor_intersection",
+    f"{CO} select lo a, hi b, (select count(*) from adj x join adj y on x.dst = y.dst where x.src = lo and y.src = hi) common from und",
+)(lambda s, d: reads.intersections(copurchase(s, d, 0), copurchase(s, d, 0).edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))))
+query("edges_newest_first", f"{SNAP} select lo, hi, row_number() over (partition by lo order by seq desc) place from und")(
+    lambda s, d: mlog.snapshot(log(s, d)).selectExpr("lo", "hi", "row_number() over (partition by lo order by seq desc) place")
+)
+query("aggregate_neighbors", f"{CO45} select dst id, max(degree) \"value\" from adj join deg on deg.id = src group by 1")(
+    lambda s, d: reads.aggregate_neighbors(copurchase(s, d, 45), copurchase(s, d, 45).degrees(), F.col("degree"), F.max("message"))
+)
+query("microbench_scan", f"{CO} select count(*) valid_sum, sum(dst) \"sum\" from adj join part on src = p_partkey")(
+    lambda s, d: reads.neighbors(copurchase(s, d, 0), _parts(s, d)).agg(F.count("*").alias("valid_sum"), F.sum("dst").alias("sum"))
+)
+query("microbench_get_edge", f"{CO}, {PAIRS} select count(*) probes, count(und.lo) valid_sum from pairs left join und on least(src, dst) = lo and greatest(src, dst) = hi")(
+    lambda s, d: reads.get_edges(copurchase(s, d, 0), _pairs(s, d)).agg(F.count("*").alias("probes"), F.count(F.when(F.col("found"), 1)).alias("valid_sum"))
+)
+
+# Kernels
+
+
+def pagerank_sql(head: str, rounds: int = 10, d: float = 0.85) -> str:
+    steps = ["r0 as materialized (select id, degree, 1.0::double / (select count(*) from v) as pr from deg)"]
+    for i in range(rounds):
+        steps.append(
+            f"r{i + 1} as materialized (select r.id, r.degree, (1 - {d}::double) / (select count(*) from v) + {d}::double * (coalesce(s.got, 0) + (select coalesce(sum(pr), 0) from r{i} where degree = 0) / (select count(*) from v)) pr "
+            f"from r{i} r left join (select adj.dst id, sum(q.pr / q.degree) got from adj join r{i} q on q.id = adj.src group by 1) s on s.id = r.id)"
+        )
+    return f"{head}, {', '.join(steps)} select id, round(pr, 9) \"rank\" from r{rounds}"
+
+
+def bfs_sql(head: str, root: str = "(select min(id) from v)") -> str:
+    steps = f"reach(id, level) as (select {root}, 0 union select adj.dst, level + 1 from reach join adj on adj.src = reach.id where level < 40)"
+    return f"{head}, {steps} select v.id, coalesce(min(level), -1)::int level from v left join reach on v.id = reach.id group by 1"
+
+
+def sssp_sql(head: str, weight: str, rounds: int) -> str:
+    steps = ["d0 as materialized (select id, case when id = (select min(id) from v) then 0.0::double end distance from v)"]
+    for i in range(rounds):
+        steps.append(f"d{i + 1} as materialized (select d.id, least(d.distance, s.offer) distance from d{i} d left join (select adj.dst id, min(q.distance + {weight}) offer from adj join d{i} q on q.id = adj.src group by 1) s on s.id = d.id)")
+    return f"{head}, {', '.join(steps)} select id, round(distance, 6) distance from d{rounds} where distance is not null"
+
+
+def cdlp_sql(head: str, rounds: int = 10) -> str:
+    steps = ["l0 as materialized (select id, id label from v)"]
+    for i in range(rounds):
+        steps.append(
+            f"l{i + 1} as materialized (select l.id, coalesce(b.label, l.label) label from l{i} l left join (select src, label from (select src, label, row_number() over (partition by src order by count(*) desc, label) k from adj join l{i} q on q.id = adj.dst group by 1, 2) where k = 1) b on b.src = l.id)"
+        )
+    return f"{head}, {', '.join(steps)} select id, label from l{rounds}"
+
+
+WCC = ", reach(id, component) as (select id, id from v union select adj.dst, component from reach join adj on adj.src = reach.id where component < adj.dst), c as (select id, min(component) component from reach group by 1)"
+TRI = ", tri as (select a.lo x, a.hi y, b.hi z from und a join und b on a.hi = b.lo join und c on c.lo = a.lo and c.hi = b.hi), corner as (select x id from tri union all select y from tri union all select z from tri), t as (select id, count(*) triangles from corner group by 1)"
+
+
+def _root(g: Graph) -> int:
+    return kernels.default_root(g)
+
+
+@query("pagerank", pagerank_sql(CO45))
+def pagerank(s: SparkSession, d: str) -> DataFrame:
+    return kernels.pagerank(copurchase(s, d, 45)).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("pagerank_dangling", pagerank_sql(f"with recursive {und_sql(45).replace('v as (select lo id from und union select hi from und)', 'v as (select p_partkey id from part)')}"))
+def pagerank_dangling(s: SparkSession, d: str) -> DataFrame:
+    return kernels.pagerank(Graph(_parts(s, d), copurchase(s, d, 45).edges)).select("id", F.round("rank", 9).alias("rank"))
+
+
+query("pagerank_at_snapshot", pagerank_sql(EARLY))(lambda s, d: kernels.pagerank(_snap(s, d, 5000)).select("id", F.round("rank", 9).alias("rank")))
+query("bfs", bfs_sql(CO45))(lambda s, d: kernels.bfs(g := copurchase(s, d, 45), _root(g)))
+query("bfs_at_snapshot", bfs_sql(EARLY))(lambda s, d: kernels.bfs(g := _snap(s, d, 5000), _root(g)))
+query("sssp_weighted", sssp_sql(CO45, "adj.weight", 30))(lambda s, d: kernels.sssp(g := copurchase(s, d, 45), _root(g)).where("distance < double('inf')").select("id", F.round("distance", 6).alias("distance")))
+query("sssp_unit", sssp_sql(CO45, "1", 30))(lambda s, d: kernels.sssp(g := copurchase(s, d, 45), _root(g), weighted=False).where("distance < double('inf')").select("id", F.round("distance", 6).alias("distance")))
+query("wcc", f"{CO49}{WCC} select id, component from c")(lambda s, d: kernels.wcc(copurchase(s, d, 49)))
+query("component_sizes", f"{CO49}{WCC} select row_number() over (order by component) - 1 \"number\", component, count(*) size from c group by component")(
+    lambda s, d: kernels.component_numbers(kernels.wcc(copurchase(s, d, 49)))
+)
+query("cdlp", cdlp_sql(CO45))(lambda s, d: kernels.cdlp(copurchase(s, d, 45)))
+query("lcc", f"{CO}{TRI} select deg.id, round(case when degree > 1 then 2.0::double * coalesce(triangles, 0) / (degree * (degree - 1)) else 0 end, 9) lcc from deg left join t on t.id = deg.id")(
+    lambda s, d: kernels.lcc(copurchase(s, d, 0)).select("id", F.round("lcc", 9).alias("lcc"))
+)
+query("triangle_count", f"{CO}{TRI} select count(*) triangles from tri")(lambda s, d: kernels.triangle_count(copurchase(s, d, 0)))
+query("triangles_per_vertex", f"{CO}{TRI} select id, triangles from t")(lambda s, d: kernels.triangles(copurchase(s, d, 0)))
+
+# Log, snapshots and mutations
+
+query("snapshot_latest", f"{SNAP} select lo, hi, weight, seq from und")(lambda s, d: mlog.snapshot(log(s, d)))
+query("snapshot_asof", f"{EARLY} select lo, hi, weight, seq from und")(lambda s, d: mlog.snapshot(log(s, d), 5000))
+query("upsert_last_wins", f"with {LOG} select lo, hi, arg_max(weight, seq) weight, count(*) writes from plog where op = 'U' group by 1, 2")(
+    lambda s, d: mlog.paired(log(s, d)).where("op = 'U'").groupBy("lo", "hi").agg(F.max_by("weight", "seq").alias("weight"), F.count("*").alias("writes"))
+)
+query("edge_validity_intervals", f"with {LOG} select lo, hi, weight, seq created, nxt deleted from (select *, lead(seq) over (partition by lo, hi order by seq) nxt from plog) where op = 'U'")(lambda s, d: mlog.validity(log(s, d)))
+query("delete_semantics", f"with {LOG} select op, existed, count(*) n from (select op, coalesce(lag(op) over (partition by lo, hi order by seq) = 'U', false) existed from plog) group by 1, 2")(
+    lambda s, d: mlog.effects(log(s, d)).groupBy("op", "existed").agg(F.count("*").alias("n"))
+)
+
+
+def _new_edges(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select((F.col("o_custkey") % 100).alias("src"), (F.col("o_orderkey") % 130).alias("dst")).where("src <> dst").distinct().withColumn("weight", F.lit(1.0))
+
+
+NEW = "neu as (select distinct o_custkey % 100 src, o_orderkey % 130 dst, 1.0::double weight from orders where o_custkey % 100 <> o_orderkey % 130)"
+query("insert_if_absent", f"{SNAP}, {NEW} select src, dst, weight from neu where src in (select id from v) and dst in (select id from v) and not exists (select 1 from und where lo = least(src, dst) and hi = greatest(src, dst))")(
+    lambda s, d: mlog.insert_if_absent(log(s, d), _new_edges(s, d))
+)
+query("modify_existing", f"{SNAP}, {NEW} select src, dst, weight from neu where exists (select 1 from und where lo = least(src, dst) and hi = greatest(src, dst))")(
+    lambda s, d: mlog.modify_existing(log(s, d), _new_edges(s, d))
+)
+query("remove_vertex_cascade", f"{SNAP} select src id, count(*) removed from adj where src % 7 = 0 group by 1")(
+    lambda s, d: mlog.remove_vertices(g := _snap(s, d), g.vertices.where("id % 7 = 0"))[1]
+)
+query("remove_vertex_rest", f"{SNAP} select lo, hi, weight from und where lo % 7 <> 0 and hi % 7 <> 0")(
+    lambda s, d: mlog.remove_vertices(g := _snap(s, d), g.vertices.where("id % 7 = 0"))[0].edges
+)
+query("remove_isolated_vertex", f"with recursive {und_sql(45)} select p_partkey id, coalesce(degree, 0) = 0 removed from part left join deg on deg.id = p_partkey")(
+    lambda s, d: mlog.remove_isolated(Graph(_parts(s, d), copurchase(s, d, 45).edges), _parts(s, d))
+)
+query("compact_preserves_snapshot", f"with {snap_sql('7000')} select lo, hi, weight from und")(lambda s, d: mlog.snapshot(mlog.compact(log(s, d), 5000), 7000).select("lo", "hi", "weight"))
+query("conflict_detection", f"with {LOG} select distinct src from log where seq % 100 = 0 and src in (select src from log where seq > 9000)")(
+    lambda s, d: mlog.conflicts(log(s, d), log(s, d).where("seq % 100 = 0"), 9000)
+)
+query("multiedge_force_insert", f"with {LOG} select lo, hi, count(*) copies from plog where op = 'U' group by 1, 2")(
+    lambda s, d: mlog.paired(log(s, d)).where("op = 'U'").groupBy("lo", "hi").agg(F.count("*").alias("copies"))
+)
+query("labelled_edges", "select user_id src, event_type label, cast(json_extract_string(props, '$.k') as bigint) dst, arg_max(value, event_id) weight from events group by 1, 2, 3")(
+    lambda s, d: table(s, d, "events").groupBy(F.col("user_id").alias("src"), F.col("event_type").alias("label"), F.get_json_object("props", "$.k").cast("long").alias("dst")).agg(F.max_by("value", "event_id").alias("weight"))
+)
+query("vertex_payload_latest", "select user_id id, arg_max(event_type, event_id) payload from events where event_id <= 8000 group by 1 having arg_max(event_type, event_id) <> 'error'")(
+    lambda s, d: mlog.latest_payload(table(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", None).otherwise(F.struct("event_type")).alias("payload")), 8000).select("id", "payload.event_type").withColumnRenamed("event_type", "payload")
+)
+
+# Workloads
+
+for _kind, (_r, _m) in workload.MIXES.items():
+    _sql = ", ".join(f"(select count(*) from und) // {x} {n}" if x else f"0 {n}" for x, n in ((_r, "reinserts"), (_m, "modifies")))
+    query(f"mixed_round_counts_{_kind}", f"{CO45}, c as (select {_sql}) select reinserts, modifies, 2 * reinserts + modifies transactions from c")(
+        lambda s, d, k=_kind: workload.round_stats(workload.mixed_round(copurchase(s, d, 45).edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), k, 42, 1))
+    )
+query("hotset_plan_counts", "with p as (select unnest([0, 20, 40, 60, 80, 100]) percent), r as (select percent, 1001 h, case percent when 0 then 1001 // 2 when 100 then 0 else (1001 * (100 - percent) + 100) // 200 end reinserts from p) select percent, reinserts, h - 2 * reinserts updates from r")(
+    lambda s, d: s.createDataFrame([(p, *workload.hot_plan(1001, p)) for p in (0, 20, 40, 60, 80, 100)], "percent int, reinserts int, updates int")
+)
+query("hotset_rounds", "select f fraction, ceil(5 / f)::int rounds from (select unnest([0.01, 0.1, 0.5, 1.0])::double f)")(
+    lambda s, d: s.createDataFrame([(f, workload.hot_rounds(f)) for f in (0.01, 0.1, 0.5, 1.0)], "fraction double, rounds int")
+)
+
+
+def _churned(s: SparkSession, d: str) -> DataFrame:
+    return workload.churn(copurchase(s, d, 45), 11)
+
+
+query("churn_invariants", f"{CO45} select count(*) edges, count(*) replaced, count(*) distinct_pairs, 0::bigint present from und")(
+    lambda s, d: _churned(s, d).join(copurchase(s, d, 45).edges.select("lo", "hi", F.lit(1).alias("old")), (F.least("src", "new_dst") == F.col("lo")) & (F.greatest("src", "new_dst") == F.col("hi")), "left")
+    .agg(F.count("*").alias("edges"), F.count("new_dst").alias("replaced"), F.count_distinct(F.least("src", "new_dst"), F.greatest("src", "new_dst")).alias("distinct_pairs"), F.count("old").alias("present"))
+)
+query("split_update", f"with {LOG} select seq * 2 + k seq, case k when 0 then 'D' else 'U' end op, src, dst, weight from log, (select unnest([0, 1]) k)")(lambda s, d: workload.split_updates(log(s, d)))
+query("repeat_writes", f"with {LOG} select turn, case turn when 1 then dst else src end src, case turn when 1 then src else dst end dst, weight from log, (select unnest([0, 1, 2]) turn)")(lambda s, d: workload.repeat_writes(log(s, d), 3))
+query("insert_stream_general_split", f"{CO45}, n as (select count(*) e from und) select 'load' part, floor(0.8 * e)::bigint n from n union all select 'insert', e - floor(0.8 * e)::bigint from n")(
+    lambda s, d: workload.general_split(copurchase(s, d, 45).edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), 5).groupBy("part").agg(F.count("*").alias("n"))
+)
+for _high in (True, False):
+    query(
+        f"{'high' if _high else 'low'}_degree_stream",
+        f"{CO}, p as (select id, degree from deg order by degree {'desc' if _high else ''}, id limit (select greatest(1, ceil(0.01 * count(*)))::bigint from v)) select lo, hi, weight from und join p on p.id = lo where p.degree {'> 20' if _high else '< 30'}",
+    )(lambda s, d, h=_high: workload.by_degree(copurchase(s, d, 0), h, 0.01, 20 if h else 30))
+query("degree_cdf", f"{CO}, h as (select degree, count(*) n from deg group by 1) select degree, sum(n) over (order by degree)::bigint at_most from h")(
+    lambda s, d: copurchase(s, d, 0).degrees().groupBy("degree").agg(F.count("*").alias("n")).selectExpr("degree", "sum(n) over (order by degree) at_most")
+)
+query("dedup_last", f"with {LOG} select src, dst, arg_max(weight, seq) weight from log group by 1, 2")(lambda s, d: log(s, d).groupBy("src", "dst").agg(F.max_by("weight", "seq").alias("weight")))
+query("dense_remap", f"with {LOG}, f as (select id, min(k) k from (select src id, 2 * seq k from log union all select dst, 2 * seq + 1 from log) group by 1) select id, row_number() over (order by k) - 1 dense from f")(lambda s, d: dense_remap(log(s, d)))
+query("ntile_batches", "select batch, count(*) n from (select event_id * 32 // (select count(*) from events) + 1 batch from events) group by 1")(
+    lambda s, d: workload.batches(table(s, d, "events"), "event_id").groupBy("batch").agg(F.count("*").alias("n"))
+)
+query("edge_keys", f"{CO45} select lo, hi, (lo << 32) | hi \"key\" from und")(lambda s, d: copurchase(s, d, 45).edges.select("lo", "hi", edge_key("lo", "hi").alias("key")))
+query("graphlog_replay", f"with {LOG}, r as (select *, case when op = 'D' then -1.0 else weight end w from plog) select lo, hi, arg_max(w, seq) weight from r group by 1, 2 having arg_max(w, seq) >= 0")(
+    lambda s, d: mlog.snapshot(log(s, d).withColumn("w", F.when(F.col("op") == "D", -1.0).otherwise(F.col("weight"))).select("seq", F.when(F.col("w") < 0, "D").otherwise("U").alias("op"), "src", "dst", F.col("w").alias("weight"))).select("lo", "hi", "weight")
+)
+query("read_window", f"with {LOG}, m as (select max(seq) m from log) select seq, op, src, dst from log, m where seq > 0.1 * m and seq < 0.9 * m")(
+    lambda s, d: log(s, d).crossJoin(log(s, d).agg(F.max("seq").alias("m"))).where("seq > 0.1D * m and seq < 0.9D * m").select("seq", "op", "src", "dst")
+)
+
+# Metrics and streams
+
+query("latency_summary", "select event_type algorithm, count(*) executions, (sum(floor(value * 1000)::bigint) // count(*)) / 1000 mean_ms from events group by 1")(
+    lambda s, d: metrics.latency(table(s, d, "events").select(F.col("event_type").alias("algorithm"), F.floor(F.col("value") * 1000).alias("micros")))
+)
+SERIES = "smp as (select user_id series, event_id time, value, case when event_type in ('error', 'signup') then event_type end marker from events)"
+
+
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("time"), "value", F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")).alias("marker"))
+
+
+query("phase_summary", f"with {SERIES}, m as (select *, last_value(marker ignore nulls) over (partition by series order by time rows between unbounded preceding and current row) last_marker, first_value(value) over (partition by series order by time) baseline from smp) select series, last_marker, min(time) \"begin\", max(time) - min(time) held, round(max(value - baseline), 6) peak from m where last_marker is not null group by 1, 2")(
+    lambda s, d: metrics.phases(_samples(s, d)).withColumn("peak", F.round("peak", 6))
+)
+query("interp_grid", f"with {SERIES}, e as (select series, min(time) t0, max(time) t1 from smp group by 1 having min(time) < max(time)), p as (select series, (time - t0)::double / (t1 - t0) p, value, lead((time - t0)::double / (t1 - t0)) over (partition by series order by time) q, lead(value) over (partition by series order by time) nxt from smp join e using (series)), g as (select unnest(range(0, 21)) step) select series, step, round(value + (nxt - value) * (step / 20.0::double - p) / (q - p), 6) \"value\" from p join g on step / 20.0::double >= p and (step / 20.0::double < q or (q = 1 and step = 20)) where q is not null")(
+    lambda s, d: metrics.on_grid(_samples(s, d), 20).withColumn("value", F.round("value", 6))
+)
+query("stream_window_counts", "select date_trunc('hour', ts) \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")(
+    lambda s, d: window_counts(table(s, d, "events")).withColumn("total", F.round("total", 4))
+)
+query("duration_format", "select event_id, case when value < 60 then printf('%.1fs', value) when value < 3600 then printf('%dm %ds', floor(value)::bigint // 60, floor(value)::bigint % 60) else printf('%dh %dm', floor(value)::bigint // 3600, floor(value)::bigint % 3600 // 60) end shown from (select event_id, floor(value * 10) + 0.0::double value from events)")(
+    lambda s, d: table(s, d, "events").select("event_id", (F.floor(F.col("value") * 10) + F.lit(0.0)).alias("v")).select("event_id", duration("v").alias("shown"))
+)
+query("hotset_select")(lambda s, d: workload.hot_edges(copurchase(s, d, 45).edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), 0.05, 42))
+query("hotset_gen")(lambda s, d: workload.edges_at(copurchase(s, d, 45), workload.weighted_vertices(copurchase(s, d, 45), 0.01, 42)))
+query("hotset_updates")(lambda s, d: workload.hot_updates(workload.hot_edges(copurchase(s, d, 45).edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), 0.05, 42), 1000, 7))
+query("mixhash")(lambda s, d: table(s, d, "events").select("event_id", mix64("event_id").alias("mixed"), edge_rank("user_id", "event_id", F.lit(42)).alias("rank")))
