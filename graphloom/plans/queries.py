@@ -65,7 +65,7 @@ query("get_weight_probe", f"{CO}, {PAIRS} select src, dst, und.weight from pairs
 query("has_weighted_edge_probe", f"{CO}, {PAIRS} select src, dst, coalesce(und.weight = 1, false) found from pairs left join und on least(src, dst) = lo and greatest(src, dst) = hi")(
     lambda s, d: reads.get_edges(copurchase(s, d, 0), _pairs(s, d)).select("src", "dst", F.coalesce(F.col("found_weight") == 1, F.lit(False)).alias("found"))
 )
-query("scan_neighbors_sum", f"{CO} select src id, count(*) n, sum(dst) dst_sum, round(sum(weight), 6) weight_sum from adj join part on src = p_partkey group by 1")(
+query("scan_neighbors_sum", f"{CO} select src id, count(*) n, sum(dst)::bigint dst_sum, round(sum(weight), 6) weight_sum from adj join part on src = p_partkey group by 1")(
     lambda s, d: reads.neighbors(copurchase(s, d, 0), _parts(s, d)).groupBy("id").agg(F.count("*").alias("n"), F.sum("dst").alias("dst_sum"), F.round(F.sum("weight"), 6).alias("weight_sum"))
 )
 query("neighbors_sorted", f"{CO45} select src id, string_agg(dst::varchar, ',' order by dst) neighbors from adj join part on src = p_partkey group by 1")(
@@ -84,7 +84,7 @@ query("edges_newest_first", f"{SNAP} select lo, hi, row_number() over (partition
 query("aggregate_neighbors", f"{CO45} select dst id, max(degree) \"value\" from adj join deg on deg.id = src group by 1")(
     lambda s, d: reads.aggregate_neighbors(copurchase(s, d, 45), copurchase(s, d, 45).degrees(), F.col("degree"), F.max("message"))
 )
-query("microbench_scan", f"{CO} select count(*) valid_sum, sum(dst) \"sum\" from adj join part on src = p_partkey")(
+query("microbench_scan", f"{CO} select count(*) valid_sum, sum(dst)::bigint \"sum\" from adj join part on src = p_partkey")(
     lambda s, d: reads.neighbors(copurchase(s, d, 0), _parts(s, d)).agg(F.count("*").alias("valid_sum"), F.sum("dst").alias("sum"))
 )
 query("microbench_get_edge", f"{CO}, {PAIRS} select count(*) probes, count(und.lo) valid_sum from pairs left join und on least(src, dst) = lo and greatest(src, dst) = hi")(
