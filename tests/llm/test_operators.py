@@ -257,7 +257,7 @@ def test_pipeline(spark, tmp_path):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(rng.choice(words, 80)) + "." for _ in range(12)]
-    made = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts + texts[:4] + ["too short", None])]
+    made = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts + texts[:4] + ["too short", None])]
     spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     names = spark.read.parquet(str(tmp_path / "documents.parquet")).columns
     docs_, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
