@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +32,41 @@ LEFT = PLACES - 1
 #: Bytes around an anchor that its windows can cover, the anchor's own starting at LEFT.
 SPAN = LEFT + WINDOW
 #: Bytes of text in a block; entries that a bucket takes; contexts from which on an anchor sends windows.
-BLOCK_TEXT, BUCKET_ENTRIES, HOT = 4 << 20, 200_000, 128
+BLOCK_TEXT, BUCKET_ENTRIES, HOT = 4 << 20, 1_000_000, 4096
 #: No byte of UTF-8: between documents, and where a context has no window.
 GAP = 0xFF
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bits of a key that are kept: enough that strings seldom share a key by chance, and cheaper to send.
+_HIGH = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * _MIX
+    return h ^ h >> np.uint64(32)
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    """Keys of anchors with these hashes. An anchor's hash is the least of many, so it is spread evenly once more."""
+    return h * _BASE & _HIGH
+
+
+def row_keys(rows: np.ndarray) -> np.ndarray:
+    """Keys of contexts, which are those of their anchors, or of single windows, from the bytes alone."""
+    held = rows if rows.shape[1] == WINDOW else rows[:, LEFT : LEFT + GRAM]
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(held.shape[1]):
+        h = h * _BASE + (held[:, i] + np.uint64(1))
+    return _key(_mixed(h))
+
+
 @dataclass
 class Anchors:
-    """Anchors of a block in order of place: hash, place, first and last window that picks it, and row of its document."""
+    """Anchors of a block in order of place: key, place, first and last window that picks it, and row of its document."""
 
     h: np.ndarray
     at: np.ndarray
@@ -65,9 +86,7 @@ def _stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in (1, 2):
         four = four[:-s] * _power(s) + four[s:]
     h = h[: len(x) - GRAM + 1] * _power(4) + four[16 : 16 + len(x) - GRAM + 1]
-    h ^= h >> np.uint64(29)
-    h *= _MIX
-    h ^= h >> np.uint64(32)
+    h = _mixed(h)
     value, place, size = h, np.arange(len(h), dtype=np.int32), 1
     while size <= PLACES // 2:
         right = value[size:] < value[:-size]
@@ -98,7 +117,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int =
     at, h, window = (np.concatenate([np.zeros(0, k), *x]) for x, k in ((picked, np.int64), (hashes, np.uint64), (windows, np.int64)))
     new = np.flatnonzero(np.diff(at, prepend=-1))
     last = window[np.append(new[1:], len(at))[: len(new)] - 1] if len(new) else window
-    return Anchors(h[new], at[new], window[new], last, np.searchsorted(starts, at[new], side="right") - 1)
+    return Anchors(_key(h[new]), at[new], window[new], last, np.searchsorted(starts, at[new], side="right") - 1)
 
 
 def contexts(data: np.ndarray, found: Anchors, pick: np.ndarray) -> np.ndarray:
@@ -110,12 +129,24 @@ def contexts(data: np.ndarray, found: Anchors, pick: np.ndarray) -> np.ndarray:
 
 
 def row_classes(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A number for each row of bytes: equal rows with equal keys have equal numbers."""
+    """A number from 0 up for each row of bytes: equal rows with equal keys have equal numbers.
+
+    Hashes bring equal rows together; should one row differ from the first of its hash, the bytes themselves are sorted.
+    """
     width = -(-rows.shape[1] // 8) * 8
     wide = np.zeros((len(rows), width + 8), np.uint8)
     wide[:, : rows.shape[1]] = rows
     wide[:, width:] = key.view(np.uint8).reshape(-1, 8)
-    return np.unique(wide.view(f"V{width + 8}").reshape(-1), return_inverse=True)[1].astype(np.int64)
+    words = wide.view(np.uint64)
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(words.shape[1]):
+        h = (h ^ words[:, i]) * _MIX
+        h ^= h >> np.uint64(32)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    for i in range(words.shape[1]):
+        if (words[first, i][number] != words[:, i]).any():
+            return np.unique(wide.view(f"V{width + 8}").reshape(-1), return_inverse=True)[1].astype(np.int64)
+    return number.astype(np.int64)
 
 
 class Suffixes:
@@ -259,6 +290,7 @@ class Block:
         self.docs = np.array([x or 0 for x in ids], np.int64)
         self.found = anchors(self.data, self.starts, np.where(named, self.ends, self.starts))
 
+    @cached_property
     def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchor hashes, which of them several documents have, how often (to 255), each anchor's number."""
         h, number = np.unique(self.found.h, return_inverse=True)
@@ -271,17 +303,14 @@ class Block:
     def entries(self, flags: np.ndarray, hot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
         """What shared anchors send: rows, keys and smallest doc_ids, folded and in order of key; and a function that
         turns the masks for these into places of windows to remove, with their documents' rows."""
-        number = self.sent()[3]
+        number = self.sent[3]
         pick = np.flatnonzero(flags[number] == (2 if hot else 1)) if len(number) else number
         if hot:  # each window by itself, keyed by its own hash
             many = self.found.last[pick] - self.found.first[pick] + 1
             place = np.repeat(self.found.first[pick] - np.cumsum(many) + many, many) + np.arange(many.sum())
             owner = np.repeat(self.found.row[pick], many)
             rows = self.data[place[:, None] + np.arange(WINDOW)] if len(place) else np.zeros((0, WINDOW), np.uint8)
-            key = np.zeros(len(rows), np.uint64)
-            for i in range(WINDOW):
-                key = key * _BASE + rows[:, i] + np.uint64(1)
-            key = (key ^ key >> np.uint64(29)) * _MIX
+            key = row_keys(rows)
         else:
             rows, key, owner = contexts(self.data, self.found, pick), self.found.h[pick], self.found.row[pick]
             place = self.found.at[pick] - LEFT
@@ -376,7 +405,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, *rest in _rows(batches, "block", "doc_ids", "lengths", "body"):
-            h, several, times, _ = _open(*rest).sent()
+            h, several, times, _ = _open(*rest).sent
             own, cuts = _cut(h, n_buckets)
             # Differences of hashes in order: small numbers, of which only the low bytes cost room.
             low = [np.diff(h[a:b], prepend=np.uint64(0)) for a, b in zip(cuts, cuts[1:])]
@@ -397,7 +426,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             yield _batch("bucket block flags", [pa.int64(), pa.int64(), pa.binary()], [x[0] for x in rows], [x[1] for x in rows], made)
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for block, doc_ids, lengths, body, found in _rows(batches, "block", "doc_ids", "lengths", "body", "found"):
             own_block = _open(doc_ids, lengths, body)
             flags = _flags_in_order(found)
@@ -406,18 +435,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 own, cuts = _cut(key, n_buckets)
                 pairs = list(zip(cuts, cuts[1:]))
                 yield _batch(
-                    "bucket block rows keys docs", kinds, (2 * own + hot).tolist(), [block] * len(own),
-                    [zstandard.compress(rows[a:b].tobytes(), 6) for a, b in pairs], [pack(key[a:b]) for a, b in pairs], [pack(docs_[a:b]) for a, b in pairs],
+                    "bucket block rows docs", kinds, (2 * own + hot).tolist(), [block] * len(own),
+                    [zstandard.compress(rows[a:b].tobytes(), 6) for a, b in pairs], [pack(docs_[a:b]) for a, b in pairs],
                 )
 
     def meet_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches, "bucket", "block", "rows", "keys", "docs"):
+        for rows in _by_bucket(batches, "bucket", "block", "rows", "docs"):
             width = WINDOW if rows[0][0] % 2 else SPAN
             text = np.concatenate([np.frombuffer(zstandard.decompress(x[2]), np.uint8).reshape(-1, width) for x in rows])
-            keys, docs_ = [unpack(x[3], "<u8") for x in rows], [unpack(x[4], "<i8") for x in rows]
-            masks = window_masks(text, np.concatenate(keys), np.concatenate(docs_))
-            ends = np.cumsum([len(k) for k in keys])
-            made = [pack(masks[b - len(k) : b]) for k, b in zip(keys, ends)]
+            docs_ = [unpack(x[3], "<i8") for x in rows]
+            masks = window_masks(text, row_keys(text), np.concatenate(docs_))
+            ends = np.cumsum([len(x) for x in docs_])
+            made = [pack(masks[b - len(x) : b]) for x, b in zip(docs_, ends)]
             yield _batch("bucket block masks", [pa.int64(), pa.int64(), pa.binary()], [x[0] for x in rows], [x[1] for x in rows], made)
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +478,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     sent = blocks.select("block", "doc_ids", "lengths", "body").mapInArrow(send_anchors, "bucket long, block long, keys binary, counts binary, several binary")
     flags = meeting(sent, meet_anchors, "bucket long, block long, flags binary", "flags", "found")
     flagged = blocks.join(flags, "block", "left")
-    sent = flagged.select("block", "doc_ids", "lengths", "body", "found").mapInArrow(send_contexts, "bucket long, block long, rows binary, keys binary, docs binary")
+    sent = flagged.select("block", "doc_ids", "lengths", "body", "found").mapInArrow(send_contexts, "bucket long, block long, rows binary, docs binary")
     masks = meeting(sent, meet_contexts, "bucket long, block long, masks binary", "masks", "masks")
     whole = flagged.join(masks, "block", "left").select("doc_ids", "lengths", "body", "found", "masks")
     return whole.mapInArrow(take_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
