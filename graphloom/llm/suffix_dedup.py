@@ -161,13 +161,20 @@ class Suffixes:
 
     def extension(self, r: np.ndarray, p: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes (r, p) and (s, q), by binary search over hashes of prefixes."""
-        low, high = np.zeros(len(r), np.int64), np.full(len(r), WINDOW)
+        flat, width = self.prefix.reshape(-1), self.prefix.shape[1]
+        one, two = r * width + p, s * width + q
+        begin = flat[one] - flat[two]
+        out = np.full(len(r), WINDOW)
+        # Whole windows first: where they agree, there is nothing to search.
+        open_ = np.flatnonzero(flat[one + WINDOW] - flat[two + WINDOW] != begin * self.powers[WINDOW])
+        one, two, begin = one[open_], two[open_], begin[open_]
+        low, high = np.zeros(len(open_), np.int64), np.full(len(open_), WINDOW - 1)
         while (low < high).any():
             mid = (low + high + 1) // 2
-            power = self.powers[mid]
-            same = self.prefix[r, p + mid] - self.prefix[r, p] * power == self.prefix[s, q + mid] - self.prefix[s, q] * power
+            same = flat[one + mid] - flat[two + mid] == begin * self.powers[mid]
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+        out[open_] = low
+        return out
 
     def less(self, r: np.ndarray, p: np.ndarray, s: np.ndarray, q: np.ndarray, equal: np.ndarray) -> np.ndarray:
         """Whether suffix (r, p) comes before (s, q); ``equal`` where they agree in WINDOW bytes."""
@@ -235,7 +242,7 @@ def window_masks(rows: np.ndarray, key: np.ndarray, docs: np.ndarray) -> np.ndar
     k = key[by_key]
     many = np.flatnonzero(np.append(k[1:] == k[:-1], False) | np.insert(k[1:] == k[:-1], 0, False)) if len(k) > 1 else np.zeros(0, np.int64)
     by_key, k = by_key[many], k[many]
-    step = max(1, 500_000 // places)
+    step = max(1, 150_000 // places)  # contexts whose hashes fit the processor's cache
     cuts = np.flatnonzero(np.diff(k, prepend=k[:1] + np.uint64(1))) if len(k) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(k))
     a = 0
@@ -282,13 +289,29 @@ def removed(length: int, starts: np.ndarray) -> np.ndarray:
 class Block:
     """A block's documents laid out with gaps; documents without an id take no part in comparisons."""
 
-    def __init__(self, ids: list[int | None], lengths: np.ndarray, body: bytes) -> None:
+    def __init__(self, ids: list[int | None], lengths: np.ndarray, body: bytes, places: tuple[bytes, bytes] | None = None) -> None:
         ends = np.cumsum(lengths + 1) - 1 if len(lengths) else lengths
         self.ids, self.starts, self.ends = ids, ends - lengths, ends
         self.data = np.frombuffer(body, np.uint8)
         named = np.array([x is not None for x in ids], bool)
         self.docs = np.array([x or 0 for x in ids], np.int64)
-        self.found = anchors(self.data, self.starts, np.where(named, self.ends, self.starts))
+        self.found = self._again(places) if places else anchors(self.data, self.starts, np.where(named, self.ends, self.starts))
+
+    def places(self) -> tuple[bytes, bytes]:
+        """The anchors in few bytes: steps from place to place, and from first window to first window."""
+        return tuple(pack(np.diff(x, prepend=0).astype("<u4")) for x in (self.found.at, self.found.first))
+
+    def _again(self, places: tuple[bytes, bytes]) -> Anchors:
+        """The anchors that :meth:`places` wrote. An anchor's windows end where the next one's begin, or with the text."""
+        at, first = (np.cumsum(unpack(x, "<u4"), dtype=np.int64) for x in places)
+        row = np.searchsorted(self.starts, at, side="right") - 1
+        last = self.ends[row] - WINDOW
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        last[inner] = first[inner + 1] - 1
+        h = np.zeros(len(at), np.uint64)
+        for i in range(GRAM):
+            h = h * _BASE + (self.data[at + i] + np.uint64(1))
+        return Anchors(_key(_mixed(h)), at, first, last, row)
 
     @cached_property
     def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -346,18 +369,21 @@ def _cut(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[cuts[:-1]], cuts
 
 
-_ROW = "doc_ids array<long>, lengths binary, body binary, n_bytes long"
+_ROW = "doc_ids array<long>, lengths binary, body binary, at binary, first binary, n_bytes long"
+_BLOCK = ("doc_ids", "lengths", "body", "at", "first")
 
 
 def _lay(part: pa.RecordBatch) -> list:
     raws = raw_texts(part)
     body = b"".join(x + b"\xff" for x in raws)
     ids = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-    return [ids, pack(np.array([len(x) for x in raws], np.int64)), zstandard.compress(body, 3), len(body)]
+    lengths = np.array([len(x) for x in raws], np.int64)
+    places = Block(part.column("doc_id").to_pylist(), lengths, body).places()
+    return [ids, pack(lengths), zstandard.compress(body, 3), *places, len(body)]
 
 
-def _open(doc_ids: list, lengths: bytes, body: bytes) -> Block:
-    return Block(doc_ids, unpack(lengths, "<i8"), zstandard.decompress(body))
+def _open(doc_ids: list, lengths: bytes, body: bytes, at: bytes, first: bytes) -> Block:
+    return Block(doc_ids, unpack(lengths, "<i8"), zstandard.decompress(body), (at, first))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
@@ -404,7 +430,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     n_buckets = max(n, total * 2 // (PLACES + 1) // BUCKET_ENTRIES)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, *rest in _rows(batches, "block", "doc_ids", "lengths", "body"):
+        for block, *rest in _rows(batches, "block", *_BLOCK):
             h, several, times, _ = _open(*rest).sent
             own, cuts = _cut(h, n_buckets)
             # Differences of hashes in order: small numbers, of which only the low bytes cost room.
@@ -427,8 +453,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        for block, doc_ids, lengths, body, found in _rows(batches, "block", "doc_ids", "lengths", "body", "found"):
-            own_block = _open(doc_ids, lengths, body)
+        for block, *rest, found in _rows(batches, "block", *_BLOCK, "found"):
+            own_block = _open(*rest)
             flags = _flags_in_order(found)
             for hot in (False, True):
                 rows, key, docs_, _ = own_block.entries(flags, hot)
@@ -452,8 +478,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = "doc_id n_bytes n_removed n_spans kept_sha256 kept"
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        for doc_ids, lengths, body, found, masks in _rows(batches, "doc_ids", "lengths", "body", "found", "masks"):
-            block = _open(doc_ids, lengths, body)
+        for doc_ids, *rest, found, masks in _rows(batches, *_BLOCK, "found", "masks"):
+            block = _open(doc_ids, *rest)
             flags = _flags_in_order(found)
             lost = np.zeros(0, np.int64)
             for hot in (False, True):
@@ -475,10 +501,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         back = dealt.mapInArrow(meet, schema).groupBy("block").agg(F.collect_list(F.struct("bucket", value)).alias(name))
         return stage_table(back, name)
 
-    sent = blocks.select("block", "doc_ids", "lengths", "body").mapInArrow(send_anchors, "bucket long, block long, keys binary, counts binary, several binary")
+    sent = blocks.select("block", *_BLOCK).mapInArrow(send_anchors, "bucket long, block long, keys binary, counts binary, several binary")
     flags = meeting(sent, meet_anchors, "bucket long, block long, flags binary", "flags", "found")
     flagged = blocks.join(flags, "block", "left")
-    sent = flagged.select("block", "doc_ids", "lengths", "body", "found").mapInArrow(send_contexts, "bucket long, block long, rows binary, docs binary")
+    sent = flagged.select("block", *_BLOCK, "found").mapInArrow(send_contexts, "bucket long, block long, rows binary, docs binary")
     masks = meeting(sent, meet_contexts, "bucket long, block long, masks binary", "masks", "masks")
-    whole = flagged.join(masks, "block", "left").select("doc_ids", "lengths", "body", "found", "masks")
+    whole = flagged.join(masks, "block", "left").select(*_BLOCK, "found", "masks")
     return whole.mapInArrow(take_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
