@@ -40,7 +40,9 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 1: all anchors that several documents have send windows
     first, got = {}, by_id(suffix_dedup.suffix_dedup(docs))
     for d, t, *_ in rows():
         b = (t or "").encode()
@@ -75,6 +77,27 @@ def test_suffix_sort_orders_and_masks():
             assert bool(masks[i] >> j & 1) == any(docs_[k] < docs_[i] and (text[k, j : j + 50] == mine).all() for k in range(40))
 
 
+def test_suffix_blocks_keep_their_anchors():
+    texts = [(t or "").encode() for _, t, *_ in rows()]
+    ids, lengths = [None if i == 12 else i for i in range(len(texts))], np.array([len(t) for t in texts], np.int64)
+    body = b"".join(t + b"\xff" for t in texts)
+    block = suffix_dedup.Block(ids, lengths, body)
+    again = suffix_dedup.Block(ids, lengths, body, block.places())
+    for name in ("h", "at", "first", "last", "row"):
+        assert (getattr(block.found, name) == getattr(again.found, name)).all()
+    assert (suffix_dedup.row_keys(suffix_dedup.contexts(block.data, block.found, np.arange(len(block.found.at)))) == block.found.h).all()
+
+
+def test_equal_rows_share_a_class_though_hashes_collide(monkeypatch):
+    text = np.random.default_rng(2).integers(0, 2, (200, 9)).astype(np.uint8)
+    key = np.zeros(200, np.uint64)
+    want = np.unique(text, axis=0, return_inverse=True)[1].reshape(-1)
+    for mix in (suffix_dedup._MIX, np.uint64(0)):  # 0: every row has the same hash
+        monkeypatch.setattr(suffix_dedup, "_MIX", mix)
+        got = suffix_dedup.row_classes(text, key)
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) == got.max() + 1
+
+
 def test_quality_rules(docs, empty):
     got = by_id(quality.quality_rules(docs))
     for d, t, *_ in rows():
