@@ -99,7 +99,7 @@ def _stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, h
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> Anchors:
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 14) -> Anchors:
     """The anchors of documents that lie at ``starts`` to ``ends`` of a block, worked through piece by piece."""
     picked, hashes, windows = [], [], []
     inside = np.zeros(len(data) + 1, np.int32)
@@ -386,21 +386,24 @@ def _open(doc_ids: list, lengths: bytes, body: bytes, at: bytes, first: bytes) -
     return Block(doc_ids, unpack(lengths, "<i8"), zstandard.decompress(body), (at, first))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], *names: str, large: bool = True) -> Iterator[tuple]:
+    """Rows one by one; after each ``large`` one, memory goes back."""
     give_back()
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(batch.column(c)[i].as_py() for c in names)
-            give_back()
+            if large:
+                give_back()
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
     """Rows of one bucket at a time, from rows in order of bucket; a bucket is its first column."""
     held: list[tuple] = []
-    for row in _rows(batches, *names):
+    for row in _rows(batches, *names, large=False):
         if held and row[0] != held[0][0]:
             yield held
             held = []
+            give_back()
         held.append(row)
     if held:
         yield held
