@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm import bpe, language, lm_score, mixing, pii, piecewise, quality, secrets, simhash, suffix_dedup
 from graphloom.llm.common import documents
+from graphloom.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer_path() -> str:
@@ -63,5 +64,3 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_bpe, op4_lm_score, op5_secrets, op6_mixing, op7_language, op8_piecewise, op9_simhash, op10_pii)
 }
-
-ORACLE_SQL: dict[str, str] = {}
