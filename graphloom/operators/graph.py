@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.plans.staging import stage_table
+
 
 @dataclass
 class Graph:
@@ -24,7 +26,7 @@ class Graph:
             rows = rows.where("src <> dst")
         und = rows.groupBy(F.least("src", "dst").cast("long").alias("lo"), F.greatest("src", "dst").cast("long").alias("hi")).agg(F.max_by(weight, order).alias("weight"))
         if vertices is None:
-            vertices = edges.select(F.explode(F.array("src", "dst")).cast("long").alias("id")).where("id is not null").distinct()
+            vertices = edges.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("id")).where("id is not null").distinct()
         return Graph(vertices, und)
 
     def adjacency(self) -> DataFrame:
@@ -49,3 +51,11 @@ class Graph:
         parts = parts.select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
         own = Window.partitionBy("part").orderBy("id")
         return rows.withColumn("rank", F.row_number().over(own) - 1).join(parts, "part").select("id", (F.col("base") + F.col("rank")).alias("logical_id"))
+
+    def vertex_ids(self, probes: DataFrame) -> DataFrame:
+        """``(logical_id, id)`` for probed ranks; null where there is no such rank."""
+        return probes.select("logical_id").join(self.logical_ids(), "logical_id", "left").select("logical_id", "id")
+
+    def publish(self) -> Graph:
+        """The graph as written tables, which kernels that follow read instead of the plan that made it."""
+        return Graph(stage_table(self.vertices, "vertices"), stage_table(self.edges, "edges"))

@@ -5,10 +5,12 @@ Log columns: ``seq`` (the version), ``op`` (U upsert, D delete), ``src``, ``dst`
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.operators.graph import Graph
-
+from graphloom.plans.staging import stage_table
 
 
 def paired(log: DataFrame) -> DataFrame:
@@ -94,6 +96,57 @@ def conflicts(log: DataFrame, staged: DataFrame, read_version: int) -> DataFrame
     return staged.select("src").distinct().join(late, "src", "left_semi")
 
 
+def labelled_snapshot(log: DataFrame, version: int | None = None) -> DataFrame:
+    """Live ``(src, label, dst, payload)`` of a directed log with labels: each (src, label, dst) is an edge of its own."""
+    rows = log if version is None else log.where(F.col("seq") <= version)
+    last = rows.groupBy("src", "label", "dst").agg(F.max_by(F.struct("op", "payload"), "seq").alias("x"))
+    return last.where("x.op = 'U'").select("src", "label", "dst", "x.payload")
+
+
+def properties(log: DataFrame, version: int | None = None) -> DataFrame:
+    """``(id, property, value)``: the last value set of each property; the log has (seq, id, property, value)."""
+    rows = log if version is None else log.where(F.col("seq") <= version)
+    return rows.groupBy("id", "property").agg(F.max_by("value", "seq").alias("value"))
+
+
+def merge_updates(edges: DataFrame, updates: DataFrame) -> DataFrame:
+    """``(lo, hi, weight)`` after a batch ``(lo, hi, op, weight)`` with one operation a pair: a full outer merge."""
+    new = updates.select("lo", "hi", "op", F.col("weight").alias("new"))
+    rows = edges.join(new, ["lo", "hi"], "full_outer").where("op is null or op = 'U'")
+    return rows.select("lo", "hi", F.when(F.col("op") == "U", F.col("new")).otherwise(F.col("weight")).alias("weight"))
+
+
+def insert_vertices(g: Graph, ids: DataFrame) -> DataFrame:
+    """``(id, inserted)``: false for ids that are there already; an id asked for twice goes in once."""
+    seen = g.vertices.select("id", F.lit(False).alias("inserted"))
+    return ids.select("id").distinct().join(seen, "id", "left").select("id", F.coalesce("inserted", F.lit(True)).alias("inserted"))
+
+
+def new_vertices(g: Graph, n: int) -> DataFrame:
+    """``n`` fresh ids after the largest."""
+    top = g.vertices.agg(F.max("id")).first()[0]
+    start = 0 if top is None else top + 1
+    return g.vertices.sparkSession.range(start, start + n)
+
+
+def visible(log: DataFrame, epoch: int, intra: int) -> DataFrame:
+    """Operations before the reader's (epoch, intra), compared as a pair."""
+    return log.where(F.struct("epoch", "intra") < F.struct(F.lit(epoch).cast("long").alias("epoch"), F.lit(intra).cast("long").alias("intra")))
+
+
+def published_epoch(finished: DataFrame) -> DataFrame:
+    """``(epoch)``: the last of the finished epochs up to which all from 0 on have finished; -1 if 0 has not."""
+    done = finished.select("epoch").distinct()
+    ends = done.join(done.select((F.col("epoch") - 1).alias("epoch")), "epoch", "left_anti")
+    first = done.agg(F.count(F.when(F.col("epoch") == 0, 1)).alias("begun"))
+    return ends.where("epoch >= 0").agg(F.min("epoch").alias("last")).crossJoin(first).select(F.when(F.col("begun") > 0, F.col("last")).otherwise(-1).cast("long").alias("epoch"))
+
+
+def backoff(attempt: int) -> float:
+    """Seconds to wait before trying again: none for sixteen attempts, then doubling from a microsecond to a millisecond."""
+    return 0.0 if attempt < 16 else 1e-6 * (1 << min(attempt - 16, 10))
+
+
 class TransactionConflict(RuntimeError):
     """An object was changed after the transaction's snapshot."""
 
@@ -148,16 +201,22 @@ class MutationLog:
     """A log in a Spark session; versions become readable in the order in which they are appended."""
 
     SCHEMA = "seq long, op string, src long, dst long, weight double"
+    #: Commits after which the log is written out as a table.
+    STAGE_AFTER = 16
 
     def __init__(self, spark: SparkSession, log: DataFrame | None = None) -> None:
         self.spark = spark
         self.log = log if log is not None else spark.createDataFrame([], self.SCHEMA)
         self.version = self.log.agg(F.max("seq")).first()[0] or 0
+        self.pending = 0
 
     def append(self, ops: list[tuple[str, int, int, float | None]]) -> None:
         rows = [(self.version + i + 1, *x) for i, x in enumerate(ops)]
         self.log = self.log.unionByName(self.spark.createDataFrame(rows, self.SCHEMA))
         self.version += len(rows)
+        self.pending += 1
+        if self.pending == self.STAGE_AFTER:  # the plan would grow with every commit
+            self.log, self.pending = stage_table(self.log, "log"), 0
 
     def begin(self, read_only: bool = False) -> Transaction:
         return Transaction(self, read_only)
@@ -172,4 +231,5 @@ class MutationLog:
             except TransactionConflict:
                 if i == attempts - 1:
                     raise
+                time.sleep(backoff(i))
         raise AssertionError

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from graphloom.operators.graph import Graph
 
@@ -46,3 +46,21 @@ def aggregate_neighbors(g: Graph, values: DataFrame, message: Column, combine: C
     """Message passing: ``combine`` over ``message`` (of src, dst, weight and the columns of values) for each dst."""
     sent = g.adjacency().join(values.withColumnRenamed("id", "src"), "src").select("dst", message.alias("message"))
     return sent.groupBy(F.col("dst").alias("id")).agg(combine.alias("value"))
+
+
+def neighbor_lists(g: Graph, probes: DataFrame) -> DataFrame:
+    """``(id, neighbors)``: an array of (dst, weight) by dst for each probed id that has edges."""
+    return neighbors(g, probes).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("neighbors"))
+
+
+def intersection_lists(g: Graph, pairs: DataFrame) -> DataFrame:
+    """``(a, b, dst)``: a row for each neighbour that a pair shares."""
+    adj = g.adjacency()
+    of_a = pairs.select("a", "b").join(adj.select(F.col("src").alias("a"), "dst"), "a")
+    return of_a.join(adj.select(F.col("src").alias("b"), "dst"), ["b", "dst"]).select("a", "b", "dst")
+
+
+def counted(rows: DataFrame, visible: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that holds how many a scan read and how many of them were ``visible``."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("records"), F.count(F.when(visible, 1)).alias("visible")), seen

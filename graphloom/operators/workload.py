@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, floor, gcd
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.functions.hashing import edge_rank, mix64
 from graphloom.operators.graph import Graph
+from graphloom.plans.staging import stage_table
 
 
-def shuffled(rows: DataFrame, seed: int, *keys: str) -> DataFrame:
-    """Rows with ``place``: their rank from 0 in an order that the seed alone decides. Distributed: ranges, then ranks."""
+def shuffled(rows: DataFrame, seed: int, *keys: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with ``place``: their rank from 0, among all or those of equal ``by``, in an order that the seed alone decides.
+
+    Distributed: counts of hash ranges first, then ranks within a range, so that no key gathers in one task.
+    """
     h = rows.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).withColumn("_part", F.floor(F.col("_h") / (1 << 52)))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = h.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("_part").orderBy("_h", *keys)
-    return h.withColumn("_r", F.row_number().over(own) - 1).join(bases, "_part").withColumn("place", F.col("_base") + F.col("_r")).drop("_h", "_part", "_r", "_base")
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = h.groupBy(*by, "_part").count().select(*by, "_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_base"))
+    own = Window.partitionBy(*by, "_part").orderBy("_h", *keys)
+    return h.withColumn("_r", F.row_number().over(own) - 1).join(bases, [*by, "_part"]).withColumn("place", F.col("_base") + F.col("_r")).drop("_h", "_part", "_r", "_base")
 
 
 MIXES = {"id": (2, 0), "idm": (4, 2), "m100": (0, 1)}
@@ -88,22 +93,32 @@ def edges_at(g: Graph, ids: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def churn(g: Graph, seed: int, tries: int = 64) -> DataFrame:
+def churn(g: Graph, seed: int, tries: int = 4096) -> DataFrame:
     """``(src, dst, new_dst, weight)``: each edge replaced by an absent one from the same source.
 
-    New ends are candidates drawn by hash; a candidate is out if its edge is there, or planned for an edge with a
-    smaller pair. Rows for which none of ``tries`` is left keep a null new_dst.
+    In rounds, edges still without a new end draw some by hash and ask for the first whose edge is neither there nor
+    taken; where several ask for the same pair the smallest gets it. Most edges are done after one round. Edges for
+    which none of ``tries`` draws will do (their source knows all others) keep a null new_dst.
     """
-    ids = g.logical_ids()
+    ids = stage_table(g.logical_ids(), "ranks").withColumnRenamed("id", "new_dst")
     n = g.vertices.count()
-    e = g.edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight")
-    drawn = e.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("logical_id", F.pmod(F.xxhash64(F.lit(seed), "src", "dst", "t"), F.lit(n)))
-    found = drawn.join(ids.withColumnRenamed("id", "new_dst"), "logical_id").where("new_dst <> src and new_dst <> dst")
-    found = found.withColumn("lo", F.least("src", "new_dst")).withColumn("hi", F.greatest("src", "new_dst")).join(g.edges.select("lo", "hi"), ["lo", "hi"], "left_anti")
-    first = Window.partitionBy("lo", "hi").orderBy("src", "dst", "t")
-    own = found.withColumn("claim", F.row_number().over(first)).where("claim = 1")
-    best = own.groupBy("src", "dst").agg(F.min_by("new_dst", "t").alias("new_dst"))
-    return e.join(best, ["src", "dst"], "left").select("src", "dst", "new_dst", "weight")
+    e = left = stage_table(g.edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), "edges")
+    taken, t, step = None, 0, 4
+    while t < tries and not left.isEmpty():
+        drawn = left.withColumn("t", F.explode(F.sequence(F.lit(t), F.lit(min(t + step, tries) - 1)))).withColumn("logical_id", F.pmod(F.xxhash64(F.lit(seed), "src", "dst", "t"), F.lit(n)))
+        found = drawn.join(ids, "logical_id").where("new_dst <> src and new_dst <> dst").withColumn("lo", F.least("src", "new_dst")).withColumn("hi", F.greatest("src", "new_dst"))
+        found = found.join(g.edges.select("lo", "hi"), ["lo", "hi"], "left_anti")
+        if taken is not None:
+            found = found.join(taken.select("lo", "hi"), ["lo", "hi"], "left_anti")
+        asked = found.groupBy("src", "dst").agg(F.min_by(F.struct("lo", "hi", "new_dst"), "t").alias("x"))
+        won = asked.groupBy("x.lo", "x.hi").agg(F.min(F.struct("src", "dst", "x.new_dst")).alias("y")).select("lo", "hi", "y.*")
+        won = stage_table(won, "taken")
+        taken = won if taken is None else taken.union(won)
+        left = stage_table(left.join(won.select("src", "dst"), ["src", "dst"], "left_anti"), "left")
+        t, step = t + step, min(2 * step, 256)
+    if taken is None:
+        return e.select("src", "dst", F.lit(None).cast("long").alias("new_dst"), "weight")
+    return e.join(taken.select("src", "dst", "new_dst"), ["src", "dst"], "left").select("src", "dst", "new_dst", "weight")
 
 
 def split_updates(edges: DataFrame) -> DataFrame:
@@ -125,12 +140,84 @@ def general_split(edges: DataFrame, seed: int, share: float = 0.8) -> DataFrame:
     return shuffled(edges, seed, "src", "dst").withColumn("part", F.when(F.col("place") < cut, "load").otherwise("insert")).drop("place")
 
 
-def by_degree(g: Graph, high: bool, share: float, bound: int) -> DataFrame:
-    """Edges whose lower end is among the ``share`` of vertices of highest (lowest) degree, past the bound."""
+def high_vertices(g: Graph, share: float, bound: int) -> DataFrame:
+    """``(id, degree)``: of the ``share`` of vertices of highest degree those past ``bound``."""
     k = max(1, ceil(share * g.vertices.count()))
-    picked = g.degrees().orderBy(F.desc("degree") if high else F.col("degree"), "id").limit(k)
-    picked = picked.where(F.col("degree") > bound if high else F.col("degree") < bound)
-    return g.edges.join(picked.select(F.col("id").alias("lo")), "lo", "left_semi")
+    return g.degrees().orderBy(F.desc("degree"), "id").limit(k).where(F.col("degree") > bound)
+
+
+def by_degree(g: Graph, high: bool, share: float, bound: int) -> DataFrame:
+    """Edges with both ends among :func:`high_vertices`, or both of a degree under ``bound``."""
+    picked = high_vertices(g, share, bound) if high else g.degrees().where(F.col("degree") < bound)
+    rows = g.edges
+    for end in ("lo", "hi"):
+        rows = rows.join(picked.select(F.col("id").alias(end)), end, "left_semi")
+    return rows.select("lo", "hi", "weight")
+
+
+def drawn_stream(g: Graph, n: int, seed: int, weighted: bool) -> DataFrame:
+    """``(src, dst, weight, part)``: ``n`` draws of a vertex with replacement, evenly or by degree, each of which moves
+    one more edge that starts there from ``load`` to ``insert``, in seeded order, while there are any."""
+    pool = g.adjacency().select(F.col("src").alias("id"), "dst") if weighted else g.vertices.select("id")
+    size = pool.count()
+    numbered = shuffled(pool, seed, *pool.columns).select("id", "place")
+    draws = g.edges.sparkSession.range(n).select(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max(size, 1))).alias("place"))
+    wanted = draws.join(numbered, "place").groupBy(F.col("id").alias("src")).agg(F.count("*").alias("draws"))
+    e = shuffled(g.edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), seed, "src", "dst", by=("src",))
+    insert = F.col("place") < F.coalesce("draws", F.lit(0))
+    return e.join(wanted, "src", "left").select("src", "dst", "weight", F.when(insert, "insert").otherwise("load").alias("part"))
+
+
+def ordered_split(rows: DataFrame, key: str, share: float = 0.8) -> DataFrame:
+    """``(…, part)``: ``load`` up to the ``share`` of the range of ``key`` (a unique number from 0), ``insert`` after."""
+    cut = floor(share * rows.count())
+    return rows.withColumn("part", F.when(F.col(key) < cut, "load").otherwise("insert"))
+
+
+def vertex_queries(g: Graph, ratio: float, seed: int) -> DataFrame:
+    """floor(ratio * V) distinct vertices to probe, in seeded order: ``(seq, id)``."""
+    k = floor(ratio * g.vertices.count())
+    return shuffled(g.vertices, seed, "id").where(F.col("place") < k).select(F.col("place").alias("seq"), "id")
+
+
+def edge_queries(edges: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """floor(ratio * E) distinct edges to probe, in seeded order: ``(seq, src, dst)``."""
+    k = floor(ratio * edges.count())
+    return shuffled(edges, seed, "src", "dst").where(F.col("place") < k).select(F.col("place").alias("seq"), "src", "dst")
+
+
+def mixed_stream(g: Graph, seed: int, share: float = 0.8, n: int = 32) -> DataFrame:
+    """``(batch, op, src, dst)``: the edges after the first ``share`` in ``n`` batches, and one query Q after each."""
+    total = g.edges.count()
+    start = floor(share * total)
+    size = max(1, -(-(total - start) // n))
+    e = shuffled(g.edges, seed, "lo", "hi").where(F.col("place") >= start)
+    inserts = e.select(F.floor((F.col("place") - start) / size).alias("batch"), F.lit("U").alias("op"), F.col("lo").alias("src"), F.col("hi").alias("dst"))
+    ids = shuffled(g.vertices, seed, "id").where(F.col("place") < n)
+    return inserts.union(ids.select("place", F.lit("Q"), "id", F.lit(None).cast("long")))
+
+
+def by_busiest_end(g: Graph, share: float = 0.1, high: bool = True) -> DataFrame:
+    """``(lo, hi, busiest)``: the ``share`` of edges whose busier end has the highest (lowest) degree; ties by ends."""
+    k = int(g.edges.count() * share)
+    lo, hi = (g.degrees().select(F.col("id").alias(x), F.col("degree").alias(f"d_{x}")) for x in ("lo", "hi"))
+    rows = g.edges.join(lo, "lo").join(hi, "hi").select("lo", "hi", F.greatest("d_lo", "d_hi").alias("busiest"))
+    return rows.orderBy(F.desc("busiest") if high else F.col("busiest"), "lo", "hi").limit(k)
+
+
+def checksum(rows: DataFrame, *columns: str) -> DataFrame:
+    """``(n, digest)`` of rows in whatever order."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("digest"))
+
+
+def churn_rounds(g: Graph, rounds: int, seed: int) -> Iterator[tuple[DataFrame, Graph]]:
+    """Round by round the plan of :func:`churn` and the graph after it; edges that found no replacement stay."""
+    for r in range(1, rounds + 1):
+        plan = stage_table(churn(g, seed * 1000 + r), "churn")
+        to = F.coalesce("new_dst", "dst")
+        edges = plan.select(F.least(F.col("src"), to).alias("lo"), F.greatest(F.col("src"), to).alias("hi"), "weight")
+        g = Graph(g.vertices, stage_table(edges, "churned"))
+        yield plan, g
 
 
 def batches(rows: DataFrame, key: str, n: int = 32) -> DataFrame:

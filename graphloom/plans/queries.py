@@ -91,6 +91,17 @@ query("microbench_get_edge", f"{CO}, {PAIRS} select count(*) probes, count(und.l
     lambda s, d: reads.get_edges(copurchase(s, d, 0), _pairs(s, d)).agg(F.count("*").alias("probes"), F.count(F.when(F.col("found"), 1)).alias("valid_sum"))
 )
 
+query("vertex_ids", f"{CO45}, r as (select id, row_number() over (order by id) - 1 logical_id from v) select p_partkey logical_id, id from part left join r on logical_id = p_partkey")(
+    lambda s, d: copurchase(s, d, 45).vertex_ids(_parts(s, d).select(F.col("id").alias("logical_id")))
+)
+query("neighbor_lists", f"{CO45} select src id, string_agg(dst || ':' || weight::int, ',' order by dst) neighbors from adj join part on src = p_partkey group by 1")(
+    lambda s, d: reads.neighbor_lists(copurchase(s, d, 45), _parts(s, d)).select("id", F.array_join(F.transform("neighbors", lambda x: F.concat(x.dst.cast("string"), F.lit(":"), x.weight.cast("int").cast("string"))), ",").alias("neighbors"))
+)
+query("intersection_lists", f"{CO} select lo a, hi b, x.dst from und join adj x on x.src = lo join adj y on y.src = hi and y.dst = x.dst")(
+    lambda s, d: reads.intersection_lists(copurchase(s, d, 0), copurchase(s, d, 0).edges.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+)
+query("default_root", f"{CO45} select min(id) root from v")(lambda s, d: copurchase(s, d, 45).vertices.agg(F.min("id").alias("root")))
+
 # Kernels
 
 
@@ -206,6 +217,30 @@ query("vertex_payload_latest", "select user_id id, arg_max(event_type, event_id)
     lambda s, d: mlog.latest_payload(table(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", None).otherwise(F.struct("event_type")).alias("payload")), 8000).select("id", "payload.event_type").withColumnRenamed("event_type", "payload")
 )
 
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    label = F.pmod("event_id", F.lit(4)).cast("int").alias("label")
+    op = F.when(F.col("event_type") == "error", "D").otherwise("U").alias("op")
+    return table(s, d, "events").select(F.col("event_id").alias("seq"), op, F.col("user_id").alias("src"), label, F.get_json_object("props", "$.k").cast("long").alias("dst"), F.col("value").alias("payload"))
+
+
+query("labelled_snapshot", f"with {LOG}, l as (select *, (seq % 4)::int label from log where seq <= 8000) select src, label, dst, arg_max(weight, seq) payload from l group by 1, 2, 3 having arg_max(op, seq) = 'U'")(lambda s, d: mlog.labelled_snapshot(_labelled(s, d), 8000))
+query("property_snapshot", "select user_id id, event_type property, arg_max(value, event_id) \"value\" from events where event_id <= 8000 group by 1, 2")(
+    lambda s, d: mlog.properties(table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.col("event_type").alias("property"), "value"), 8000)
+)
+query("visible_epoch", f"with {LOG} select seq, op, src, dst from log where (seq // 1000, seq % 1000) < (5, 250)")(
+    lambda s, d: mlog.visible(log(s, d).selectExpr("seq", "op", "src", "dst", "seq div 1000 epoch", "seq % 1000 intra"), 5, 250).select("seq", "op", "src", "dst")
+)
+query("published_epoch", f"with {LOG}, e as (select distinct seq // 3 epoch from log where op = 'U'), r as (select epoch, row_number() over (order by epoch) - 1 k from e) select coalesce(max(epoch) filter (epoch = k), -1) epoch from r")(
+    lambda s, d: mlog.published_epoch(log(s, d).where("op = 'U'").selectExpr("seq div 3 epoch"))
+)
+query("merge_updates", f"with {snap_sql('5000')}, n as (select lo, hi, arg_max(op, seq) op, arg_max(weight, seq) weight from plog where seq > 5000 group by 1, 2) select coalesce(und.lo, n.lo) lo, coalesce(und.hi, n.hi) hi, case when op = 'U' then n.weight else und.weight end weight from und full join n on n.lo = und.lo and n.hi = und.hi where op is null or op = 'U'")(
+    lambda s, d: mlog.merge_updates(mlog.snapshot(log(s, d), 5000), mlog.paired(log(s, d)).where("seq > 5000").groupBy("lo", "hi").agg(F.max_by("op", "seq").alias("op"), F.max_by("weight", "seq").alias("weight")))
+)
+query("insert_vertex", f"{CO45} select distinct l_partkey id, l_partkey not in (select id from v) inserted from lineitem")(lambda s, d: mlog.insert_vertices(copurchase(s, d, 45), table(s, d, "lineitem").select(F.col("l_partkey").alias("id"))))
+query("new_vertices", f"{CO45} select max(id) + 1 + k id from v, (select unnest(range(5)) k) group by k")(lambda s, d: mlog.new_vertices(copurchase(s, d, 45), 5))
+
 # Workloads
 
 for _kind, (_r, _m) in workload.MIXES.items():
@@ -234,11 +269,36 @@ query("repeat_writes", f"with {LOG} select turn, case turn when 1 then dst else
 query("insert_stream_general_split", f"{CO45}, n as (select count(*) e from und) select 'load' part, floor(0.8 * e)::bigint n from n union all select 'insert', e - floor(0.8 * e)::bigint from n")(
     lambda s, d: workload.general_split(copurchase(s, d, 45).edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), 5).groupBy("part").agg(F.count("*").alias("n"))
 )
-for _high in (True, False):
-    query(
-        f"{'high' if _high else 'low'}_degree_stream",
-        f"{CO}, p as (select id, degree from deg order by degree {'desc' if _high else ''}, id limit (select greatest(1, ceil(0.01 * count(*)))::bigint from v)) select lo, hi, weight from und join p on p.id = lo where p.degree {'> 20' if _high else '< 30'}",
-    )(lambda s, d, h=_high: workload.by_degree(copurchase(s, d, 0), h, 0.01, 20 if h else 30))
+query("high_degree_stream", f"{CO}, p as (select id, degree from deg order by degree desc, id limit (select greatest(1, ceil(0.2 * count(*)))::bigint from v)) select lo, hi, weight from und where lo in (select id from p where degree > 20) and hi in (select id from p where degree > 20)")(
+    lambda s, d: workload.by_degree(copurchase(s, d, 0), True, 0.2, 20)
+)
+query("low_degree_stream", f"{CO} select lo, hi, weight from und where lo in (select id from deg where degree < 30) and hi in (select id from deg where degree < 30)")(lambda s, d: workload.by_degree(copurchase(s, d, 0), False, 0, 30))
+query("busiest_end_order", f"{CO} select lo, hi, greatest(a.degree, b.degree) busiest from und join deg a on a.id = lo join deg b on b.id = hi order by 3 desc, 1, 2 limit (select count(*) // 10 from und)")(lambda s, d: workload.by_busiest_end(copurchase(s, d, 0)))
+query("high_degree_vertex_queries", f"{CO}, p as (select id, degree from deg order by degree desc, id limit (select greatest(1, ceil(0.01 * count(*)))::bigint from v)) select id, degree from p where degree > 20")(lambda s, d: workload.high_vertices(copurchase(s, d, 0), 0.01, 20))
+query("vertex_query_counts", f"{CO45} select count(*) * 20 // 100 n, count(*) * 20 // 100 distinct_ids, 0::bigint strangers from v")(
+    lambda s, d: reads.has_vertex(copurchase(s, d, 45), workload.vertex_queries(copurchase(s, d, 45), 0.2, 3)).agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.count(F.when(~F.col("found"), 1)).alias("strangers"))
+)
+query("edge_query_counts", f"{CO45} select count(*) * 20 // 100 n, count(*) * 20 // 100 found from und")(
+    lambda s, d: reads.get_edges(copurchase(s, d, 45), workload.edge_queries(copurchase(s, d, 45).edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst")), 0.2, 3)).agg(F.count("*").alias("n"), F.count(F.when(F.col("found"), 1)).alias("found"))
+)
+query("mixed_stream_counts", f"{CO45}, n as (select count(*) e, count(*) - floor(0.8 * count(*))::bigint rest from und), b as (select unnest(range(32)) batch) select batch, greatest(0, least(rest, (batch + 1) * ((rest + 31) // 32)) - batch * ((rest + 31) // 32)) inserts, 1::bigint queries from b, n")(
+    lambda s, d: workload.mixed_stream(copurchase(s, d, 45), 5).groupBy("batch").agg(F.count(F.when(F.col("op") == "U", 1)).alias("inserts"), F.count(F.when(F.col("op") == "Q", 1)).alias("queries"))
+)
+query("update_stream", "select case when event_id - (select min(event_id) from events) < floor(0.8 * (select count(*) from events)) then 'load' else 'insert' end part, count(*) n from events group by 1")(
+    lambda s, d: workload.ordered_split(table(s, d, "events").crossJoin(table(s, d, "events").agg(F.min("event_id").alias("first"))).select((F.col("event_id") - F.col("first")).alias("at")), "at").groupBy("part").agg(F.count("*").alias("n"))
+)
+query("insert_stream_uniform")(lambda s, d: workload.drawn_stream(copurchase(s, d, 45), 1000, 5, False))
+query("insert_stream_based_on_degree")(lambda s, d: workload.drawn_stream(copurchase(s, d, 45), 1000, 5, True))
+query("insert_stream_full", f"{CO45} select 'U' op, lo src, hi dst, weight from und")(lambda s, d: copurchase(s, d, 45).edges.select(F.lit("U").alias("op"), F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"))
+
+
+@query("churn_rounds_invariants", f"{CO49}, e as (select count(*) edges, count(*) distinct_pairs from und) select round, edges, distinct_pairs from e, (select unnest([1, 2]) round)")
+def churn_rounds_invariants(s: SparkSession, d: str) -> DataFrame:
+    rounds = workload.churn_rounds(copurchase(s, d, 49), 2, 11)
+    counts = [g.edges.agg(F.count("*").alias("edges"), F.count_distinct("lo", "hi").alias("distinct_pairs")).withColumn("round", F.lit(i)) for i, (_, g) in enumerate(rounds, 1)]
+    return counts[0].union(counts[1])
+
+
 query("degree_cdf", f"{CO}, h as (select degree, count(*) n from deg group by 1) select degree, sum(n) over (order by degree)::bigint at_most from h")(
     lambda s, d: copurchase(s, d, 0).degrees().groupBy("degree").agg(F.count("*").alias("n")).selectExpr("degree", "sum(n) over (order by degree) at_most")
 )
@@ -273,6 +333,29 @@ query("phase_summary", f"with {SERIES}, m as (select *, last_value(marker ignore
 query("interp_grid", f"with {SERIES}, e as (select series, min(time) t0, max(time) t1 from smp group by 1 having min(time) < max(time)), p as (select series, (time - t0)::double / (t1 - t0) p, value, lead((time - t0)::double / (t1 - t0)) over (partition by series order by time) q, lead(value) over (partition by series order by time) nxt from smp join e using (series)), g as (select unnest(range(0, 21)) step) select series, step, round(value + (nxt - value) * (step / 20.0::double - p) / (q - p), 6) \"value\" from p join g on step / 20.0::double >= p and (step / 20.0::double < q or (q = 1 and step = 20)) where q is not null")(
     lambda s, d: metrics.on_grid(_samples(s, d), 20).withColumn("value", F.round("value", 6))
 )
+MARKS = ("base", "begin", "middle", "middle", "end")
+
+
+def _memory(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Values as memory samples and four markers, of which the last comes twice, for each of ten series."""
+    e = table(s, d, "events").select((F.col("user_id") % 10).alias("series"), F.col("event_id").cast("double").alias("time"), "value")
+    marks = s.createDataFrame([("base", 100.5), ("begin", 200.5), ("middle", 400.5), ("end", 900.5), ("end", 950.0)], "marker string, time double")
+    return e, s.range(10).withColumnRenamed("id", "series").crossJoin(marks)
+
+
+MEM = "mem as (select user_id % 10 series, event_id::double time, value from events), base as (select series, arg_min(value, time) baseline from mem where time >= 100.5 group by 1), ph as (select mem.series, time, value - baseline grown, value, baseline, phase, t0, t1 from mem join base using (series), (values (1, 200.5::double, 400.5::double), (2, 400.5::double, 900.5::double)) x(phase, t0, t1) where time between t0 and t1)"
+query("phase_report", f"with {MEM} select series, min(baseline) baseline, arg_max(value, time) filter (phase = 1) first_end, max(value) filter (phase = 2) second_peak, 200.0::double first_held, 500.0::double second_held, round(arg_max(grown, time) filter (phase = 1), 6) first_growth, round(max(grown) filter (phase = 2), 6) second_growth, 700.0::double held from ph group by 1")(
+    lambda s, d: metrics.phase_report(*_memory(s, d), MARKS).withColumns({"first_growth": F.round("first_growth", 6), "second_growth": F.round("second_growth", 6)})
+)
+query("phase_curve", f"with {MEM}, k as (select 1 phase, unnest(range(80)) step, 79.0::double n, 0.0::double b, 0.1::double w union all select 2, unnest(range(320)), 319.0, 0.1, 0.9), q as (select series, phase, (time - t0) / (t1 - t0) p, grown from ph), s as (select series, k.phase, step, b + w * step / n x, step / n at_p from k, (select distinct series from q)), z as (select s.*, (select max(p) from q where q.series = s.series and q.phase = s.phase and p <= at_p) p0, (select min(p) from q where q.series = s.series and q.phase = s.phase and p > at_p) p1 from s) select z.series, z.phase, z.step, round(x, 9) x, round(case when p0 is null then b.grown when p1 is null then a.grown else a.grown + (b.grown - a.grown) * (at_p - p0) / (p1 - p0) end, 6) \"value\" from z left join q a on a.series = z.series and a.phase = z.phase and a.p = p0 left join q b on b.series = z.series and b.phase = z.phase and b.p = p1")(
+    lambda s, d: metrics.phase_curve(*_memory(s, d), MARKS).withColumns({"x": F.round("x", 9), "value": F.round("value", 6)})
+)
+query("memory_peaks", "select user_id series, count(*) samples, max(event_id) - min(event_id) duration, max(floor(value * 100)::bigint) / 1024 peak_rss_mb, max(floor(value * 200)::bigint) / 1024 peak_hwm_mb from events group by 1")(
+    lambda s, d: metrics.memory_peaks(table(s, d, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("time"), F.floor(F.col("value") * 100).alias("rss_kb"), F.floor(F.col("value") * 200).alias("hwm_kb")))
+)
+query("marked_lines", "select event_id, case when regexp_matches(event_type, 'err') then 'failed' when regexp_matches(event_type, '^[a-p]') then 'early' end marker from events where regexp_matches(event_type, 'err|^[a-p]')")(
+    lambda s, d: metrics.mark_lines(table(s, d, "events").select("event_id", F.col("event_type").alias("line")), {"failed": "err", "early": "^[a-p]"}).select("event_id", "marker")
+)
 query("stream_window_counts", "select date_trunc('hour', ts) \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")(
     lambda s, d: window_counts(table(s, d, "events")).withColumn("total", F.round("total", 4))
 )

@@ -7,13 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines in file order: ``seq`` counts within a file read as a whole, so that order is the file's own."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "value"))
-    return whole
+    """Lines with ``file`` and ``seq``, the line's number within its file; files are read in splits.
+
+    Rows of a split come in order, so counts of the splits before and ranks within one give the number.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("file", "block").count().select("file", "block", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
+    own = Window.partitionBy("file", "block").orderBy("row")
+    return rows.withColumn("rank", F.row_number().over(own) - 1).join(bases, ["file", "block"]).select("file", (F.col("base") + F.col("rank")).alias("seq"), "value")
 
 
 def edge_list(spark: SparkSession, path: str, limit: int = 0, strict: bool = True, ordered: bool = False) -> DataFrame:
@@ -119,8 +125,6 @@ def operations(spark: SparkSession, path: str) -> DataFrame:
 
 def dense_remap(edges: DataFrame) -> DataFrame:
     """``(id, dense)``: ids numbered from 0 in order of first appearance, sources before destinations of a row."""
-    from pyspark.sql import Window
-
     seen = edges.select((F.col("seq") * 2).alias("at"), F.col("src").alias("id")).union(edges.select(F.col("seq") * 2 + 1, "dst"))
     first = seen.groupBy("id").agg(F.min("at").alias("at"))
     part = first.withColumn("part", F.floor(F.col("at") / (1 << 16)))
@@ -128,3 +132,32 @@ def dense_remap(edges: DataFrame) -> DataFrame:
     bases = part.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
     own = Window.partitionBy("part").orderBy("at")
     return part.withColumn("rank", F.row_number().over(own) - 1).join(bases, "part").select("id", (F.col("base") + F.col("rank")).alias("dense"))
+
+
+SAMPLES = "time_sec double, rss_kb long, rss_mb double, hwm_kb long, hwm_mb double, vmsize_kb long, vmsize_mb double, last_marker string"
+EVENTS = "time_sec double, marker string, line string"
+
+
+def memory_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Memory over time from delimited files with a header."""
+    return spark.read.schema(SAMPLES).option("header", True).csv(path)
+
+
+def memory_events(spark: SparkSession, path: str) -> DataFrame:
+    """Markers over time from delimited files with a header."""
+    return spark.read.schema(EVENTS).option("header", True).csv(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).csv(path)
+
+
+#: Datasets by short name, each an edge list's path.
+PRESETS: dict[str, str] = {}
+
+
+def preset(spark: SparkSession, name: str, **options: object) -> DataFrame:
+    """The edge list that was given a short name in PRESETS."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown dataset {name}; known: {', '.join(sorted(PRESETS)) or 'none'}")
+    return edge_list(spark, PRESETS[name], **options)

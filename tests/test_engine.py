@@ -4,9 +4,10 @@ import zlib
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.functions.hashing import mix
-from graphloom.operators import kernels, log as mlog, workload
+from graphloom.operators import kernels, log as mlog, metrics, reads, workload
 from graphloom.operators.components import components
 from graphloom.operators.graph import Graph
 from graphloom.sources import files
@@ -136,3 +137,84 @@ def test_stream_equals_batch(spark, tmp_path):
     q = ingest(read_operations(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp"), lambda g, e: seen.update({e: g.edges.count()}))
     q.awaitTermination()
     assert len(seen) == 4 and seen[3] == mlog.snapshot(ops).count()
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    (tmp_path / "big.e").write_text("".join(f"{i} {i + 1}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = files.edge_list(spark, str(tmp_path / "big.e"), ordered=True)
+        assert [(r.seq, r.src) for r in rows.orderBy("seq").collect()] == [(i, i) for i in range(2000)]
+        assert sorted(r.src for r in files.edge_list(spark, str(tmp_path / "big.e"), limit=700).collect()) == list(range(700))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_command_line(spark, tmp_path):
+    from graphloom.__main__ import arguments, run
+
+    (tmp_path / "g.e").write_text("".join(f"{a} {b} {w}\n" for a, b, w in EDGES))
+    base = ["--file", str(tmp_path / "g.e"), "--output", str(tmp_path / "out")]
+    lines = run(spark, arguments().parse_args([*base, "--algorithm", "bfs,nope", "--root", "1", "--repetitions", "2"]))
+    assert len(lines) == 4 and "algorithm=bfs repetition=2 root=1 edge_mode=undirected" in lines[1] and lines[1].endswith("status=ok")
+    assert lines[2].endswith("status=unsupported reason=unknown-algorithm")
+    got = {r.value for r in spark.read.text(str(tmp_path / "out.bfs.rep1")).collect()}
+    assert got == {"0 1", "1 0", "2 1", "3 1", "4 1", "10 -1", "11 -1"}
+    assert "status=algorithm-failed" in run(spark, arguments().parse_args([*base, "--algorithm", "sssp", "--root", "77"]))[0]
+    assert "status=unsupported-directed" in run(spark, arguments().parse_args([*base, "--algorithm", "pr", "--edge-mode", "directed"]))[0]
+    with pytest.raises(ValueError):
+        files.preset(spark, "nothing")
+
+
+def test_commits_stay_readable_when_staged(spark):
+    store = mlog.MutationLog(spark)
+    for i in range(2 * store.STAGE_AFTER + 3):
+        store.append([("U", i, i + 1, float(i))])
+    assert store.version == mlog.snapshot(store.log).count() == 2 * store.STAGE_AFTER + 3
+    assert mlog.backoff(3) == 0 and mlog.backoff(17) == 2e-6 and mlog.backoff(99) == 1e-6 * 1024
+
+
+def test_versions_of_vertices_labels_and_epochs(spark, hand):
+    ask = spark.createDataFrame([(1,), (5,), (5,)], "id long")
+    assert pairs(mlog.insert_vertices(hand, ask)) == {1: False, 5: True}
+    assert [r.id for r in mlog.new_vertices(hand, 2).collect()] == [21, 22]
+    epochs = lambda xs: mlog.published_epoch(spark.createDataFrame([(x,) for x in xs], "epoch long")).first()[0]
+    assert epochs([0, 1, 2, 4]) == 2 and epochs([1, 2]) == -1 and epochs([]) == -1 and epochs([3, 0]) == 0
+    log = spark.createDataFrame([(1, "U", 1, 1, 2, "a"), (2, "U", 1, 2, 2, "b"), (3, "D", 1, 1, 2, None)], "seq long, op string, src long, label int, dst long, payload string")
+    assert [(r.label, r.payload) for r in mlog.labelled_snapshot(log).collect()] == [(2, "b")] and mlog.labelled_snapshot(log, 2).count() == 2
+    g = hand.publish()
+    assert pairs(g.vertex_ids(spark.createDataFrame([(0,), (7,), (8,)], "logical_id long"))) == {0: 0, 7: 20, 8: None}
+    rows, seen = reads.counted(hand.edges, F.col("weight") > 2)
+    rows.collect()
+    assert seen.get == {"records": 6, "visible": 3}
+
+
+def test_streams(spark):
+    star = Graph.from_edges(spark.createDataFrame([(0, i, 1.0) for i in range(1, 200)], "src long, dst long, weight double"))
+    for weighted, least in ((True, 30), (False, 0)):
+        got = workload.drawn_stream(star, 100, 5, weighted)
+        n = got.where("part = 'insert'").count()
+        assert got.count() == 199 and least <= n <= 100
+    places = workload.shuffled(star.edges, 3, "hi", by=("lo",)).select("place")
+    assert sorted(r.place for r in places.collect()) == list(range(199))
+    again = workload.checksum(star.edges, "lo", "hi").first()
+    assert again == workload.checksum(star.edges.orderBy("hi"), "lo", "hi").first() and again.n == 199
+    for plan, g in workload.churn_rounds(Graph.from_edges(spark.createDataFrame([(i, i + 1, float(i)) for i in range(30)], "src long, dst long, weight double")), 2, 4):
+        assert plan.count() == g.edges.distinct().count() == 30 and plan.where("new_dst is null").isEmpty()
+
+
+def test_memory_series(spark, tmp_path):
+    rows = [(float(t), 1024 * t, float(t), 2048 * t, 2.0 * t, 0, 0.0, None) for t in range(1, 11)]
+    files.write_csv(spark.createDataFrame(rows, files.SAMPLES), str(tmp_path / "mem"))
+    mem = files.memory_samples(spark, str(tmp_path / "mem")).withColumn("series", F.lit(1))
+    peaks = metrics.memory_peaks(mem.withColumnRenamed("time_sec", "time")).first()
+    assert (peaks.samples, peaks.duration, peaks.peak_rss_mb, peaks.peak_hwm_mb) == (10, 9.0, 10.0, 20.0)
+    lines = spark.createDataFrame([(1, 2.0, "load starts"), (1, 5.0, "load done"), (1, 6.0, "load done"), (1, 9.0, "bye"), (1, 1.0, "?")], "series int, time double, line string")
+    events = metrics.mark_lines(lines, {"a": "starts$", "b": "done", "c": "^bye"})
+    samples = mem.select("series", F.col("time_sec").alias("time"), F.col("rss_mb").alias("value"))
+    report = metrics.phase_report(samples, events, ("a", "a", "b", "b", "c")).first()
+    assert (report.baseline, report.first_end, report.second_peak, report.held) == (2.0, 5.0, 9.0, 7.0)
+    curve = metrics.phase_curve(samples, events, ("a", "a", "b", "b", "c"), points=(4, 5)).orderBy("x", "phase").collect()
+    assert [round(r.value, 9) for r in curve] == [0, 1, 2, 3, 3, 4, 5, 6, 7] and curve[-1].x == 1.0
+    with pytest.raises(ValueError):
+        metrics.result_line("pr", 1, 0, 0, 0, status="odd")
