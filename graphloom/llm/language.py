@@ -18,8 +18,15 @@ TOP, LENGTHS, SAMPLE = 300, (1, 2, 3), 2000
 LETTER_BITS, DOC_BITS, COUNT_BITS = 12, 9, 17
 
 
+@cache
+def _lower() -> dict[int, str]:
+    """Letters with another lower-case form, letter by letter: a sigma is the same wherever it stands in a word."""
+    points, low = letters_of_unicode()
+    return {p: x for p, x in zip(points.tolist(), low) if x != chr(p)}
+
+
 def _words(text: str) -> list[str]:
-    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return "".join(c if c.isalpha() else " " for c in text.translate(_lower())).split()
 
 
 def grams(text: str) -> Counter:

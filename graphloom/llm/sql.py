@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, quality
+from graphloom.llm import language, mixing, quality
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -75,4 +75,27 @@ o as (select row_id, sum(times * (least(begin_at + size, (c.block + 1) * {_B}) -
 select doc_id, size, source_size, target, coalesce(taken, 0) taken from l left join o on o.row_id = l.row_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_quality_rules": QUALITY, "op6_mixing": MIXING}
+# Profiles are learned from all texts not held out, as the operator does up to SAMPLE texts a language.
+_CRC = "list_reduce(list_prepend(4294967295::bigint, [ord(x)::bigint for x in string_split(doc_id::varchar, '')]), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1))))"
+_GRAMS = "len(word) + 2 - n + 1 - 2 * (n = 1)::int"
+_N = ", ".join(map(str, language.LENGTHS))
+
+LANGUAGE = f"""
+with d as (select doc_id, lang, text, xor({_CRC}, 4294967295) % 4 = 2 held_out from documents),
+w as (select doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as word from d),
+u as (select doc_id, word, count(*) times from w group by 1, 2),
+n as (select unnest([{_N}]) n),
+p as (select doc_id, word, times, n, unnest(range({_GRAMS})) + (n = 1)::int + 1 i from u, n),
+c as (select lang, substr('_' || word || '_', i, n) gram, sum(times) total from p join d using (doc_id) where not held_out and lang is not null group by 1, 2),
+r as (select lang, gram, row_number() over (partition by lang order by total desc, gram) - 1 rank from c qualify rank < {language.TOP}),
+k as (select '[^' || string_agg(distinct letter, '') || ']' other from (select unnest(string_split(gram, '')) letter from r) where letter <> '_'),
+m as (select word, regexp_replace(word, other, '`', 'g') masked from (select distinct word from u), k),
+g as (select doc_id, substr('_' || masked || '_', i, n) gram, sum(times) total from p join m using (word) group by 1, 2),
+h as (select doc_id, gram, row_number() over (partition by doc_id order by total desc, len(gram), gram) - 1 rank from g qualify rank < {language.TOP}),
+s as (select h.doc_id, l.lang, sum(case when r.rank is null then {language.TOP} else abs(r.rank - h.rank) end)::bigint apart, count(*) * {language.TOP} most
+ from h cross join (select distinct lang from r) l left join r on r.lang = l.lang and r.gram = h.gram group by 1, 2),
+b as (select doc_id, arg_min(lang, (apart, lang)) lang_pred, 1 - min(apart) / min(most) score from s group by 1)
+select d.doc_id, held_out, coalesce(lang_pred, 'und') lang_pred, coalesce(score, 0) score from d left join b on b.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_quality_rules": QUALITY, "op6_mixing": MIXING, "op7_language": LANGUAGE}
