@@ -23,9 +23,8 @@ from graphloom.plans.staging import stage_table
 #: Words with a class of their own, classes by word ending for all others, and words whose own counts are kept.
 TOP_CLASSES, END_CLASSES, VOCABULARY = 64, 64, 4096
 CLASSES = TOP_CLASSES + END_CLASSES
-#: Tokens seen on each side, width of the network, training rounds, which part the documents among themselves, and one
-#: window in EVERY is trained on.
-SIDE, WIDTH, ROUNDS, EVERY, BATCH, RATE = 2, 16, 2, 8, 1024, 0.02
+#: Tokens seen on each side, width of the network, training rounds, each over every window of all documents.
+SIDE, WIDTH, ROUNDS, BATCH, RATE = 2, 16, 2, 1024, 0.02
 #: Models that reach the driver at most, after sums in as many tasks.
 SUMS = 32
 _SHAPES = ((2 * SIDE, CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,))
@@ -168,7 +167,9 @@ class Trainer:
         back = (d @ outer.T) * (1 - hidden * hidden)
         grads = [np.zeros_like(inner), back.sum(axis=0), hidden.T @ d, d.sum(axis=0)]
         for k in range(2 * SIDE):
-            np.add.at(grads[0][k], context[:, k], back)
+            picked = np.zeros((len(target), inner.shape[1]), np.float32)
+            picked[np.arange(len(target)), context[:, k]] = 1
+            grads[0][k] = picked.T @ back
         self.steps += 1
         self.seen += len(target)
         for p, g, m, s in zip(self.params, grads, self.mean, self.square):
@@ -186,32 +187,40 @@ def _tokens(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[pa.
         yield part, counts, classes[at], shares[at]
 
 
+def train_on(trainer: Trainer, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+    """One step or more on every window of ``parts``, which are the classes of a run of texts and their lengths.
+
+    Windows are mixed within about 64 batches; what does not fill a batch waits for the next windows.
+    """
+    context, target = np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
+    for classes, counts in parts:
+        for a in range(0, len(classes), 64 * BATCH):
+            at = np.arange(a, min(a + 64 * BATCH, len(classes)))
+            context, target = np.concatenate([context, windows(classes, counts, at)]), np.concatenate([target, classes[at]])
+            if len(target) < 16 * BATCH:
+                continue
+            order = np.random.default_rng(trainer.steps).permutation(len(target))
+            full = len(target) // BATCH * BATCH
+            for b in range(0, full, BATCH):
+                trainer.step(context[order[b : b + BATCH]], target[order[b : b + BATCH]])
+            context, target = context[order[full:]], target[order[full:]]
+    for b in range(0, len(target), BATCH):
+        trainer.step(context[b : b + BATCH], target[b : b + BATCH])
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
-    """The network's weights after ROUNDS rounds over all documents."""
+    """The network's weights after ROUNDS rounds, in each of which every token of all documents is a target."""
     spark = docs.sparkSession
     params = _start()
     words = spark.sparkContext.broadcast(vocabulary)  # VOCABULARY words, whatever the data
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         now = _flat(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            trainer, held = Trainer(_shaped(now)), []
-            for batch in batches:
-                for _, counts, classes, _ in _tokens(batch, words.value):
-                    pick = np.arange(0, len(classes), EVERY)
-                    held.append((windows(classes, counts, pick), classes[pick]))
-                    if sum(len(t) for _, t in held) >= 16 * BATCH:
-                        context, target = (np.concatenate(x) for x in zip(*held))
-                        order = np.random.default_rng(trainer.steps).permutation(len(target))
-                        for a in range(0, len(target) - BATCH + 1, BATCH):
-                            trainer.step(context[order[a : a + BATCH]], target[order[a : a + BATCH]])
-                        held = []
-            if held and sum(len(t) for _, t in held):
-                context, target = (np.concatenate(x) for x in zip(*held))
-                for a in range(0, len(target), BATCH):
-                    trainer.step(context[a : a + BATCH], target[a : a + BATCH])
+            trainer = Trainer(_shaped(now))
+            train_on(trainer, ((classes, counts) for batch in batches for _, counts, classes, _ in _tokens(batch, words.value)))
             if trainer.seen:
                 cols = [[TaskContext.get().partitionId() % SUMS], [trainer.seen], [(_flat(trainer.params) * np.float64(trainer.seen)).tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "seen", "model"])
@@ -224,7 +233,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "model"])
 
-        made = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text").mapInArrow(run, "part long, seen long, model binary")
+        made = docs.select("text").mapInArrow(run, "part long, seen long, model binary")
         sums = made.repartition(SUMS, "part").mapInArrow(add, "seen long, model binary").collect()
         if sums:
             params = _shaped(sum(np.frombuffer(r["model"]) for r in sums) / sum(r["seen"] for r in sums))

@@ -139,6 +139,32 @@ def test_lm_score(docs, empty):
     assert np.exp(held).min() > 0.3 and lm_score.windows(np.array([5, 6]), np.array([1, 1])).tolist() == [[lm_score.CLASSES] * 4] * 2
 
 
+def test_lm_trains_on_every_window():
+    class Seen(lm_score.Trainer):
+        def step(self, context, target):
+            self.steps += 1
+            self.seen += len(target)
+            got.extend((*c, t) for c, t in zip(context.tolist(), target.tolist()))
+
+    rng, got, parts = np.random.default_rng(5), [], []
+    for lengths in ([], [0], [30000, 0, 3], [70001, 90], [5]):
+        parts.append((rng.integers(0, lm_score.CLASSES, sum(lengths)), np.array(lengths, np.int64)))
+    lm_score.train_on(Seen(lm_score._start()), iter(parts))
+    want = [(*c, t) for classes, counts in parts for c, t in zip(lm_score.windows(classes, counts).tolist(), classes.tolist())]
+    assert Counter(got) == Counter(want)
+
+
+def test_lm_every_document_in_every_round(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "SUMS", 1)
+    text, seen = lm_score.id_text(docs), []
+    n = sum(len((r.text or "").split()) for r in docs.collect())
+    vocabulary = lm_score.learn_vocabulary(lm_score.word_counts(text))
+    real = type(text).collect
+    monkeypatch.setattr(type(text), "collect", lambda df: seen.append(real(df)) or seen[-1])
+    lm_score.train(text, vocabulary)
+    assert [sum(r.seen for r in rows_) for rows_ in seen] == [n] * lm_score.ROUNDS
+
+
 def test_secrets(docs, empty):
     import base64
     import gzip
