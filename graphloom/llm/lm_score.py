@@ -4,6 +4,10 @@ A token's probability is that of its class, which the network gives from the cla
 times its share of the class, which counts over the whole corpus give. The network is numpy alone. It is trained where
 the data lie: each partition takes steps on its own windows from the common weights, and what they reach is averaged
 by windows, round by round.
+
+Documents become blocks of codes into the block's own distinct words. These meet by hash in a table of all words of the
+corpus with their counts, and each word's count goes back to the blocks that have it. Classes grow with the corpus, as
+the cube root of its distinct words.
 """
 
 from __future__ import annotations
@@ -15,59 +19,84 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import id_text, slices
+from graphloom.llm.blocks import block_table, pack, unpack
+from graphloom.llm.bpe import _join, word_hashes
+from graphloom.llm.common import give_back, id_text, one_thread
 from graphloom.plans.staging import stage_table
 
-#: Words with a class of their own, classes by word ending for all others, and words whose own counts are kept.
-TOP_CLASSES, END_CLASSES, VOCABULARY = 64, 64, 4096
+#: Words with a class of their own and classes by word ending for all others: so many at least.
+TOP_CLASSES, END_CLASSES = 64, 64
 CLASSES = TOP_CLASSES + END_CLASSES
+#: Bytes of text in a block (or one document, if that is longer), and distinct words that one bucket of the table takes.
+BLOCK_TEXT, BUCKET_WORDS = 8 << 20, 150_000
 #: Tokens seen on each side, width of the network, training rounds, each over every window of all documents.
 SIDE, WIDTH, ROUNDS, BATCH, RATE = 2, 16, 2, 1024, 0.02
+#: Windows whose values for all classes fit the processor's cache.
+ROWS = 256
 #: Models that reach the driver at most, after sums in as many tasks.
 SUMS = 32
-_SHAPES = ((2 * SIDE, CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,))
+_BLOCKS = "doc_ids array<long>, counts binary, codes binary, n_words long, words binary, n binary"
+_CODED = "doc_ids array<long>, counts binary, codes binary, classes binary, shares binary"
+
+
+def _shapes(classes: int) -> tuple[tuple[int, ...], ...]:
+    return (2 * SIDE, classes + 1, WIDTH), (WIDTH,), (WIDTH, classes), (classes,)
 
 
-def _start() -> list[np.ndarray]:
+def _start(classes: int = CLASSES) -> list[np.ndarray]:
     rng = np.random.default_rng(20)
-    return [(rng.standard_normal(s) * (0.3 if len(s) > 1 else 0)).astype(np.float32) for s in _SHAPES]
+    return [(rng.standard_normal(s) * (0.3 if len(s) > 1 else 0)).astype(np.float32) for s in _shapes(classes)]
 
 
 def _flat(params: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in params])
 
 
-def _shaped(flat: np.ndarray) -> list[np.ndarray]:
+def _shaped(flat: np.ndarray, classes: int) -> list[np.ndarray]:
     out, at = [], 0
-    for s in _SHAPES:
+    for s in _shapes(classes):
         out.append(flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32))
         at += int(np.prod(s))
     return out
 
 
-@dataclass
-class Vocabulary:
-    """What the corpus counts tell: classes, and log-shares of words within them. Its size is fixed, not the corpus's."""
+def class_counts(kinds: int) -> tuple[int, int]:
+    """How many words have a class of their own, and classes by ending, for a corpus of so many distinct words."""
+    grown = round(kinds ** (1 / 3))
+    return max(TOP_CLASSES, grown), max(END_CLASSES, grown)
 
-    words: dict[str, tuple[int, float]]  # class and log-share
-    rest: list[float]  # by class: log-share of one word that is not in the table
 
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known, ends = self.words, {}
-        found = []
-        for w in words:
-            if (x := known.get(w)) is None and (x := ends.get(w[-2:])) is None:
-                c = end_class(w)
-                x = ends[w[-2:]] = c, self.rest[c]
-            found.append(x)
-        classes, shares = zip(*found) if found else ((), ())
-        return np.array(classes, np.int64), np.array(shares, np.float32)
-
-
-def end_class(word: str) -> int:
-    return TOP_CLASSES + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % END_CLASSES
+@dataclass
+class Vocabulary:
+    """What classes are made of: the words that have one of their own, and the tokens in every class. It is as long as
+    there are classes; the counts of the words are in the table."""
+
+    top: dict[str, int]
+    ends: int
+    total: np.ndarray
+
+    @property
+    def classes(self) -> int:
+        return len(self.total)
+
+    def lookup(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and log-share in it of each word, from its count in the corpus."""
+        classes = word_classes(words, self.top, self.classes - self.ends, self.ends)
+        return classes, (np.log(n) - np.log(self.total[classes])).astype(np.float32)
+
+
+def word_classes(words: list[str], top: dict[str, int], first: int, ends: int) -> np.ndarray:
+    """Classes of words: their own, or from ``first`` up one of ``ends`` by the last two letters."""
+    known: dict[str, int] = {}
+    out = np.zeros(len(words), np.int64)
+    for i, w in enumerate(words):
+        if (c := top.get(w)) is None and (c := known.get(w[-2:])) is None:
+            c = known[w[-2:]] = first + zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % ends
+        out[i] = c
+    return out
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -80,47 +109,139 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return counts, pa.DictionaryArray.from_arrays(coded.indices, pc.utf8_lower(coded.dictionary))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` over all whole texts."""
+def split_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Words in each text, every word's code, how often each code stands, and the words of codes, in order of hash."""
+    counts, coded = split_words(texts)
+    low = coded.dictionary.dictionary_encode()  # words that differ in case alone are one
+    words = low.dictionary.cast(pa.binary())
+    hashes = word_hashes(words.to_pylist())
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    codes = rank[low.indices.to_numpy()][coded.indices.to_numpy()]
+    return counts, codes, np.bincount(codes, minlength=len(words)), words.take(pa.array(order))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _words(blob: bytes) -> list[bytes]:
+    return zstandard.decompress(blob).split(b"\n")
+
+
+def word_table(blocks: DataFrame) -> DataFrame:
+    """``(bucket, block, n, words, kinds)``: for every bucket a row with all its words and their counts over the whole
+    corpus, and one for each block that has such words, with the counts of those, in order of hash."""
+    n_parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(n_parts, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "n"))):
+                held, n = _words(words), unpack(n, "<u4")
+                bucket = (word_hashes(held).astype(np.uint64) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=n_buckets))
+                held = pa.array(held, pa.binary())
+                own, pairs = bucket[cuts[:-1]], list(zip(cuts, cuts[1:]))
+                cols = [pa.array(own), pa.array(np.full(len(own), block)), pa.array([_join(held[a:b]) for a, b in pairs], pa.binary()), pa.array([pack(n[a:b]) for a, b in pairs], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "words", "n"])
+
+    def table(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        lists = [_words(w) for _, w, _ in rows]
+        coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, codes, np.concatenate([unpack(n, "<u4") for _, _, n in rows]).astype(np.int64))
+        ends = np.cumsum([len(x) for x in lists])
+        back = [pack(total[codes[e - len(x) : e]].astype("<i8")) for x, e in zip(lists, ends)]
+        cols = [
+            pa.array([bucket] * (len(rows) + 1), pa.int64()), pa.array([None, *(b for b, _, _ in rows)], pa.int64()), pa.array([pack(total.astype("<i8")), *back], pa.binary()),
+            pa.array([_join(coded.dictionary), *[None] * len(rows)], pa.binary()), pa.array([len(total)] + [0] * len(rows), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["bucket", "block", "n", "words", "kinds"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        now, held = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words", "n"))):
+                if bucket != now and held:
+                    yield table(now, held)
+                    held = []
+                    give_back()
+                now = bucket
+                held.append(tuple(row))
+        if held:
+            yield table(now, held)
+
+    dealt = blocks.where("n_words > 0").select("block", "words", "n").mapInArrow(deal, "bucket long, block long, words binary, n binary")
+    counted = dealt.repartition(n_parts, "bucket").sortWithinPartitions("bucket", "block")
+    return stage_table(counted.mapInArrow(count, "bucket long, block long, n binary, words binary, kinds long"), "words")
+
+
+def learn_vocabulary(table: DataFrame) -> Vocabulary:
+    """The classes for a table of words. A few numbers a class are gathered."""
+    held = table.where("block is null")
+    tops, ends = class_counts(held.agg(F.sum("kinds")).first()[0] or 0)
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = split_words(batch.column("text"))[1]
-            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
-            made = pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n, pa.int64())], ["word", "n"])
-            yield from (made.slice(at, 1 << 16) for at in range(0, made.num_rows, 1 << 16))
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    top = [tuple(r) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    ends = F.crc32(F.substring("word", -2, 2).cast("binary")) % END_CLASSES + TOP_CLASSES
-    by_end = {c: (n, kinds) for c, n, kinds in counts.groupBy(ends.cast("int").alias("c")).agg(F.sum("n"), F.count("*")).collect()}
-    total = [[0, 0] for _ in range(CLASSES)]
-    for c, (n, kinds) in by_end.items():
-        total[c] = [n, kinds]
-    for w, n in top[:TOP_CLASSES]:
-        total[end_class(w)][0] -= n
-        total[end_class(w)][1] -= 1
-    words = {w: (i, 0.0) for i, (w, _) in enumerate(top[:TOP_CLASSES])}
-    rare = [list(x) for x in total]
-    for w, n in top[TOP_CLASSES:]:
-        c = end_class(w)
-        words[w] = c, float(np.log(n / (total[c][0] + 1)))
-        rare[c][0] -= n
-        rare[c][1] -= 1
-    # Words outside the table share what is left of their class, and one count for those never seen, evenly.
-    return Vocabulary(words, [float(np.log((r[0] + 1) / (r[1] + 1) / (t[0] + 1))) for r, t in zip(rare, total)])
-
-
-def windows(classes: np.ndarray, counts: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Classes of the tokens two before to two after each token, or those at the places ``at``; past either end of a text stands a class for that."""
+            for words, n in zip(batch.column("words").to_pylist(), batch.column("n").to_pylist()):
+                n = unpack(n, "<i8")
+                words = np.array(_words(words), object)
+                least = np.partition(n, -tops)[-tops] if len(n) > tops else 0
+                pick = np.flatnonzero(n >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words[pick]], pa.string()), pa.array(n[pick])], ["word", "n"])
+
+    best = held.select("words", "n").mapInArrow(most, "word string, n long").orderBy(F.desc("n"), "word").limit(tops).collect()
+    top = {r["word"]: i for i, r in enumerate(best)}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(tops + ends, np.int64)
+        for batch in batches:
+            for words, n in zip(batch.column("words").to_pylist(), batch.column("n").to_pylist()):
+                np.add.at(total, word_classes([w.decode() for w in _words(words)], top, tops, ends), unpack(n, "<i8"))
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["c", "n"])
+
+    total = np.zeros(tops + ends, np.int64)
+    for c, n in held.select("words", "n").mapInArrow(sums, "c long, n long").groupBy("c").agg(F.sum("n")).collect():
+        total[c] = n
+    return Vocabulary(top, ends, total)
+
+
+def code(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """Blocks of documents, with class and log-share of each of a block's distinct words; and the vocabulary."""
+
+    def split(part: pa.RecordBatch) -> list:
+        counts, codes, n, words = split_block(part.column("text"))
+        ids = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+        return [ids, pack(counts.astype("<u4")), pack(codes.astype("<u4")), len(words), _join(words), pack(n.astype("<u4"))]
+
+    blocks = block_table(docs, BLOCK_TEXT, split, _BLOCKS)
+    table = word_table(blocks)
+    vocabulary = learn_vocabulary(table)
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as long as there are classes
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words, found = (batch.column(c)[row].as_py() for c in ("words", "found"))
+                n = np.concatenate([np.zeros(0, np.int64), *(unpack(x["n"], "<i8") for x in sorted(found or [], key=lambda x: x["bucket"]))])
+                classes, shares = shipped.value.lookup([w.decode() for w in _words(words)] if len(n) else [], n)
+                cols = [pa.array([pack(classes.astype("<u4"))], pa.binary()), pa.array([pack(shares.astype("<f4"))], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("doc_ids", "counts", "codes")), *cols], ["doc_ids", "counts", "codes", "classes", "shares"])
+                give_back()
+
+    back = table.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "n")).alias("found"))
+    joined = blocks.select("block", "doc_ids", "counts", "codes", "words").join(back, "block", "left").drop("block")
+    return stage_table(joined.mapInArrow(look_up, _CODED), "coded"), vocabulary
+
+
+def windows(classes: np.ndarray, counts: np.ndarray, at: np.ndarray | None = None, outside: int = CLASSES) -> np.ndarray:
+    """Classes of the tokens two before to two after each token, or those at the places ``at``; past either end of a text stands the class ``outside``."""
     ends = np.cumsum(counts)
     at = np.arange(len(classes)) if at is None else at
     owner = np.searchsorted(ends, at, side="right")
     first, last = (ends - counts)[owner], ends[owner] - 1
-    out = np.full((len(at), 2 * SIDE), CLASSES, np.int64)
+    out = np.full((len(at), 2 * SIDE), outside, np.int64)
     for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         other = at + shift
         there = (other >= first) & (other <= last)
@@ -128,23 +249,41 @@ def windows(classes: np.ndarray, counts: np.ndarray, at: np.ndarray | None = Non
     return out
 
 
-def forward(params: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hidden values, the weight of every class (its probability times the sum of weights), and log-weights."""
-    inner, bias, outer, prior = params
+def hidden_values(params: list[np.ndarray], context: np.ndarray) -> np.ndarray:
+    """Hidden values, and a column of ones, which the prior of the classes takes."""
+    inner, bias, _, _ = params
+    out = np.ones((len(context), WIDTH + 1), np.float32)
     hidden = inner[0][context[:, 0]]
     for k in range(1, 2 * SIDE):
-        hidden = hidden + inner[k][context[:, k]]
-    hidden = np.tanh(hidden + bias)
-    logits = hidden @ outer
-    logits += prior
-    if np.abs(outer).sum(axis=0).max() + np.abs(prior).max() > 80:  # else no weight can overflow
+        hidden += inner[k][context[:, k]]
+    hidden += bias
+    np.tanh(hidden, out=out[:, :WIDTH])
+    return out
+
+
+def weigh(logits: np.ndarray, target: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into weights of classes in place; sums of weights and log-probabilities of the targets."""
+    if not safe:
         logits -= logits.max(axis=1, keepdims=True)
-    return hidden, np.exp(logits), logits
+    logs = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    return total, logs - np.log(total)
+
+
+def _outer(params: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+    """The outer weights over the prior, and whether no weight of a class can overflow."""
+    both = np.concatenate([params[2], params[3][None]])
+    return both, bool(np.abs(params[2]).sum(axis=0).max() + np.abs(params[3]).max() <= 80)
 
 
 def log_probabilities(params: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    _, weights, logits = forward(params, context)
-    return logits[np.arange(len(target)), target] - np.log(weights.sum(axis=1))
+    hidden, (outer, safe) = hidden_values(params, context), _outer(params)
+    out, held = np.zeros(len(target), np.float32), np.empty((ROWS, outer.shape[1]), np.float32)
+    for a in range(0, len(target), ROWS):
+        logits = np.matmul(hidden[a : a + ROWS], outer, out=held[: len(target) - a])
+        out[a : a + ROWS] = weigh(logits, target[a : a + ROWS], safe)[1]
+    return out
 
 
 class Trainer:
@@ -154,24 +293,31 @@ class Trainer:
         self.params = [p.copy() for p in params]
         self.mean = [np.zeros_like(p) for p in params]
         self.square = [np.zeros_like(p) for p in params]
+        self.held = np.empty((ROWS, params[3].shape[0]), np.float32)
         self.steps = self.seen = 0
 
     def step(self, context: np.ndarray, target: np.ndarray) -> float:
-        inner, bias, outer, _ = self.params
-        hidden, d, logits = forward(self.params, context)
-        total = d.sum(axis=1, keepdims=True)
-        loss = -float((logits[np.arange(len(target)), target] - np.log(total[:, 0])).mean())
-        d /= total
-        d[np.arange(len(target)), target] -= 1
-        d /= len(target)
-        back = (d @ outer.T) * (1 - hidden * hidden)
-        grads = [np.zeros_like(inner), back.sum(axis=0), hidden.T @ d, d.sum(axis=0)]
+        n, inner = len(target), self.params[0]
+        hidden, (outer, safe) = hidden_values(self.params, context), _outer(self.params)
+        back, down, loss = np.empty((n, WIDTH), np.float32), np.zeros_like(outer), 0.0
+        turned = np.ascontiguousarray(self.params[2].T)
+        for a in range(0, n, ROWS):
+            own = target[a : a + ROWS]
+            d = np.matmul(hidden[a : a + ROWS], outer, out=self.held[: n - a])
+            total, logs = weigh(d, own, safe)
+            loss -= float(logs.sum()) / n
+            d *= (1 / (total * n))[:, None]
+            d[np.arange(len(own)), own] -= np.float32(1 / n)
+            back[a : a + ROWS] = d @ turned
+            down += hidden[a : a + ROWS].T @ d
+        back *= 1 - hidden[:, :WIDTH] ** 2
+        grads = [np.empty_like(inner), back.sum(axis=0), down[:WIDTH], down[WIDTH]]
+        flat, places = back.ravel(), np.arange(WIDTH)
         for k in range(2 * SIDE):
-            picked = np.zeros((len(target), inner.shape[1]), np.float32)
-            picked[np.arange(len(target)), context[:, k]] = 1
-            grads[0][k] = picked.T @ back
+            at = (context[:, k, None] * WIDTH + places).ravel()
+            grads[0][k] = np.bincount(at, flat, inner.shape[1] * WIDTH).reshape(-1, WIDTH)
         self.steps += 1
-        self.seen += len(target)
+        self.seen += n
         for p, g, m, s in zip(self.params, grads, self.mean, self.square):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
@@ -179,12 +325,10 @@ class Trainer:
         return loss
 
 
-def _tokens(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for part in slices(batch, limit=4 << 20):
-        counts, coded = split_words(part.column("text"))
-        classes, shares = vocabulary.lookup(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy()
-        yield part, counts, classes[at], shares[at]
+def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> Iterator[np.ndarray]:
+    for name in names:
+        x = unpack(batch.column(name)[row].as_py(), "<f4" if name == "shares" else "<u4")
+        yield x if name == "shares" else x.astype(np.int64)
 
 
 def train_on(trainer: Trainer, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -196,7 +340,7 @@ def train_on(trainer: Trainer, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -
     for classes, counts in parts:
         for a in range(0, len(classes), 64 * BATCH):
             at = np.arange(a, min(a + 64 * BATCH, len(classes)))
-            context, target = np.concatenate([context, windows(classes, counts, at)]), np.concatenate([target, classes[at]])
+            context, target = np.concatenate([context, windows(classes, counts, at, trainer.params[0].shape[1] - 1)]), np.concatenate([target, classes[at]])
             if len(target) < 16 * BATCH:
                 continue
             order = np.random.default_rng(trainer.steps).permutation(len(target))
@@ -208,19 +352,26 @@ def train_on(trainer: Trainer, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -
         trainer.step(context[b : b + BATCH], target[b : b + BATCH])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
+def train(coded: DataFrame, classes: int) -> list[np.ndarray]:
     """The network's weights after ROUNDS rounds, in each of which every token of all documents is a target."""
-    spark = docs.sparkSession
-    params = _start()
-    words = spark.sparkContext.broadcast(vocabulary)  # VOCABULARY words, whatever the data
+    params = _start(classes)
     for _ in range(ROUNDS):
         now = _flat(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            trainer = Trainer(_shaped(now))
-            train_on(trainer, ((classes, counts) for batch in batches for _, counts, classes, _ in _tokens(batch, words.value)))
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for batch in batches:
+                    for row in range(batch.num_rows):
+                        counts, codes, own = _unpacked(batch, row, "counts", "codes", "classes")
+                        yield own[codes], counts
+                        give_back()
+
+            one_thread()
+            give_back()
+            trainer = Trainer(_shaped(now, classes))
+            train_on(trainer, parts())
             if trainer.seen:
                 cols = [[TaskContext.get().partitionId() % SUMS], [trainer.seen], [(_flat(trainer.params) * np.float64(trainer.seen)).tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "seen", "model"])
@@ -233,10 +384,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "model"])
 
-        made = docs.select("text").mapInArrow(run, "part long, seen long, model binary")
+        made = coded.select("counts", "codes", "classes").mapInArrow(run, "part long, seen long, model binary")
         sums = made.repartition(SUMS, "part").mapInArrow(add, "seen long, model binary").collect()
         if sums:
-            params = _shaped(sum(np.frombuffer(r["model"]) for r in sums) / sum(r["seen"] for r in sums))
+            params = _shaped(sum(np.frombuffer(r["model"]) for r in sums) / sum(r["seen"] for r in sums), classes)
     return params
 
 
@@ -247,21 +398,23 @@ def score(docs: DataFrame) -> DataFrame:
     its mean. Null, empty and blank texts have no tokens, sum 0 and a null mean. Repeated rows have equal scores;
     extra columns are not read; an empty table gives no rows. Reruns over the same partitions agree.
     """
-    spark = docs.sparkSession
-    rows = id_text(docs)
-    vocabulary = learn_vocabulary(stage_table(word_counts(rows), "words"))
-    params = train(rows, vocabulary)
-    words = spark.sparkContext.broadcast(vocabulary)
+    coded, vocabulary = code(id_text(docs))
+    params = train(coded, vocabulary.classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        give_back()
         for batch in batches:
-            for part, counts, classes, shares in _tokens(batch, words.value):
-                logs = shares.astype(np.float64)
-                context = windows(classes, counts)
+            for row in range(batch.num_rows):
+                counts, codes, classes, logs = _unpacked(batch, row, "counts", "codes", "classes", "shares")
+                classes, logs = classes[codes], logs[codes].astype(np.float64)
                 for a in range(0, len(classes), 8192):
-                    logs[a : a + 8192] += log_probabilities(params, context[a : a + 8192], classes[a : a + 8192])
+                    at = np.arange(a, min(a + 8192, len(classes)))
+                    logs[at] += log_probabilities(params, windows(classes, counts, at, vocabulary.classes), classes[at])
                 sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts))
                 mean = pa.array(np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), mean], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
+                cols = [pa.array(batch.column("doc_ids")[row].as_py(), pa.int64()), pa.array(counts), pa.array(sums), mean]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "log_likelihood", "per_token"])
+                give_back()
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")

@@ -158,13 +158,44 @@ def test_lm_every_document_in_every_round(docs, monkeypatch):
     monkeypatch.setattr(lm_score, "SUMS", 1)
     text, seen = lm_score.id_text(docs), []
     n = sum(len((r.text or "").split()) for r in docs.collect())
-    vocabulary = lm_score.learn_vocabulary(lm_score.word_counts(text))
+    coded, vocabulary = lm_score.code(text)
     real = type(text).collect
     monkeypatch.setattr(type(text), "collect", lambda df: seen.append(real(df)) or seen[-1])
-    lm_score.train(text, vocabulary)
+    lm_score.train(coded, vocabulary.classes)
     assert [sum(r.seen for r in rows_) for rows_ in seen] == [n] * lm_score.ROUNDS
 
 
+def test_lm_counts_every_word(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TEXT", 20_000)
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", 1_000)
+    words = [f"w{i}zz" for i in range(6000) for _ in range(1 + i % 3)] + ["The", "the", "ÉTÉ", "été"] * 9
+    np.random.default_rng(2).shuffle(words)
+    texts = [None, "", *(" ".join(words[a : a + 50]) for a in range(0, len(words), 50))]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n, got, tokens = Counter(w.lower() for w in words), {}, 0
+    coded, vocabulary = lm_score.code(made)
+    for r in coded.collect():
+        counts, codes = (lm_score.unpack(r[c], "<u4") for c in ("counts", "codes"))
+        classes, shares = lm_score.unpack(r.classes, "<u4")[codes], lm_score.unpack(r.shares, "<f4")[codes]
+        ends = np.cumsum(counts)
+        for d, a, b in zip(r.doc_ids, ends - counts, ends):
+            own = (texts[d] or "").lower().split()
+            assert len(own) == b - a
+            got |= zip(own, zip(classes[a:b].tolist(), shares[a:b].tolist()))
+            tokens += len(own)
+    assert tokens == len(words) and got.keys() == n.keys()
+    total = Counter()
+    for w, (c, _) in got.items():
+        total[c] += n[w]
+    assert all(abs(share - np.log(n[w] / total[c])) < 1e-4 for w, (c, share) in got.items())
+    assert vocabulary.total.sum() == len(words) and got["the"][1] == 0
+
+
+def test_lm_classes_grow_with_the_corpus():
+    sizes = [sum(lm_score.class_counts(n)) for n in (0, 10**5, 10**6, 10**8)]
+    assert sizes[0] == lm_score.CLASSES and sizes == sorted(sizes) and len(set(sizes)) > 2
+
+
 def test_secrets(docs, empty):
     import base64
     import gzip
