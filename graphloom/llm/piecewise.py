@@ -46,13 +46,17 @@ def triggers(raw: bytes) -> np.ndarray:
 
 
 def signature(raw: bytes, ends: list[int]) -> str:
-    """A character for each chunk; past MAX_SIGNATURE - 1 chunks, one for all that is left."""
-    ends = [e for e in ends[: MAX_SIGNATURE - 1] if e < len(raw)] + [len(raw)]
+    """A character for each chunk."""
+    ends = [e for e in ends if e < len(raw)] + [len(raw)]
     return "".join(ALPHABET[xxh32_intdigest(raw[a:b]) & 63] for a, b in zip([0, *ends], ends))
 
 
 def fingerprint(text: str) -> str:
-    """``size:signature:signature at twice the size``; the size follows from the text's length alone."""
+    """``size:signature:signature at twice the size``.
+
+    The size follows from the text's length, and doubles while there are more than MAX_SIGNATURE chunks, as texts of
+    repeated lines may have: signatures cover the whole text.
+    """
     raw = text.encode("utf-8", "surrogatepass")
     if not raw:
         return f"{LEAST_BLOCK}::"
@@ -60,6 +64,10 @@ def fingerprint(text: str) -> str:
     hashes = triggers(raw)
     limit = (1 << 32) // size
     ends = np.flatnonzero(hashes < limit)  # a boundary at twice the size is one at the size as well
+    while len(ends) - (len(ends) > 0 and ends[-1] == len(raw) - 1) >= MAX_SIGNATURE:
+        size *= 2
+        limit = (1 << 32) // size
+        ends = ends[hashes[ends] < limit]
     fewer = ends[hashes[ends] < limit // 2]
     return f"{size}:{signature(raw, (ends + 1).tolist())}:{signature(raw, (fewer + 1).tolist())}"
 

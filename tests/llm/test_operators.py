@@ -287,6 +287,15 @@ def test_piecewise(docs, spark, empty):
         assert piecewise.edit_distance(a, b) == slow(a, b)
 
 
+def test_piecewise_signatures_cover_the_whole_text():
+    for head in [(a + b) * 2000 for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]:  # some have a chunk for each turn
+        size, long, short = piecewise.fingerprint(head + "the end of it").split(":")
+        assert len(short) <= len(long) <= piecewise.MAX_SIGNATURE
+        raw = (head + "the end of it").encode()
+        ends = [0, *(i + 1 for i in np.flatnonzero(piecewise.triggers(raw) < (1 << 32) // int(size)) if i + 1 < len(raw)), len(raw)]
+        assert long == "".join(piecewise.ALPHABET[piecewise.xxh32_intdigest(raw[a:b]) & 63] for a, b in zip(ends, ends[1:]))
+
+
 def test_simhash(docs, empty):
     got = by_id(simhash.simhash_components(docs))
     values = {}
