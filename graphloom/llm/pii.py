@@ -37,7 +37,7 @@ PATTERNS = {
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
 #: One quick vectorised test for what any of the patterns must contain.
-MAY_HAVE = r"@|[0-9][ .-]?[0-9()]{2}|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|[Mm]y name is|[Ii] am|[Cc]ontact|[Ss]incerely)\b"
+MAY_HAVE = r"@|[0-9][ .-]?[0-9()]{2}|[0-9][ .-][0-9]|[A-Z]{2}[0-9]{2}|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|[Mm]y name is|[Ii] am|[Cc]ontact|[Ss]incerely)\b"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
 

@@ -340,6 +340,18 @@ def test_pii(docs, empty):
     assert by_id(pii.replace_pii(docs))[0].redacted is None and pii.replace_pii(empty).count() == 0
 
 
+def test_pii_quick_test_holds_what_every_pattern_needs(spark):
+    texts = ["ask 10.0.0.1 or 8.8.8.8 now", "at 1.2.3.4", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "a@b.cd", "12-34", "(212) 555-0100", "+1 (2) 34 56", "123-45-6789", "Señora Anna Smith"]
+    for i in range(97):  # an IBAN without three digits side by side
+        if pii.iban_ok(x := f"MT{i:02d}MALTABCDEFGHJKLMNOPQRSTUVWXYZAB"):
+            texts.append(x)
+    got = by_id(pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        out, spans = pii.redact(t, pii.DEFAULT_KEY)
+        assert got[i].redacted == out and got[i].n_entities == len(spans) and (spans or t == "12-34"), t
+    assert len(texts) == 10
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
