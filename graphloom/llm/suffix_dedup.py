@@ -275,6 +275,9 @@ def window_masks(rows: np.ndarray, key: np.ndarray, docs: np.ndarray) -> np.ndar
             lost = own > small
             np.bitwise_or.at(out, held[r[lost]], bits[p[lost]])
         a = b
+    # Rows that repeat a doc_id may send a context from several blocks: all of its least doc_id lose what the leading one does.
+    first = docs == least
+    out[first] = out[lead][cls[first]]
     return out
 
 

@@ -327,6 +327,26 @@ def test_bit_slices():
     assert (near.astype(bool) == ((apart <= 3) & (apart > 0))).all()
 
 
+def test_suffix_dedup_repeated_rows_in_different_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_TEXT", 1)  # each row is a block
+    rng = np.random.default_rng(11)
+    draw = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    made = []
+    for i in range(20):
+        passage = draw(90)
+        made += [(2 * i, draw(60) + passage + draw(60)), *[(2 * i + 1, draw(70) + passage + draw(70))] * 3]
+    first = {}
+    for d, t in made:
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()
+    want = Counter()
+    for d, t in made:
+        gone = {j for i in range(len(t) - 49) if first[t[i : i + 50]] < d for j in range(i, i + 50)}
+        want[d, len(gone), "".join(c for i, c in enumerate(t) if i not in gone).encode()] += 1
+    assert Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in got) == want
+
+
 def test_pii(docs, empty):
     key, text = b"k", "Mail Ann.Lee+x@mail.example.com or ann.lee+x@mail.example.com, +1 (988) 555-2485, 4111111111111111, 42.144.35.254, Mr. John Smith, Mrs Anna Smith."
     out, spans = pii.redact(text, key)
