@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -36,8 +37,9 @@ _HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 #: What a text must have before any layer can come of it, for one quick vectorised test.
 _MAY_DECODE = r"%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}"
 
-#: A compressed stream is unpacked up to this size; a longer one is taken for a bomb and left packed.
-MAX_UNPACKED = 16 << 20
+#: A compressed stream is unpacked whole up to so many bytes; a longer one is scanned in pieces of this size, each with
+#: the last OVERLAP characters of the one before, so memory is bounded.
+MAX_UNPACKED, OVERLAP = 16 << 20, 1 << 20
 
 Span = tuple[int, int, str]
 
@@ -56,16 +58,67 @@ def _printable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _unpacked(raw: bytes) -> str | None:
-    """Text of a gzip or zlib stream."""
+def _inflate(raw: bytes) -> Iterator[bytes]:
+    """A gzip or zlib stream and further gzip members behind it, in pieces of MAX_UNPACKED bytes at most.
+
+    What follows the last member and is none is left out, as gzip does; an unfinished stream gives what it has.
+    """
+    more = True
+    while more:
+        stream = zlib.decompressobj(47)
+        try:
+            while raw and not stream.eof:
+                out = stream.decompress(raw, MAX_UNPACKED)
+                if not out and stream.unconsumed_tail == raw:
+                    return
+                raw = stream.unconsumed_tail
+                yield out
+                while not raw and not stream.eof and len(out) == MAX_UNPACKED:  # what the stream still holds
+                    out = stream.decompress(b"", MAX_UNPACKED)
+                    yield out
+        except zlib.error:
+            if stream.eof:
+                return
+            raise
+        raw = stream.unused_data
+        more = raw[:2] == b"\x1f\x8b"
+
+
+def _unpacked(raw: bytes) -> str | frozenset[str] | None:
+    """Text of a gzip or zlib stream; of a large one the kinds of secrets in its text."""
     if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
         return None
+    held, size, kinds, tail = [], 0, None, ""
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        stream = zlib.decompressobj(47)
-        out = stream.decompress(raw, MAX_UNPACKED)
-    except zlib.error:
+        for piece in _inflate(raw):
+            held.append(piece)
+            size += len(piece)
+            if size <= MAX_UNPACKED:
+                continue
+            text = _clean(decoder.decode(b"".join(held)))
+            held, size, kinds = [], MAX_UNPACKED, kinds or set()  # from here on, piece by piece
+            if text is None:
+                return None
+            kinds |= _kinds(tail + text)
+            tail = (tail + text)[-OVERLAP:]
+    except (zlib.error, UnicodeDecodeError):
+        return None
+    if kinds is None:
+        return _printable(b"".join(held))
+    try:
+        text = decoder.decode(b"".join(held), True)
+    except UnicodeDecodeError:
         return None
-    return None if stream.unconsumed_tail else _printable(out)
+    return frozenset(kinds | _kinds(tail + text)) if _clean(text) is not None else None
+
+
+def _clean(text: str) -> str | None:
+    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+
+
+def _kinds(text: str) -> set[str]:
+    return {k for _, _, k in scan(text)[1]}
 
 
 def _url(run: str) -> str | None:
@@ -110,8 +163,11 @@ def _origin(pieces: list[Piece], starts: list[int], a: int, b: int) -> tuple[int
     return p[2] + a - p[0] if p[4] else p[2], q[2] + b - q[0] if q[4] else q[3]
 
 
-def _unwrap(text: str, pieces: list[Piece], pattern: re.Pattern, decoder) -> tuple[str, list[Piece]] | None:
-    """The layer with every run of one encoding decoded in place; None if there is none."""
+def _unwrap(text: str, pieces: list[Piece], pattern: re.Pattern, decoder, found: list[Span]) -> tuple[str, list[Piece]] | None:
+    """The layer with every run of one encoding decoded in place; None if there is none.
+
+    A run that is too large to stand in a layer stays as it is, and the secrets in it go to ``found``.
+    """
     starts = [p[0] for p in pieces]
     out: list[str] = []
     made: list[Piece] = []
@@ -127,7 +183,9 @@ def _unwrap(text: str, pieces: list[Piece], pattern: re.Pattern, decoder) -> tup
         length += b - a
 
     for m in pattern.finditer(text):
-        if (new := decoder(m[0])) is not None and new != m[0]:
+        if isinstance(new := decoder(m[0]), frozenset):
+            found += [(*_origin(pieces, starts, m.start(), m.end()), k) for k in KINDS if k in new]
+        elif new is not None and new != m[0]:
             keep(at, m.start())
             made.append((length, len(new), *_origin(pieces, starts, m.start(), m.end()), False))
             out.append(new)
@@ -151,7 +209,7 @@ def layer_spans(text: str) -> list[Span]:
     while work:
         now, pieces = work.pop()
         for pattern, decoder in DECODERS:
-            if (new := _unwrap(now, pieces, pattern, decoder)) is None:
+            if (new := _unwrap(now, pieces, pattern, decoder, found)) is None:
                 continue
             key = hashlib.blake2b(new[0].encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if key in seen:

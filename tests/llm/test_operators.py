@@ -212,6 +212,32 @@ def test_secrets(docs, empty):
     assert by_id(secrets.secret_scan(docs))[0].spans == "" and secrets.secret_scan(empty).count() == 0
 
 
+def test_secrets_in_all_of_a_compressed_stream(monkeypatch):
+    import base64
+    import gzip
+
+    x, rng = b"password=abcdefghijkl123", np.random.default_rng(1)
+
+    def kinds(raw):
+        text = "before " + base64.b64encode(raw).decode() + " after"
+        base, spans = secrets.scan(text)
+        return {k for a, b, k in spans if (a, b, k) not in base and 7 <= a and b <= len(text) - 6}
+
+    assert kinds(gzip.compress(b"nothing ") + gzip.compress(x)) == {"assign"}  # a second member
+    assert kinds(gzip.compress(b"x ") + gzip.compress(b"y ") + gzip.compress(x) + b"\0" * 8) == {"assign"}
+    pad = b"word " * 3_600_000
+    for made in (x + b" " + pad, pad + x, pad[:-8] + x + b" " + pad):  # over 16 MB unpacked
+        assert kinds(gzip.compress(made)) == {"assign"}
+    assert kinds(zlib.compress(pad + base64.b64encode(x) + b" ")) == {"assign"} and kinds(gzip.compress(pad)) == set()
+    monkeypatch.setattr(secrets, "MAX_UNPACKED", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for at in (*range(970, 1010), *range(1990, 2005)):
+        words = " ".join(rng.choice(["päper", "b", "stone"], 900)).encode()[: at * 2]
+        words = words.decode(errors="ignore").encode() + b" "
+        assert kinds(gzip.compress(words[:at].decode(errors="ignore").encode() + b" " + x + b" " + words)) == {"assign"}, at
+    assert kinds(gzip.compress(x + b" ok" * 2000 + b"\xff")) == set()  # no text
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, block_words=8).collect()
     assert len(got) == len(rows()) + 1 and mixing.mix(empty).count() == 0
