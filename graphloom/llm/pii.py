@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,14 +26,21 @@ FEMALE = "Alice Amelia Anna Barbara Carmen Caroline Charlotte Claire Clara Diana
 MALE = "Adam Albert Alexander Andrew Anthony Antonio Arthur Benjamin Carlos Charles Christopher Daniel David Edward Eric Felix Francisco Frank Frederick George Hans Henry Hugo Jack Jacob James John Joseph Juan Karl Klaus Louis Lucas Luis Mark Martin Max Michael Miguel Oliver Oscar Paul Peter Philippe Pierre Richard Robert Simon Stefan Stephen Thomas Victor Walter William".split()
 FAMILY = "Adams Allen Anderson Bailey Baker Becker Bell Bennett Bernard Brown Campbell Carter Clark Collins Cook Cooper Davis Diaz Dubois Edwards Evans Fernandez Fischer Foster Garcia Gomez Gonzalez Gray Green Hall Harris Hernandez Hill Hoffmann Hughes Jackson Johnson Jones Kelly King Koch Lambert Lefevre Lewis Lopez Martinez Meyer Miller Mitchell Moore Moreau Morgan Morris Murphy Nelson Parker Perez Phillips Price Reed Richardson Richter Roberts Robinson Rodriguez Rogers Ross Roux Sanchez Sanders Schmidt Schneider Schulz Scott Simpson Smith Stewart Taylor Thompson Torres Turner Wagner Walker Ward Watson Weber White Williams Wilson Wood Wright Young Zimmermann".split()
 
+#: Letters of scripts that part words by spaces; of others an address takes none, as it would take the text before it.
+_LETTER = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u0373\u0376-\u037d\u0386-\u03ff\u0400-\u0481\u048a-\u052f\u0531-\u0556\u0561-\u0587\u05d0-\u05ea\u0620-\u064a\u1e00-\u1fff"
+_LABEL = f"[{_LETTER}]+(?:-+[{_LETTER}]+)*"
+_WORD = r"[^\W\d_]+(?:['\u2019-][^\W\d_]+)*"
+_TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
+
 # Patterns by kind, in order of precedence.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": rf"[{_LETTER}._%+-]+@{_LABEL}(?:\.{_LABEL})+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z]|[.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z.+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "titled": rf"\b(?:{_TITLES})\.?\x20+(?P<words>{_WORD}(?:\x20+{_WORD}){{0,2}})",
     "name": rf"\b(?P<title>Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|[Mm]y name is|[Ii] am|[Cc]ontact|[Ss]incerely,?)\.?\x20+(?P<given>{'|'.join(FEMALE + MALE)})(?:\x20+(?P<family>{'|'.join(sorted(FAMILY, key=len, reverse=True))}))?\b",
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
@@ -40,6 +48,8 @@ _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
 MAY_HAVE = r"@|[0-9][ .-]?[0-9()]{2}|[0-9][ .-][0-9]|[A-Z]{2}[0-9]{2}|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|[Mm]y name is|[Ii] am|[Cc]ontact|[Ss]incerely)\b"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
+_GIVEN = frozenset(FEMALE + MALE)
+_LISTED = frozenset(FEMALE + MALE + FAMILY)
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -57,9 +67,26 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
             return value
 
 
+@lru_cache(1 << 16)
+def alphabet(c: str) -> str:
+    """What may stand for a character: digits, letters of its case and script (beyond ASCII, those in the same run of
+    256 code points), or nothing."""
+    if c < "\x80":
+        return DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else ""
+    if not c.isalpha():
+        return ""
+
+    def form(x: str) -> tuple:
+        one = len(x.lower()) == len(x.upper()) == 1 and x.upper().lower() == x.lower()  # case can be given back
+        return unicodedata.name(x, "").split(" ")[0], unicodedata.category(x), one
+
+    page = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(max(page, 0x80), page + 256)) if x.isalpha() and form(x) == form(c))
+
+
 def permute_text(text: str, key: bytes, tweak: str) -> str:
-    """A keyed permutation of the texts of one format: digits stay digits, and letters letters of their case."""
-    alphabets = [DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else "" for c in text]
+    """A keyed permutation of the texts of one format: digits stay digits, and letters letters of their case and script."""
+    alphabets = [alphabet(c) for c in text]
     value, size = 0, 1
     for c, own in zip(text, alphabets):
         if own:
@@ -154,11 +181,11 @@ def _email(value: str, key: bytes) -> str:
 
     Letter case does not part addresses, so the surrogate follows the lower-case form and takes the case over.
     """
-    low = value.lower()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     local, domain = low.rsplit("@", 1)
     head, _, tail = domain.rpartition(".")
     made = walk(f"{local}@{head}", lambda x: permute_text(x, key, "email" + tail), lambda x: True) + "." + tail
-    return "".join(m.upper() if c in UPPER else m for c, m in zip(value, made))
+    return "".join(m.upper() if c.isupper() and len(m.upper()) == 1 else m for c, m in zip(value, made))
 
 
 def _pick(name: str, names: list[str], key: bytes, tweak: str) -> str:
@@ -183,6 +210,8 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         return head + _refill(value[len(head) :], walk(_only(value[len(head) :]), lambda x: permute_text(x, key, "phone" + head), lambda x: True))
     if kind == "ssn":
         return _refill(value, walk(_only(value), lambda x: permute_text(x, key, "ssn"), lambda x: x[:3] not in ("000", "666") and x[0] != "9"))
+    if kind == "other":  # no listed name, so it takes no listed one either
+        return walk(value, lambda x: permute_text(x, key, kind), lambda x: x not in _LISTED)
     if kind == "female":
         return _pick(value, FEMALE, key, kind)
     if kind == "male":
@@ -197,13 +226,31 @@ def _valid(kind: str, value: str) -> bool:
     return kind != "iban" or iban_ok(value)
 
 
+def _titled(m: re.Match) -> list[tuple[int, int, str]]:
+    new = []
+    for w in re.finditer(r"[^\x20]+", m["words"]):
+        if w[0][0].islower() or w[0] in ("I", "A"):
+            break
+        if not new and w[0] in _GIVEN:
+            kind = "female" if w[0] in FEMALE else "male"
+        else:
+            kind = "family" if w[0] in FAMILY else "other"
+        new.append((m.start("words") + w.start(), m.start("words") + w.end(), kind))
+    return new
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """Spans that do not overlap, by start; earlier kinds win over later ones. A name gives a span for each part."""
+    """Spans that do not overlap, by start; earlier kinds win over later ones. A name gives a span for each part.
+
+    After a title up to three capitalised words, of any script, are a name; words of no list are of kind ``other``.
+    """
     found: list[tuple[int, int, str]] = []
     for kind, pattern in _COMPILED.items():
         new = []
         for m in pattern.finditer(text):
-            if kind == "name":
+            if kind == "titled":
+                new += _titled(m)
+            elif kind == "name":
                 new += [(*m.span(p), p if p == "family" else "female" if m[p] in FEMALE else "male") for p in ("given", "family") if m[p]]
             elif _valid(kind, m[0]):
                 new.append((*m.span(), kind))

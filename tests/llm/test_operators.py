@@ -398,6 +398,21 @@ def test_pii_quick_test_holds_what_every_pattern_needs(spark):
     assert len(texts) == 10
 
 
+def test_pii_names_by_shape_and_letters_of_any_script():
+    key = b"k"
+    for text, gone in [
+        ("Mr. Smith said", ["Smith"]), ("Frau Schmidt kam", ["Schmidt"]), ("Dr. Amir Khan, here", ["Amir", "Khan"]), ("Mr John Kowalski went", ["John", "Kowalski"]),
+        ("Mr. Иван Петров пришёл", ["Иван", "Петров"]), ("to müller@example.com or", ["müller@example.com"]), ("Ms O'Neill-Ärzte.", ["O'Neill-Ärzte"]), ("Mr. 山田 said", ["山田"]),
+    ]:
+        out, spans = pii.redact(text, key)
+        assert [text[a:b] for a, b, _ in spans] == gone and not any(x in out for x in gone), (out, spans)
+        script = lambda x: [(pii.unicodedata.name(c).split()[0], c.isupper()) if c.isalpha() else c for c in x]
+        assert {k for _, _, k in spans} - {"other", "email"} or script(out) == script(text)
+    assert not pii.entities("Mr. and Mrs. were, a Miss I know; Dr. who")
+    made = {pii.surrogate("other", "Kö" + a + b, key) for a in pii.LOWER for b in pii.LOWER}
+    assert len(made) == 676 and not made & set(pii.FEMALE + pii.MALE + pii.FAMILY)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
