@@ -170,6 +170,19 @@ query("lcc", f"{CO}{TRI} select deg.id, round(case when degree > 1 then 2.0::dou
 query("triangle_count", f"{CO}{TRI} select count(*) triangles from tri")(lambda s, d: kernels.triangle_count(copurchase(s, d, 0)))
 query("triangles_per_vertex", f"{CO}{TRI} select id, triangles from t")(lambda s, d: kernels.triangles(copurchase(s, d, 0)))
 
+# The same over the whole table, whatever the quantity; too much for SQL by recursion, so tests hold them against brute force
+
+query("degree_whole")(lambda s, d: copurchase(s, d, 0).degrees())
+query("logical_ids_whole")(lambda s, d: copurchase(s, d, 0).logical_ids())
+query("has_vertex_probe_whole")(lambda s, d: reads.has_vertex(copurchase(s, d, 0), _parts(s, d)))
+query("pagerank_whole")(lambda s, d: kernels.pagerank(copurchase(s, d, 0)).select("id", F.round("rank", 9).alias("rank")))
+query("bfs_whole")(lambda s, d: kernels.bfs(g := copurchase(s, d, 0), _root(g)))
+query("sssp_weighted_whole")(lambda s, d: kernels.sssp(g := copurchase(s, d, 0), _root(g)).where("distance < double('inf')").select("id", F.round("distance", 6).alias("distance")))
+query("sssp_unit_whole")(lambda s, d: kernels.sssp(g := copurchase(s, d, 0), _root(g), weighted=False).where("distance < double('inf')").select("id", F.round("distance", 6).alias("distance")))
+query("wcc_whole")(lambda s, d: kernels.wcc(copurchase(s, d, 0)))
+query("component_sizes_whole")(lambda s, d: kernels.component_numbers(kernels.wcc(copurchase(s, d, 0))))
+query("cdlp_whole")(lambda s, d: kernels.cdlp(copurchase(s, d, 0)))
+
 # Log, snapshots and mutations
 
 query("snapshot_latest", f"{SNAP} select lo, hi, weight, seq from und")(lambda s, d: mlog.snapshot(log(s, d)))

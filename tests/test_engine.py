@@ -218,3 +218,51 @@ def test_memory_series(spark, tmp_path):
     assert [round(r.value, 9) for r in curve] == [0, 1, 2, 3, 3, 4, 5, 6, 7] and curve[-1].x == 1.0
     with pytest.raises(ValueError):
         metrics.result_line("pr", 1, 0, 0, 0, status="odd")
+
+
+def test_kernels_over_the_whole_table(spark, tmp_path):
+    import heapq
+    import random
+    from collections import Counter
+
+    from graphloom.plans.queries import QUERIES
+
+    rnd, lines, weight = random.Random(3), [], {}
+    for order in range(30):
+        base = 1 if order < 20 else 31  # two components at least
+        picks = [(k, base + rnd.randrange(20), float(rnd.randrange(1, 51))) for k in range(1, rnd.randrange(2, 5))]
+        lines += [(order, *x) for x in picks]
+        for (_, a, q), (_, b, _) in zip(picks, picks[1:]):
+            if a != b:
+                weight[min(a, b), max(a, b)] = min(q, weight.get((min(a, b), max(a, b)), q))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1, 60).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    adj = {}
+    for (a, b), w in weight.items():
+        adj.setdefault(a, {})[b] = adj.setdefault(b, {})[a] = w
+    ids = sorted(adj)
+
+    def far(root, cost):
+        dist, work = {}, [(0, root)]
+        while work:
+            d, v = heapq.heappop(work)
+            if v not in dist:
+                dist[v] = d
+                for u, w in adj[v].items():
+                    heapq.heappush(work, (d + cost(w), u))
+        return dist
+
+    got = {name: [tuple(r) for r in QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()] for name in ("degree", "logical_ids", "has_vertex_probe", "pagerank", "bfs", "sssp_weighted", "sssp_unit", "wcc", "component_sizes", "cdlp")}
+    unit, root = far(ids[0], lambda w: 1), ids[0]
+    assert dict(got["degree"]) == {v: len(adj[v]) for v in ids} and dict(got["logical_ids"]) == {v: i for i, v in enumerate(ids)}
+    assert dict(got["has_vertex_probe"]) == {v: v in adj for v in range(1, 60)}
+    assert dict(got["bfs"]) == {v: unit.get(v, -1) for v in ids} and dict(got["sssp_unit"]) == unit
+    assert dict(got["sssp_weighted"]) == far(root, lambda w: w)
+    component = {v: min(far(v, lambda w: 1)) for v in ids}
+    sizes = sorted(Counter(component.values()).items())
+    assert dict(got["wcc"]) == component and sorted(got["component_sizes"]) == [(i, c, n) for i, (c, n) in enumerate(sizes)] and len(sizes) > 1
+    rank, label = dict.fromkeys(ids, 1 / len(ids)), {v: v for v in ids}
+    for _ in range(10):
+        rank = {v: 0.15 / len(ids) + 0.85 * sum(rank[u] / len(adj[u]) for u in adj[v]) for v in ids}
+        label = {v: min(Counter(label[u] for u in adj[v]).items(), key=lambda x: (-x[1], x[0]))[0] for v in ids}
+    assert all(abs(r - rank[v]) < 1e-8 for v, r in got["pagerank"]) and dict(got["cdlp"]) == label
