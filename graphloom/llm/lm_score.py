@@ -1,19 +1,25 @@
 """Masked pseudo-likelihood: a window network predicts each token from both sides; summed log-probabilities score texts.
 
-A token's probability is that of its class, which the network gives from the classes of the two tokens on either side,
-times its share of the class, which counts over the whole corpus give. The network is numpy alone. It is trained where
-the data lie: each partition takes steps on its own windows from the common weights, and what they reach is averaged
-by windows, round by round.
+A token is predicted from the two tokens on either side of it by two networks, one for each ring of the window: the
+neighbours at distance 1, left and right, and those at distance 2. Each embeds the classes of its two neighbours, goes
+through a hidden layer and a softmax over target classes; the rings' distributions are mixed. Frequent words are target
+classes of their own; any other word has its class's probability times its share of it, by counts of the whole corpus,
+so the probabilities of all words of the corpus sum to 1 in every window.
+
+The networks are numpy alone and learn from every window of every document in every round. Windows that agree in
+neighbours and target fold into one with a count, which loses nothing: a step over the folded windows is a step over
+all. Folded windows are dealt by their neighbours, not by where they came from, and gradients are summed as whole
+numbers, so the weights, and the scores, do not depend on how the input is split.
 
 Documents become blocks of codes into the block's own distinct words. These meet by hash in a table of all words of the
-corpus with their counts, and each word's count goes back to the blocks that have it. Classes grow with the corpus, as
-the cube root of its distinct words.
+corpus with their counts, and each word's count goes back to the blocks that have it. Target classes grow with the
+corpus, as the square root of its distinct words.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,74 +33,65 @@ from graphloom.llm.bpe import _join, word_hashes
 from graphloom.llm.common import give_back, id_text, one_thread
 from graphloom.plans.staging import stage_table
 
-#: Words with a class of their own and classes by word ending for all others: so many at least.
-TOP_CLASSES, END_CLASSES = 64, 64
-CLASSES = TOP_CLASSES + END_CLASSES
+#: Words that are targets of their own, at least; words that count by themselves as neighbours, and classes by ending
+#: for all others: so many at least and at most.
+LEAST_OWN, LEAST_NEAR, MOST_NEAR = 256, 64, 256
 #: Bytes of text in a block (or one document, if that is longer), and distinct words that one bucket of the table takes.
 BLOCK_TEXT, BUCKET_WORDS = 8 << 20, 150_000
-#: Tokens seen on each side, width of the network, training rounds, each over every window of all documents.
-SIDE, WIDTH, ROUNDS, BATCH, RATE = 2, 16, 2, 1024, 0.02
-#: Windows whose values for all classes fit the processor's cache.
-ROWS = 256
-#: Models that reach the driver at most, after sums in as many tasks.
-SUMS = 32
+#: Distances of the neighbours that a network sees, width of the networks, training rounds, each over every window, and
+#: the first and last step size.
+RINGS, WIDTH, ROUNDS, RATES = (1, 2), 16, 16, (0.3, 0.05)
+#: Contexts whose values for all targets fit the processor's cache, tokens worked on at once, and tokens a shard.
+ROWS, PIECE, SHARD_TOKENS = 128, 1 << 17, 1 << 20
+#: Gradients that reach the driver at most, after sums in as many tasks; and what one counts as in whole numbers.
+SUMS, UNIT = 32, 2.0**44
+#: Weights of the first ring that are tried.
+MIXES = tuple(i / 8 for i in range(1, 8))
 _BLOCKS = "doc_ids array<long>, counts binary, codes binary, n_words long, words binary, n binary"
-_CODED = "doc_ids array<long>, counts binary, codes binary, classes binary, shares binary"
-
-
-def _shapes(classes: int) -> tuple[tuple[int, ...], ...]:
-    return (2 * SIDE, classes + 1, WIDTH), (WIDTH,), (WIDTH, classes), (classes,)
-
+_CODED = "doc_ids array<long>, counts binary, codes binary, near binary, classes binary, shares binary"
 
-def _start(classes: int = CLASSES) -> list[np.ndarray]:
-    rng = np.random.default_rng(20)
-    return [(rng.standard_normal(s) * (0.3 if len(s) > 1 else 0)).astype(np.float32) for s in _shapes(classes)]
 
-
-def _flat(params: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([p.ravel() for p in params])
-
-
-def _shaped(flat: np.ndarray, classes: int) -> list[np.ndarray]:
-    out, at = [], 0
-    for s in _shapes(classes):
-        out.append(flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32))
-        at += int(np.prod(s))
-    return out
-
-
-def class_counts(kinds: int) -> tuple[int, int]:
-    """How many words have a class of their own, and classes by ending, for a corpus of so many distinct words."""
-    grown = round(kinds ** (1 / 3))
-    return max(TOP_CLASSES, grown), max(END_CLASSES, grown)
+def class_counts(kinds: int) -> tuple[int, int, int]:
+    """For a corpus of so many distinct words: words that are targets of their own, words that count by themselves as
+    neighbours, and classes by ending."""
+    near = min(max(LEAST_NEAR, round(kinds ** (1 / 3))), MOST_NEAR)
+    return max(LEAST_OWN, round(kinds**0.5)), near, near
 
 
 @dataclass
 class Vocabulary:
-    """What classes are made of: the words that have one of their own, and the tokens in every class. It is as long as
-    there are classes; the counts of the words are in the table."""
+    """What classes are made of: the words that have one of their own, and the tokens in every target class. It is as
+    long as there are classes; the counts of the words are in the table."""
 
     top: dict[str, int]
+    own: int
+    near: int
     ends: int
     total: np.ndarray
 
     @property
-    def classes(self) -> int:
-        return len(self.total)
+    def targets(self) -> int:
+        return self.own + self.ends
+
+    @property
+    def sides(self) -> int:
+        """Classes of a neighbour, of which the last stands past either end of a text."""
+        return self.near + self.ends + 1
 
-    def lookup(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log-share in it of each word, from its count in the corpus."""
-        classes = word_classes(words, self.top, self.classes - self.ends, self.ends)
-        return classes, (np.log(n) - np.log(self.total[classes])).astype(np.float32)
+    def lookup(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class as a neighbour, class as a target, and log-share in the latter of each word, from its count."""
+        near, classes = word_classes(words, self.top, self.near, self.ends), word_classes(words, self.top, self.own, self.ends)
+        return near, classes, (np.log(n) - np.log(self.total[classes])).astype(np.float32)
 
 
-def word_classes(words: list[str], top: dict[str, int], first: int, ends: int) -> np.ndarray:
-    """Classes of words: their own, or from ``first`` up one of ``ends`` by the last two letters."""
+def word_classes(words: list[str], top: dict[str, int], own: int, ends: int) -> np.ndarray:
+    """Classes of words: that of one of the ``own`` first of ``top``, or from there on one of ``ends`` by the last two
+    letters."""
     known: dict[str, int] = {}
     out = np.zeros(len(words), np.int64)
     for i, w in enumerate(words):
-        if (c := top.get(w)) is None and (c := known.get(w[-2:])) is None:
-            c = known[w[-2:]] = first + zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % ends
+        if (c := top.get(w, own)) >= own and (c := known.get(w[-2:])) is None:
+            c = known[w[-2:]] = own + zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % ends
         out[i] = c
     return out
 
@@ -179,7 +176,7 @@ def word_table(blocks: DataFrame) -> DataFrame:
 def learn_vocabulary(table: DataFrame) -> Vocabulary:
     """The classes for a table of words. A few numbers a class are gathered."""
     held = table.where("block is null")
-    tops, ends = class_counts(held.agg(F.sum("kinds")).first()[0] or 0)
+    tops, near, ends = class_counts(held.agg(F.sum("kinds")).first()[0] or 0)
 
     def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +201,11 @@ def learn_vocabulary(table: DataFrame) -> Vocabulary:
     total = np.zeros(tops + ends, np.int64)
     for c, n in held.select("words", "n").mapInArrow(sums, "c long, n long").groupBy("c").agg(F.sum("n")).collect():
         total[c] = n
-    return Vocabulary(top, ends, total)
+    return Vocabulary(top, tops, near, ends, total)
 
 
 def code(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """Blocks of documents, with class and log-share of each of a block's distinct words; and the vocabulary."""
+    """Blocks of documents, with classes and log-share of each of a block's distinct words; and the vocabulary."""
 
     def split(part: pa.RecordBatch) -> list:
         counts, codes, n, words = split_block(part.column("text"))
@@ -225,9 +222,9 @@ def code(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
             for row in range(batch.num_rows):
                 words, found = (batch.column(c)[row].as_py() for c in ("words", "found"))
                 n = np.concatenate([np.zeros(0, np.int64), *(unpack(x["n"], "<i8") for x in sorted(found or [], key=lambda x: x["bucket"]))])
-                classes, shares = shipped.value.lookup([w.decode() for w in _words(words)] if len(n) else [], n)
-                cols = [pa.array([pack(classes.astype("<u4"))], pa.binary()), pa.array([pack(shares.astype("<f4"))], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("doc_ids", "counts", "codes")), *cols], ["doc_ids", "counts", "codes", "classes", "shares"])
+                near, classes, shares = shipped.value.lookup([w.decode() for w in _words(words)] if len(n) else [], n)
+                cols = [pa.array([pack(x)], pa.binary()) for x in (near.astype("<u4"), classes.astype("<u4"), shares.astype("<f4"))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("doc_ids", "counts", "codes")), *cols], ["doc_ids", "counts", "codes", "near", "classes", "shares"])
                 give_back()
 
     back = table.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "n")).alias("found"))
@@ -235,94 +232,42 @@ def code(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return stage_table(joined.mapInArrow(look_up, _CODED), "coded"), vocabulary
 
 
-def windows(classes: np.ndarray, counts: np.ndarray, at: np.ndarray | None = None, outside: int = CLASSES) -> np.ndarray:
-    """Classes of the tokens two before to two after each token, or those at the places ``at``; past either end of a text stands the class ``outside``."""
+def pieces(counts: np.ndarray, near: np.ndarray, sides: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Places of tokens, some at a time, and for each ring their contexts: the left neighbour's class times ``sides``
+    and the right one's. Neighbours past an end of the text have the last class. ``near`` has a class for each token."""
     ends = np.cumsum(counts)
-    at = np.arange(len(classes)) if at is None else at
-    owner = np.searchsorted(ends, at, side="right")
-    first, last = (ends - counts)[owner], ends[owner] - 1
-    out = np.full((len(at), 2 * SIDE), outside, np.int64)
-    for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        other = at + shift
-        there = (other >= first) & (other <= last)
-        out[there, k] = classes[other[there]]
-    return out
-
-
-def hidden_values(params: list[np.ndarray], context: np.ndarray) -> np.ndarray:
-    """Hidden values, and a column of ones, which the prior of the classes takes."""
-    inner, bias, _, _ = params
-    out = np.ones((len(context), WIDTH + 1), np.float32)
-    hidden = inner[0][context[:, 0]]
-    for k in range(1, 2 * SIDE):
-        hidden += inner[k][context[:, k]]
-    hidden += bias
-    np.tanh(hidden, out=out[:, :WIDTH])
-    return out
-
-
-def weigh(logits: np.ndarray, target: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Turns logits into weights of classes in place; sums of weights and log-probabilities of the targets."""
-    if not safe:
-        logits -= logits.max(axis=1, keepdims=True)
-    logs = logits[np.arange(len(target)), target]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    return total, logs - np.log(total)
-
-
-def _outer(params: list[np.ndarray]) -> tuple[np.ndarray, bool]:
-    """The outer weights over the prior, and whether no weight of a class can overflow."""
-    both = np.concatenate([params[2], params[3][None]])
-    return both, bool(np.abs(params[2]).sum(axis=0).max() + np.abs(params[3]).max() <= 80)
-
-
-def log_probabilities(params: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    hidden, (outer, safe) = hidden_values(params, context), _outer(params)
-    out, held = np.zeros(len(target), np.float32), np.empty((ROWS, outer.shape[1]), np.float32)
-    for a in range(0, len(target), ROWS):
-        logits = np.matmul(hidden[a : a + ROWS], outer, out=held[: len(target) - a])
-        out[a : a + ROWS] = weigh(logits, target[a : a + ROWS], safe)[1]
-    return out
-
-
-class Trainer:
-    """Adam on batches of windows."""
-
-    def __init__(self, params: list[np.ndarray]) -> None:
-        self.params = [p.copy() for p in params]
-        self.mean = [np.zeros_like(p) for p in params]
-        self.square = [np.zeros_like(p) for p in params]
-        self.held = np.empty((ROWS, params[3].shape[0]), np.float32)
-        self.steps = self.seen = 0
-
-    def step(self, context: np.ndarray, target: np.ndarray) -> float:
-        n, inner = len(target), self.params[0]
-        hidden, (outer, safe) = hidden_values(self.params, context), _outer(self.params)
-        back, down, loss = np.empty((n, WIDTH), np.float32), np.zeros_like(outer), 0.0
-        turned = np.ascontiguousarray(self.params[2].T)
-        for a in range(0, n, ROWS):
-            own = target[a : a + ROWS]
-            d = np.matmul(hidden[a : a + ROWS], outer, out=self.held[: n - a])
-            total, logs = weigh(d, own, safe)
-            loss -= float(logs.sum()) / n
-            d *= (1 / (total * n))[:, None]
-            d[np.arange(len(own)), own] -= np.float32(1 / n)
-            back[a : a + ROWS] = d @ turned
-            down += hidden[a : a + ROWS].T @ d
-        back *= 1 - hidden[:, :WIDTH] ** 2
-        grads = [np.empty_like(inner), back.sum(axis=0), down[:WIDTH], down[WIDTH]]
-        flat, places = back.ravel(), np.arange(WIDTH)
-        for k in range(2 * SIDE):
-            at = (context[:, k, None] * WIDTH + places).ravel()
-            grads[0][k] = np.bincount(at, flat, inner.shape[1] * WIDTH).reshape(-1, WIDTH)
-        self.steps += 1
-        self.seen += n
-        for p, g, m, s in zip(self.params, grads, self.mean, self.square):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            p -= RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-6)
-        return loss
+    for a in range(0, len(near), PIECE):
+        at = np.arange(a, min(a + PIECE, len(near)))
+        owner = np.searchsorted(ends, at, side="right")
+        first, last = (ends - counts)[owner], ends[owner] - 1
+        made = []
+        for d in RINGS:
+            left = np.where(at - d >= first, near[np.maximum(at - d, 0)], sides - 1)
+            right = np.where(at + d <= last, near[np.minimum(at + d, len(near) - 1)], sides - 1)
+            made.append(left * sides + right)
+        yield at, made
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their counts."""
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def folded(counts: np.ndarray, near: np.ndarray, target: np.ndarray, sides: int, targets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each ring the distinct windows of a block, as context times ``targets`` and target, and how often each stands."""
+    held: list[tuple[list, list]] = [([], []) for _ in RINGS]
+    for at, made in pieces(counts, near, sides):
+        for (keys, many), context in zip(held, made):
+            key, n = np.unique(context * targets + target[at], return_counts=True)
+            keys.append(key)
+            many.append(n)
+    return [_summed(*x) for x in held]
 
 
 def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> Iterator[np.ndarray]:
@@ -331,90 +276,250 @@ def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> Iterator[np.ndarr
         yield x if name == "shares" else x.astype(np.int64)
 
 
-def train_on(trainer: Trainer, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
-    """One step or more on every window of ``parts``, which are the classes of a run of texts and their lengths.
+def window_table(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(shard, ring, keys, n)``: the distinct windows of the corpus with their counts, dealt by context."""
+    spark, sides, targets = coded.sparkSession, vocabulary.sides, vocabulary.targets
+    shards = max(SUMS, -(-int(vocabulary.total.sum()) // SHARD_TOKENS))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["shard", "ring", "keys", "n"]
 
-    Windows are mixed within about 64 batches; what does not fill a batch waits for the next windows.
-    """
-    context, target = np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
-    for classes, counts in parts:
-        for a in range(0, len(classes), 64 * BATCH):
-            at = np.arange(a, min(a + 64 * BATCH, len(classes)))
-            context, target = np.concatenate([context, windows(classes, counts, at, trainer.params[0].shape[1] - 1)]), np.concatenate([target, classes[at]])
-            if len(target) < 16 * BATCH:
-                continue
-            order = np.random.default_rng(trainer.steps).permutation(len(target))
-            full = len(target) // BATCH * BATCH
-            for b in range(0, full, BATCH):
-                trainer.step(context[order[b : b + BATCH]], target[order[b : b + BATCH]])
-            context, target = context[order[full:]], target[order[full:]]
-    for b in range(0, len(target), BATCH):
-        trainer.step(context[b : b + BATCH], target[b : b + BATCH])
-
-
-def train(coded: DataFrame, classes: int) -> list[np.ndarray]:
-    """The network's weights after ROUNDS rounds, in each of which every token of all documents is a target."""
-    params = _start(classes)
-    for _ in range(ROUNDS):
-        now = _flat(params)
+    def row(shard: list, ring: list, key: list, n: list) -> pa.RecordBatch:
+        held = [pa.array([pack(np.diff(x, prepend=0).astype("<u8")) for x in key], pa.binary()), pa.array([pack(x.astype("<u8")) for x in n], pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(ring, pa.int64()), *held], names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                counts, codes, near, classes = _unpacked(batch, i, "counts", "codes", "near", "classes")
+                for ring, (key, n) in enumerate(folded(counts, near[codes], classes[codes], sides, targets)):
+                    own = (key // targets * 0x9E3779B1 >> 7) % shards
+                    order = np.argsort(own, kind="stable")
+                    cuts = np.flatnonzero(np.diff(own[order], prepend=-1, append=shards))
+                    pairs = list(zip(cuts, cuts[1:]))
+                    yield row(own[order][cuts[:-1]].tolist(), [ring] * len(pairs), [key[order[a:b]] for a, b in pairs], [n[order[a:b]] for a, b in pairs])
+                give_back()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        now, keys, many = None, [], []
+        for batch in batches:
+            for shard, ring, key, n in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (shard, ring) != now and keys:
+                    key_, n_ = _summed(keys, many)
+                    yield row([now[0]], [now[1]], [key_], [n_])
+                    keys, many = [], []
+                    give_back()
+                now = shard, ring
+                keys.append(np.cumsum(unpack(key, "<u8").astype(np.int64)))
+                many.append(unpack(n, "<u8").astype(np.int64))
+        if keys:
+            key_, n_ = _summed(keys, many)
+            yield row([now[0]], [now[1]], [key_], [n_])
+
+    schema = "shard long, ring long, keys binary, n binary"
+    dealt = coded.select("counts", "codes", "near", "classes").mapInArrow(deal, schema)
+    met = dealt.repartition(n_parts, "shard", "ring").sortWithinPartitions("shard", "ring").mapInArrow(meet, schema)
+    return stage_table(met, "windows")
+
+
+class Network:
+    """A ring's weights: embeddings of the left and of the right neighbour, and the output layer with its priors."""
+
+    def __init__(self, flat: np.ndarray, sides: int, targets: int) -> None:
+        self.shapes = (sides, WIDTH), (sides, WIDTH), (WIDTH, targets), (1, targets)
+        at = np.cumsum([0, *(a * b for a, b in self.shapes)])
+        self.left, self.right, self.outer, self.prior = (flat[a:b].reshape(s).astype(np.float32) for a, b, s in zip(at, at[1:], self.shapes))
+        self.sides = sides
+
+    @staticmethod
+    def start(vocabulary: Vocabulary, ring: int) -> np.ndarray:
+        """Small random weights, and the targets' shares of all tokens as priors."""
+        rng = np.random.default_rng(20 + ring)
+        size = 2 * vocabulary.sides * WIDTH + WIDTH * vocabulary.targets
+        share = (vocabulary.total + 0.5) / (vocabulary.total.sum() + 0.5 * vocabulary.targets)
+        return np.concatenate([rng.standard_normal(size) * 0.3, np.log(share)])
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        return np.tanh(self.left[context // self.sides] + self.right[context % self.sides])
+
+    def weights(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of hidden values the targets' probabilities, and the log of what divides their weights."""
+        out = hidden @ self.outer
+        out += self.prior
+        top = out.max(axis=1, keepdims=True)
+        out -= top
+        np.exp(out, out=out)
+        total = out.sum(axis=1, keepdims=True)
+        out /= total
+        return out, (np.log(total) + top)[:, 0]
+
+    def gradient(self, context: np.ndarray, target: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of the summed negative log-probabilities of windows in order of context, each counted ``n`` times."""
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        down = [np.zeros(s) for s in self.shapes]
+        for a in range(0, len(first), ROWS):
+            lo, hi = int(first[a]), int(first[a + ROWS]) if a + ROWS < len(first) else len(context)
+            own = context[first[a : a + ROWS]]
+            row = np.searchsorted(own, context[lo:hi])
+            hidden = self.hidden(own)
+            error = self.weights(hidden)[0]
+            error *= np.bincount(row, n[lo:hi]).astype(np.float32)[:, None]
+            error[row, target[lo:hi]] -= n[lo:hi].astype(np.float32)
+            down[2] += hidden.T @ error
+            down[3] += error.sum(axis=0, dtype=np.float64)
+            back = error @ self.outer.T
+            back *= 1 - hidden**2
+            np.add.at(down[0], own // self.sides, back)
+            np.add.at(down[1], own % self.sides, back)
+        return np.concatenate([x.ravel() for x in down])
+
+
+def _shard(keys: bytes, n: bytes, targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, target and count of the windows of a shard, in order of context."""
+    key = np.cumsum(unpack(keys, "<u8").astype(np.int64))
+    return key // targets, key % targets, unpack(n, "<u8").astype(np.int64)
+
+
+def train(windows: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
+    """Each ring's weights after ROUNDS steps of Adam, each by the gradient over every window of all documents."""
+    sides, targets, tokens = vocabulary.sides, vocabulary.targets, float(max(1, vocabulary.total.sum()))
+    params = [Network.start(vocabulary, ring) for ring in range(len(RINGS))]
+    mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(ROUNDS):
+        now = [p.astype(np.float32) for p in params]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for batch in batches:
-                    for row in range(batch.num_rows):
-                        counts, codes, own = _unpacked(batch, row, "counts", "codes", "classes")
-                        yield own[codes], counts
-                        give_back()
-
             one_thread()
             give_back()
-            trainer = Trainer(_shaped(now, classes))
-            train_on(trainer, parts())
-            if trainer.seen:
-                cols = [[TaskContext.get().partitionId() % SUMS], [trainer.seen], [(_flat(trainer.params) * np.float64(trainer.seen)).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "seen", "model"])
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for ring, keys, n in zip(*(batch.column(c).to_pylist() for c in ("ring", "keys", "n"))):
+                    made = Network(now[ring], sides, targets).gradient(*_shard(keys, n, targets))
+                    whole = np.rint(made * (UNIT / tokens)).astype(np.int64)  # whole numbers sum alike in any order
+                    total[ring] = total[ring] + whole if ring in total else whole
+            part = TaskContext.get().partitionId() % SUMS
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(total), pa.int64()), pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "ring", "sums"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, total = 0, np.zeros(len(now))
+            total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for n, m in zip(batch.column("seen").to_pylist(), batch.column("model").to_pylist()):
-                    seen, total = seen + n, total + np.frombuffer(m)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "model"])
+                for ring, x in zip(batch.column("ring").to_pylist(), batch.column("sums").to_pylist()):
+                    total[ring] = total.get(ring, 0) + np.frombuffer(x, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["ring", "sums"])
+
+        made = windows.select("ring", "keys", "n").mapInArrow(run, "part long, ring long, sums binary")
+        grads = [np.zeros(len(p), np.int64) for p in params]
+        for r in made.repartition(SUMS, "part").mapInArrow(add, "ring long, sums binary").collect():
+            grads[r["ring"]] += np.frombuffer(r["sums"], np.int64)
+        rate = RATES[0] * (RATES[1] / RATES[0]) ** (step / max(1, ROUNDS - 1))
+        for p, g, m, s in zip(params, grads, mean, square):
+            g = g / UNIT
+            m += 0.2 * (g - m)
+            s += 0.05 * (g * g - s)
+            p -= rate * (m / (1 - 0.8 ** (step + 1))) / (np.sqrt(s / (1 - 0.95 ** (step + 1))) + 1e-9)
+    return [p.astype(np.float32) for p in params]
+
+
+def divisors(windows: DataFrame, params: list[np.ndarray], vocabulary: Vocabulary) -> list[np.ndarray]:
+    """For each ring the log of what divides the weights of the targets, by context; contexts that no text has give 0.
+
+    Contexts are pairs of neighbours' classes, (2 * MOST_NEAR + 1) ** 2 at most, whatever the corpus.
+    """
+    sides, targets = vocabulary.sides, vocabulary.targets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for batch in batches:
+            for ring, keys, n in zip(*(batch.column(c).to_pylist() for c in ("ring", "keys", "n"))):
+                net, own = Network(params[ring], sides, targets), np.unique(_shard(keys, n, targets)[0])
+                logs = [net.weights(net.hidden(own[a : a + ROWS]))[1] for a in range(0, len(own), ROWS)]
+                cols = [pa.array([ring], pa.int64()), pa.array([pack(own)], pa.binary()), pa.array([pack(np.concatenate(logs).astype("<f4"))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["ring", "context", "log"])
+
+    out = [np.zeros(sides * sides, np.float32) for _ in params]
+    for r in windows.mapInArrow(run, "ring long, context binary, log binary").collect():
+        out[r["ring"]][unpack(r["context"], "<i8")] = unpack(r["log"], "<f4")
+    return out
 
-        made = coded.select("counts", "codes", "classes").mapInArrow(run, "part long, seen long, model binary")
-        sums = made.repartition(SUMS, "part").mapInArrow(add, "seen long, model binary").collect()
-        if sums:
-            params = _shaped(sum(np.frombuffer(r["model"]) for r in sums) / sum(r["seen"] for r in sums), classes)
-    return params
+
+class Model:
+    """Trained networks with the divisors of all contexts: probabilities of targets for many windows at once."""
+
+    def __init__(self, params: list[np.ndarray], divisors_: list[np.ndarray], sides: int, targets: int) -> None:
+        self.nets = [Network(p, sides, targets) for p in params]
+        every = np.arange(sides * sides)
+        self.hidden, self.divisors = [net.hidden(every) for net in self.nets], divisors_
+        self.outer = [np.ascontiguousarray(net.outer.T) for net in self.nets]
+
+    def rings(self, contexts: list[np.ndarray], target: np.ndarray) -> list[np.ndarray]:
+        """Each ring's probabilities of the targets. Every value is made by itself, so it is the same in any batch."""
+        out = []
+        for net, hidden, outer, divisor, context in zip(self.nets, self.hidden, self.outer, self.divisors, contexts):
+            made = np.empty(len(target), np.float64)
+            for a in range(0, len(target), 8192):
+                c, t = context[a : a + 8192], target[a : a + 8192]
+                made[a : a + 8192] = np.einsum("ij,ij->i", hidden[c], outer[t]) + net.prior[0, t] - divisor[c]
+            out.append(np.exp(made, out=made))
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each block's ids, and by token classes as neighbours and as targets, log-shares, and the texts' lengths."""
+    give_back()
+    for batch in batches:
+        for row in range(batch.num_rows):
+            counts, codes, near, classes, logs = _unpacked(batch, row, "counts", "codes", "near", "classes", "shares")
+            yield batch.column("doc_ids")[row].as_py(), counts, near[codes], classes[codes], logs[codes]
+            give_back()
+
+
+def mix_weight(coded: DataFrame, make: Callable[[], Model], sides: int) -> float:
+    """The weight of the first ring, of MIXES, under which all tokens of all documents are likeliest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = make(), np.zeros(len(MIXES), np.int64)
+        for _, counts, near, target, _ in _blocks(batches):
+            for at, contexts in pieces(counts, near, sides):
+                one, two = model.rings(contexts, target[at])
+                total += [int(np.rint(np.log(w * one + (1 - w) * two) * 1024).astype(np.int64).sum()) for w in MIXES]  # whole numbers again
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["logs"])
+
+    logs = F.array(*(F.sum(F.col("logs")[i]) for i in range(len(MIXES))))
+    total = coded.mapInArrow(run, "logs array<long>").agg(logs.alias("logs")).first()["logs"]
+    return max(zip((x or 0 for x in total), MIXES))[1]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, log_likelihood, per_token)`` of every whole text by a model of all of ``docs``.
 
     log_likelihood is the sum over the tokens of the log-probability of each given all others in its window; per_token
-    its mean. Null, empty and blank texts have no tokens, sum 0 and a null mean. Repeated rows have equal scores;
-    extra columns are not read; an empty table gives no rows. Reruns over the same partitions agree.
+    its mean. Null, empty and blank texts have no tokens, sum 0 and a null mean; null ids stay. Repeated rows have equal
+    scores; extra columns are not read; an empty table gives no rows. Reruns agree, however the input is split.
     """
     coded, vocabulary = code(id_text(docs))
-    params = train(coded, vocabulary.classes)
+    sides, targets = vocabulary.sides, vocabulary.targets
+    windows = window_table(coded, vocabulary)
+    params = train(windows, vocabulary)
+    shipped = docs.sparkSession.sparkContext.broadcast((params, divisors(windows, params, vocabulary)))  # as long as there are classes and contexts
+
+    def make() -> Model:
+        return Model(*shipped.value, sides, targets)
+
+    weight = mix_weight(coded, make, sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
-        give_back()
-        for batch in batches:
-            for row in range(batch.num_rows):
-                counts, codes, classes, logs = _unpacked(batch, row, "counts", "codes", "classes", "shares")
-                classes, logs = classes[codes], logs[codes].astype(np.float64)
-                for a in range(0, len(classes), 8192):
-                    at = np.arange(a, min(a + 8192, len(classes)))
-                    logs[at] += log_probabilities(params, windows(classes, counts, at, vocabulary.classes), classes[at])
-                sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts))
-                mean = pa.array(np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
-                cols = [pa.array(batch.column("doc_ids")[row].as_py(), pa.int64()), pa.array(counts), pa.array(sums), mean]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-                give_back()
+        model = make()
+        for doc_ids, counts, near, target, logs in _blocks(batches):
+            logs = logs.astype(np.float64)
+            for at, contexts in pieces(counts, near, sides):
+                one, two = model.rings(contexts, target[at])
+                logs[at] += np.log(weight * one + (1 - weight) * two)
+            sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts))
+            mean = pa.array(np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
+            cols = [pa.array(doc_ids, pa.int64()), pa.array(counts), pa.array(sums), mean]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "log_likelihood", "per_token"])
 
     return coded.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")

@@ -124,45 +124,83 @@ def test_bpe(docs, empty):
     assert encoded.count() == len(rows()) + 1 and bpe.encode(empty, path).count() == 0
 
 
-def test_lm_score(docs, empty):
-    got = by_id(lm_score.score(docs))
+def test_lm_score(docs, empty, monkeypatch):
+    """Against plain sums of log-probabilities, with every softmax written out, and over other partitions."""
+    monkeypatch.setattr(lm_score, "ROUNDS", 4)
+    rows_ = lm_score.score(docs).collect()
+    got = {r.doc_id: r for r in rows_}
+    assert len(rows_) == len(rows()) + 1 and lm_score.score(empty).count() == 0
     assert got[0].n_tokens == 0 and got[0].per_token is None and got[0].log_likelihood == 0
-    assert all(r.log_likelihood < 0 for r in got.values() if r.n_tokens)
-    assert lm_score.score(empty).count() == 0
-    rng = np.random.default_rng(0)  # a token that follows from both neighbours is learned from them
-    seq = np.tile([1, 2, 3, 4], 3000)
-    trainer = lm_score.Trainer(lm_score._start())
-    context = lm_score.windows(seq, np.array([len(seq)]))
-    losses = [trainer.step(context[i], seq[i]) for i in (rng.integers(0, len(seq), 512) for _ in range(60))]
-    assert losses[-1] < 0.1 * losses[0]
-    held = lm_score.log_probabilities(trainer.params, context[:50], seq[:50])
-    assert np.exp(held).min() > 0.3 and lm_score.windows(np.array([5, 6]), np.array([1, 1])).tolist() == [[lm_score.CLASSES] * 4] * 2
-
-
-def test_lm_trains_on_every_window():
-    class Seen(lm_score.Trainer):
-        def step(self, context, target):
-            self.steps += 1
-            self.seen += len(target)
-            got.extend((*c, t) for c, t in zip(context.tolist(), target.tolist()))
-
-    rng, got, parts = np.random.default_rng(5), [], []
-    for lengths in ([], [0], [30000, 0, 3], [70001, 90], [5]):
-        parts.append((rng.integers(0, lm_score.CLASSES, sum(lengths)), np.array(lengths, np.int64)))
-    lm_score.train_on(Seen(lm_score._start()), iter(parts))
-    want = [(*c, t) for classes, counts in parts for c, t in zip(lm_score.windows(classes, counts).tolist(), classes.tolist())]
-    assert Counter(got) == Counter(want)
-
-
-def test_lm_every_document_in_every_round(docs, monkeypatch):
-    monkeypatch.setattr(lm_score, "SUMS", 1)
-    text, seen = lm_score.id_text(docs), []
-    n = sum(len((r.text or "").split()) for r in docs.collect())
-    coded, vocabulary = lm_score.code(text)
-    real = type(text).collect
-    monkeypatch.setattr(type(text), "collect", lambda df: seen.append(real(df)) or seen[-1])
-    lm_score.train(coded, vocabulary.classes)
-    assert [sum(r.seen for r in rows_) for rows_ in seen] == [n] * lm_score.ROUNDS
+    assert sorted(map(str, rows_)) == sorted(map(str, lm_score.score(docs.repartition(1)).collect()))
+    coded, vocabulary = lm_score.code(docs)
+    table = lm_score.window_table(coded, vocabulary)
+    params = lm_score.train(table, vocabulary)
+    nets = [lm_score.Network(p, vocabulary.sides, vocabulary.targets) for p in params]
+    words = {d: "".join(c.lower() for c in t or "").split() for d, t, *_ in rows()}
+    n = Counter(w for d, x in [*words.items(), (30, words[30])] for w in x)
+    near, target, shares = (dict(zip(n, x)) for x in vocabulary.lookup(list(n), np.array(list(n.values()))))
+    want, windows = {w: {} for w in lm_score.MIXES}, Counter()
+    for d, x in words.items():
+        logs = dict.fromkeys(lm_score.MIXES, 0.0)
+        for i, word in enumerate(x):
+            each = []
+            for ring, (net, step) in enumerate(zip(nets, lm_score.RINGS)):
+                side = [near[x[j]] if 0 <= j < len(x) else vocabulary.sides - 1 for j in (i - step, i + step)]
+                windows[ring, *side, target[word]] += 2 if d == 30 else 1
+                logits = np.tanh(net.left[side[0]].astype(float) + net.right[side[1]]) @ net.outer.astype(float) + net.prior[0]
+                each.append(np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum())
+                assert each[-1].sum() == pytest.approx(1)
+            for w in logs:
+                logs[w] += np.log(w * each[0][target[word]] + (1 - w) * each[1][target[word]]) + shares[word]
+        for w in logs:
+            want[w][d] = logs[w]
+    best = max(want, key=lambda w: sum(want[w].values()) + want[w][30])
+    assert {d: r.log_likelihood for d, r in got.items()} == pytest.approx(want[best], rel=1e-4, abs=1e-3)
+    per_class = Counter()
+    for word in n:
+        per_class[target[word]] += np.exp(shares[word])
+    assert all(x == pytest.approx(1, abs=1e-4) for x in per_class.values())
+    held = Counter()
+    for r in table.collect():
+        for c, t, m in zip(*lm_score._shard(r["keys"], r["n"], vocabulary.targets)):
+            held[r.ring, c // vocabulary.sides, c % vocabulary.sides, t] += m
+    assert held == windows and sum(held.values()) == len(lm_score.RINGS) * sum(n.values())
+    alone = sum(m * np.log(m / sum(n.values())) for m in n.values())
+    assert sum(r.log_likelihood for r in rows_) > 0.9 * alone  # better than words by themselves
+
+
+def test_lm_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(0)
+    vocabulary = lm_score.Vocabulary({}, 6, 3, 2, rng.integers(1, 9, 8))
+    flat = lm_score.Network.start(vocabulary, 0)
+    key = np.unique(rng.integers(0, vocabulary.sides**2 * vocabulary.targets, 60))
+    context, target, n = key // vocabulary.targets, key % vocabulary.targets, rng.integers(1, 5, len(key))
+
+    def loss(p):
+        net = lm_score.Network(p, vocabulary.sides, vocabulary.targets)
+        return -(n * np.log(net.weights(net.hidden(context))[0][np.arange(len(n)), target].astype(float))).sum()
+
+    got = lm_score.Network(flat, vocabulary.sides, vocabulary.targets).gradient(context, target, n)
+    for i in range(len(flat)):
+        e = np.zeros(len(flat))
+        e[i] = 1e-2
+        assert got[i] == pytest.approx((loss(flat + e) - loss(flat - e)) / 2e-2, abs=0.02)
+
+
+def test_lm_folds_windows_of_pieces(monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 7)
+    rng = np.random.default_rng(5)
+    counts = np.array([0, 3, 1, 0, 20, 2, 15, 0])
+    near, target, want = rng.integers(0, 4, 41), rng.integers(0, 9, 41), [Counter(), Counter()]
+    at = 0
+    for m in counts:
+        for i in range(m):
+            for ring, d in enumerate(lm_score.RINGS):
+                left, right = (near[at + j] if 0 <= j < m else 4 for j in (i - d, i + d))
+                want[ring][(left * 5 + right) * 9 + target[at + i]] += 1
+        at += m
+    assert [dict(zip(k.tolist(), n.tolist())) for k, n in lm_score.folded(counts, near, target, 5, 9)] == want
+    assert [len(k) for k, _ in lm_score.folded(np.zeros(2, np.int64), near[:0], target[:0], 5, 9)] == [0, 0]
 
 
 def test_lm_counts_every_word(spark, monkeypatch):
@@ -192,8 +230,8 @@ def test_lm_counts_every_word(spark, monkeypatch):
 
 
 def test_lm_classes_grow_with_the_corpus():
-    sizes = [sum(lm_score.class_counts(n)) for n in (0, 10**5, 10**6, 10**8)]
-    assert sizes[0] == lm_score.CLASSES and sizes == sorted(sizes) and len(set(sizes)) > 2
+    sizes = [lm_score.class_counts(n)[0] for n in (0, 10**5, 10**6, 10**8)]
+    assert sizes[0] == lm_score.LEAST_OWN and sizes == sorted(sizes) and len(set(sizes)) == 4
 
 
 def test_secrets(docs, empty):
