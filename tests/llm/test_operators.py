@@ -273,7 +273,130 @@ def test_secrets_in_all_of_a_compressed_stream(monkeypatch):
         words = " ".join(rng.choice(["päper", "b", "stone"], 900)).encode()[: at * 2]
         words = words.decode(errors="ignore").encode() + b" "
         assert kinds(gzip.compress(words[:at].decode(errors="ignore").encode() + b" " + x + b" " + words)) == {"assign"}, at
-    assert kinds(gzip.compress(x + b" ok" * 2000 + b"\xff")) == set()  # no text
+    assert kinds(gzip.compress(x + b" ok" * 2000 + b"\xff")) == {"assign"}  # bytes that are no text hide nothing
+
+
+def plain_spans(text):
+    """A plain worklist over lists of (character, begin, end): every layer scanned, every run decoded by itself."""
+    import base64
+    import binascii
+    import gzip
+
+    def readable(raw):
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return None
+
+    def spread(run, raw, width):  # only ASCII in these tests, so a character is a byte
+        return [(chr(c), run[int(i * width)][1], run[-(-int((i + 1) * width * 3) // 3) - 1][2]) for i, c in enumerate(raw)]
+
+    def url(run):
+        return spread(run, bytes.fromhex("".join(c for c, *_ in run).replace("%", "")), 3)
+
+    def escape(run):
+        return [(chr(int("".join(c for c, *_ in run[i + 2 : i + 6]), 16)), run[i][1], run[i + 5][2]) for i in range(0, len(run), 6)]
+
+    def packed(run, raw):
+        return [(c, run[0][1], run[-1][2]) for c in gzip.decompress(raw).decode()]
+
+    def b64(run):
+        body = [x for x in run if x[0] not in "=\n"]
+        word = "".join(c for c, *_ in body)
+        if len(word) % 4 == 1 or not re.search("[A-Z]", word) or not re.search("[a-z]", word):
+            return None
+        raw = base64.b64decode(word + "=" * (-len(word) % 4))
+        if raw[:2] == b"\x1f\x8b":
+            return packed(run, raw)
+        if (t := readable(raw)) is None or not t.replace("\n", "").isprintable():
+            return None
+        return [(chr(c), body[i * 4 // 3][1], body[(i * 4 + 6) // 3 - 1][2]) for i, c in enumerate(raw)]
+
+    def hexa(run):
+        raw = binascii.unhexlify("".join(c for c, *_ in run))
+        t = readable(raw)
+        return None if t is None or not t.replace("\n", "").isprintable() else spread(run, raw, 2)
+
+    kinds = [(r"(?:%[0-9A-F]{2})+", url), (r"(?:\\u[0-9a-f]{4})+", escape), (r"[A-Za-z0-9+/]{16,}={0,2}", b64), (r"(?:[0-9a-f]{2}){16,}", hexa), (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}(?:\n[A-Za-z0-9+/]+(?==*\n))+={0,2}", b64)]
+    work, seen, found = [[(c, i, i + 1) for i, c in enumerate(text)]], {text}, {}
+    while work:
+        now = work.pop()
+        flat = "".join(c for c, *_ in now)
+        for pattern, decode in kinds:
+            out, at = [], 0
+            for m in re.finditer(pattern, flat):
+                new = decode(now[m.start() : m.end()])
+                if new is not None:
+                    out += now[at : m.start()] + new
+                    at = m.end()
+            out += now[at:]
+            made = "".join(c for c, *_ in out)
+            if made not in seen:
+                seen.add(made)
+                work.append(out)
+                for a, b, k in secrets.base_spans(made):
+                    if any(text[x[1] : x[2]] != x[0] for x in out[a:b]):
+                        found[out[a][1], out[b - 1][2], k] = 1
+    return set(found) | set(secrets.base_spans(text))
+
+
+def test_secrets_against_a_plain_worklist(spark):
+    import base64
+    import gzip
+
+    rng = np.random.default_rng(8)
+    layers = [
+        lambda x: base64.b64encode(x.encode()).decode(), lambda x: "".join(f"%{c:02X}" for c in x.encode()), lambda x: "".join(f"\\u{ord(c):04x}" for c in x),
+        lambda x: x.encode().hex(), lambda x: base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode(), lambda x: "\n" + base64.encodebytes(x.encode()).decode(),
+    ]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            x = " ".join(rng.choice(["password=abcdefghijkl%d", "AKIAABCDEFGHIJKLMNO%d", "deadbeefdeadbeef0%d", "plain words %d"], int(rng.integers(1, 4)))).replace("%d", str(rng.integers(10, 99)))
+            for i in rng.integers(0, len(layers), int(rng.integers(0, 3))):
+                x = layers[i](x)
+            parts.append(x)
+        texts.append(" and ".join(parts))
+    got = by_id(secrets.secret_scan(spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        want = plain_spans(t)
+        assert {tuple(x) for x in secrets.scan(t)[1]} == want, t
+        assert {x for x in got[i].spans.split(",") if x} == {f"{k}:{a}:{b}" for a, b, k in want}
+        base = secrets.base_spans(t)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(x[2] == k for x in base) for k in secrets.KINDS]
+        assert got[i].base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
+    assert got[None].spans == got[0].spans and any(r.n_decoded > 1 for r in got.values())
+
+
+def test_secrets_in_bytes_that_are_no_text_and_each_by_itself():
+    import base64
+    import gzip
+
+    pair = "secret=abcdefghijkl1 and token: zzzzzzzzzzzzzzz"
+    raw = b"\x01\x02 " + pair.encode() + b" \xff"
+    for run in (base64.b64encode(raw).decode(), raw.hex(), base64.encodebytes(raw * 3).decode().strip()):
+        text = f"aa\n{run}\nbb"
+        new = [x for x in secrets.scan(text)[1] if x[2] == "assign"]
+        assert len(new) == len(set(new)) == 2 * (1 if "\n" not in run else 3)
+        assert all(3 <= a < b <= 3 + len(run) and b - a < len(run) for a, b, _ in new)
+    run = base64.b64encode(gzip.compress(pair.encode())).decode()
+    assert [x for x in secrets.scan(run)[1] if x[2] == "assign"] == [(0, len(run), "assign")] * 2  # each, though in one place
+    assert secrets.scan("%70assword%3Dabcdefghijkl%FF")[1] == [(0, 25, "assign")]
+
+
+def test_secrets_take_time_in_proportion():
+    import base64
+    import time
+
+    def took(n):
+        text = " ".join("".join(f"%{c:02X}" for c in base64.b64encode(f"token=abcdefgh{i:08d}".encode())) for i in range(n))
+        begin = time.process_time()
+        assert len(secrets.scan(text)[1]) == n
+        return time.process_time() - begin
+
+    took(200)
+    assert took(4000) < 7 * took(1000)
 
 
 def test_mixing(docs, empty):
