@@ -58,7 +58,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(documents(spark, sf_dir))
+    return pii.replace_pii(documents(spark, sf_dir), pii.stored_key(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -544,19 +544,19 @@ def test_pii(docs, empty):
     assert len(set(cards)) == 300 and all(len(c) == 16 and c[0] == "4" for c in cards)
     assert sorted(pii.permute(i, 700, key, "t") for i in range(700)) == list(range(700))
     assert {pii.surrogate("male", n, key) for n in pii.MALE} == set(pii.MALE)
-    assert by_id(pii.replace_pii(docs))[0].redacted is None and pii.replace_pii(empty).count() == 0
+    assert by_id(pii.replace_pii(docs, key))[0].redacted is None and pii.replace_pii(empty, key).count() == 0
 
 
 def test_pii_quick_test_holds_what_every_pattern_needs(spark):
-    texts = ["ask 10.0.0.1 or 8.8.8.8 now", "at 1.2.3.4", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "a@b.cd", "12-34", "(212) 555-0100", "+1 (2) 34 56", "123-45-6789", "Señora Anna Smith"]
+    texts = ["ask 10.0.0.1 or 8.8.8.8 now", "at 1.2.3.4", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "a@b.cd", "12-34", "(212) 555-0100", "+1 (2) 34 56", "123-45-6789", "Señora Anna Smith", "fe80::1ff:fe23:4567:890a", "::ffff:c0a8:101", "2001:DB8:0:0:8:800:200C:417A", "00:1b:44:11:3A:B7", "aa-bb-cc-dd-ee-ff", "by Maria Lopez now"]
     for i in range(97):  # an IBAN without three digits side by side
         if pii.iban_ok(x := f"MT{i:02d}MALTABCDEFGHJKLMNOPQRSTUVWXYZAB"):
             texts.append(x)
-    got = by_id(pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    got = by_id(pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k"))
     for i, t in enumerate(texts):
-        out, spans = pii.redact(t, pii.DEFAULT_KEY)
+        out, spans = pii.redact(t, b"k")
         assert got[i].redacted == out and got[i].n_entities == len(spans) and (spans or t == "12-34"), t
-    assert len(texts) == 10
+    assert len(texts) == 16
 
 
 def test_pii_names_by_shape_and_letters_of_any_script():
@@ -574,6 +574,50 @@ def test_pii_names_by_shape_and_letters_of_any_script():
     assert len(made) == 676 and not made & set(pii.FEMALE + pii.MALE + pii.FAMILY)
 
 
+def test_pii_distinct_entities_have_distinct_surrogates(spark):
+    """Over a table, against a dictionary: one surrogate for each entity wherever it stands, no two alike."""
+    key, rng = b"k", np.random.default_rng(9)
+    made = [f"{a}.{b}.{c}.{d}" for a, b, c, d in rng.integers(0, 256, (300, 4))] + [f"127.0.0.{i}" for i in range(100)] + [f"10.0.{i}.1" for i in range(100)]
+    made += [f"{i:03d}-12-{j}" for i in (0, 1, 666, 667, 900, 901) for j in range(1000, 1040)] + [f"user{i}@mail{i % 3}.example.com" for i in range(200)]
+    made += [f"+1 (212) 555-{i}" for i in range(1000, 1200)] + [f"fe80::1:{i:x}:2" for i in range(256)] + [f"00:1b:44:11:3a:{i:02x}" for i in range(256)]
+    made += [f"Mr. {g} {f}" for g in pii.MALE[:20] for f in (*pii.FAMILY[:5], "Qadir", "Öztürk")]
+    texts = [" ; ".join(rng.choice(made, 12)) for _ in range(600)] + [" ; ".join(made[i : i + 9]) for i in range(0, len(made), 9)] + [None, ""]
+    rows_ = [(i % 500 if i % 7 else None, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    assert pii.collisions(table, key).count() == 0
+    to, back, seen = {}, {}, Counter()
+    for r in pii.replace_pii(table.withColumn("old", table.text), key, ("old",)).collect():
+        seen[r.doc_id, r.old] += 1
+        out, shift = r.redacted, 0
+        assert (r.old or None) is not None or (out == r.old and r.n_entities == 0)
+        for x in filter(None, r.spans.split(",")):
+            kind, a, b = x.split(":")[0], *map(int, x.split(":")[1:])
+            new = out[a + shift : b + shift]
+            assert len(new) == b - a or kind in ("female", "male", "family", "ip"), (r.old[a:b], new)
+            new = pii.surrogate(kind, r.old[a:b], key)
+            assert out[a + shift :].startswith(new)
+            shift += len(new) - (b - a)
+            assert to.setdefault((kind, r.old[a:b]), new) == new and back.setdefault((kind, new), r.old[a:b]) == r.old[a:b]
+    assert seen == Counter(rows_) and len(to) > 1500 and all(k[1] != v for k, v in to.items())
+
+
+def test_pii_key_and_long_texts(spark):
+    import time
+
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_pii(spark.range(1).selectExpr("id doc_id", "'x' text"), b"")
+    assert pii.stored_key(spark) == pii.stored_key(spark) and len(pii.stored_key(spark)) == 32
+
+    def took(n):
+        text = " ".join(f"user{i}@example.com" for i in range(n))
+        begin = time.process_time()
+        assert len(pii.entities(text)) == n
+        return time.process_time() - begin
+
+    took(100)
+    assert took(16000) < 8 * took(4000)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
