@@ -227,8 +227,8 @@ def window_masks(rows: np.ndarray, key: np.ndarray, docs: np.ndarray) -> np.ndar
     out = np.zeros(len(rows), np.uint32)
     if not len(rows):
         return out
-    # Contexts that agree in full need no sorting: all but the smallest doc_id lose every window.
-    cls = row_classes(rows, key)
+    # Contexts that agree in full fold: all but the smallest doc_id lose every window. Single windows go to the sort.
+    cls = row_classes(rows, key) if places > 1 else np.arange(len(rows))
     order = np.lexsort((docs, cls))
     lead = order[np.flatnonzero(np.diff(cls[order], prepend=-1))]
     least = docs[lead][cls]  # classes are numbered from 0 up, in order
@@ -318,13 +318,13 @@ class Block:
 
     @cached_property
     def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchor hashes, which of them several documents have, how often (to 255), each anchor's number."""
+        """Distinct anchor hashes, which of them several documents have, how often, each anchor's number."""
         h, number = np.unique(self.found.h, return_inverse=True)
         doc = self.docs[self.found.row]
         most, least = np.full(len(h), -(1 << 63), np.int64), np.full(len(h), (1 << 63) - 1, np.int64)
         np.maximum.at(most, number, doc)
         np.minimum.at(least, number, doc)
-        return h, most > least, np.minimum(np.bincount(number, minlength=len(h)), 255), number
+        return h, most > least, np.bincount(number, minlength=len(h)), number
 
     def entries(self, flags: np.ndarray, hot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
         """What shared anchors send: rows, keys and smallest doc_ids, folded and in order of key; and a function that
@@ -441,7 +441,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             own, cuts = _cut(h, n_buckets)
             # Differences of hashes in order: small numbers, of which only the low bytes cost room.
             low = [np.diff(h[a:b], prepend=np.uint64(0)) for a, b in zip(cuts, cuts[1:])]
-            counts = [np.where(several[a:b], np.maximum(times[a:b], 2), 1).astype(np.uint8) for a, b in zip(cuts, cuts[1:])]
+            counts = [times[a:b].astype("<u4") for a, b in zip(cuts, cuts[1:])]
             several_ = [several[a:b].astype(np.uint8) for a, b in zip(cuts, cuts[1:])]
             yield _batch("bucket block keys counts several", [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], own.tolist(), [block] * len(own), list(map(pack, low)), list(map(pack, counts)), list(map(pack, several_)))
 
@@ -450,7 +450,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             keys = [np.cumsum(unpack(x[2], "<u8")) for x in rows]
             number = np.unique(np.concatenate(keys), return_inverse=True)[1]
             here = np.bincount(number)
-            times = np.bincount(number, weights=np.concatenate([unpack(x[3], "u1") for x in rows]))
+            times = np.bincount(number, weights=np.concatenate([unpack(x[3], "<u4") for x in rows]))
             several = np.bincount(number, weights=np.concatenate([unpack(x[4], "u1") for x in rows])) > 0
             flags = np.where(several | (here > 1), np.where(times > HOT, 2, 1), 0).astype(np.uint8)[number]
             ends = np.cumsum([len(k) for k in keys])

@@ -635,3 +635,23 @@ def test_pipeline(spark, tmp_path):
     assert seen[:3] == [16, 12, 12]
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ids and ids <= set(range(12))
+
+
+def test_suffix_dedup_counts_frequent_anchors_in_one_block(spark):
+    rng = np.random.default_rng(3)
+    big = rng.integers(97, 123, 500_000).astype(np.uint8)
+    at = int(suffix_dedup._stretch(big)[1].argmin())
+    gram = big[at : at + 20].tobytes().decode()  # of so low a hash that every window with it picks it
+    draw = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = ["".join(gram + draw(30) for _ in range(40)) for _ in range(150)]
+    texts += [texts[i][200:900] + draw(60) for i in range(10)]
+    body = "\xff".join([*texts, ""]).encode("latin-1")
+    block = suffix_dedup.Block(list(range(len(texts))), np.array([len(t) for t in texts]), body)
+    assert block.sent[2].max() > suffix_dedup.HOT
+    first, got = {}, by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    for d, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 49) if first[t[i : i + 50]] < d for j in range(i, i + 50)}
+        assert got[d].n_removed == len(gone) and bytes(got[d].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone)
