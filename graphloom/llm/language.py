@@ -14,29 +14,58 @@ from graphloom.llm.common import id_text, slices
 
 #: N-grams of a profile, their lengths, and the texts that profiles are learned from for each language, about.
 TOP, LENGTHS, SAMPLE = 300, (1, 2, 3), 2000
-#: Bits for a letter in a packed n-gram, for a document in a piece of a batch, and for a count.
-LETTER_BITS, DOC_BITS, COUNT_BITS = 12, 9, 17
+#: Bits for a code point in a packed n-gram, for a document in a piece of a batch, and for a count.
+POINT_BITS, DOC_BITS, COUNT_BITS = 21, 9, 17
+#: What stands before and after a word.
+EDGE = ord("_")
 
 
 @cache
-def _lower() -> dict[int, str]:
-    """Letters with another lower-case form, letter by letter: a sigma is the same wherever it stands in a word."""
-    points, low = letters_of_unicode()
-    return {p: x for p, x in zip(points.tolist(), low) if x != chr(p)}
-
-
-def _words(text: str) -> list[str]:
-    return "".join(c if c.isalpha() else " " for c in text.translate(_lower())).split()
+def letter_table() -> np.ndarray:
+    """By code point: that of a letter's lower-case form, letter by letter, 0 for what is no letter. Once in a worker."""
+    out = np.zeros(0x110000, np.uint32)
+    for start in range(0, 0x110000, 0x800):  # most of the range has no letters
+        if start == 0xD800:
+            continue
+        page = "".join(map(chr, range(start, start + 0x800)))
+        if any(map(str.isalpha, page)):
+            low = page.lower()
+            low = low if len(low) == len(page) and "\u03a3" not in page else "".join(c.lower()[:1] for c in page)
+            out[start : start + 0x800] = [ord(x) if c.isalpha() else 0 for c, x in zip(page, low)]
+    return out
 
 
-def grams(text: str) -> Counter:
-    """Counts of 1- to 3-grams within words; a word has an underscore before and after it, which alone is no 1-gram."""
-    out: Counter = Counter()
-    for word, times in Counter(_words(text)).items():
-        padded = f"_{word}_"
-        for n in LENGTHS:
-            for i in range(n == 1, len(padded) - n + 1 - (n == 1)):
-                out[padded[i : i + n]] += times
+def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters of all texts, each with a space before and after it, 0 for the rest; and each one's text."""
+    parts = [np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    return letter_table()[np.concatenate(parts)], np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+
+
+def grams(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and packed codes of 1-, 2- and 3-grams within words; ``x`` has numbers under ``2 ** bits``, letters from 2
+    up, other characters 0. A word has an edge, number 1, before and after it, which alone is no 1-gram."""
+    x = x.astype(np.int64)
+    letter = x > 0
+    edge = ~letter & (np.append(letter[1:], False) | np.insert(letter[:-1], 0, False))
+    x[edge] = 1
+    ok = letter | edge
+    one = np.flatnonzero(letter)
+    yield one, x[one]
+    two = ok[:-1] & ok[1:] & (letter[:-1] | letter[1:])
+    pair = x[:-1] << bits | x[1:]
+    at = np.flatnonzero(two)
+    yield at, pair[at]
+    at = np.flatnonzero(two[:-1] & two[1:] & letter[1:-1])
+    yield at, pair[at] << bits | x[at + 2]
+
+
+def shown(code: int) -> str:
+    """An n-gram packed by code points, with an underscore for an edge."""
+    out = ""
+    while code:
+        point = code & (1 << POINT_BITS) - 1
+        out = ("_" if point == 1 else chr(point)) + out
+        code >>= POINT_BITS
     return out
 
 
@@ -54,9 +83,14 @@ def learn(labelled: DataFrame) -> list[tuple[str, str, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                held.setdefault(lang, Counter()).update(grams(text))
-        flat = [(k, g, n) for k, c in held.items() for g, n in c.items()]
+            for part in slices(batch, limit=1 << 20):
+                texts: dict[str, list[str]] = {}
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    texts.setdefault(lang, []).append(text)
+                for lang, own in texts.items():
+                    code, n = np.unique(np.concatenate([c for _, c in grams(points(own)[0], POINT_BITS)]), return_counts=True)
+                    held.setdefault(lang, Counter()).update(dict(zip(code.tolist(), n.tolist())))
+        flat = [(k, shown(c), n) for k, own in held.items() for c, n in own.items()]
         cols = list(zip(*flat)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
@@ -66,36 +100,37 @@ def learn(labelled: DataFrame) -> list[tuple[str, str, int]]:
     return sorted(tuple(r) for r in ranked.select("lang", "gram", "rank").collect())
 
 
-@cache
-def letters_of_unicode() -> tuple[np.ndarray, list[str]]:
-    """Code points of all letters, and each one's lower-case form; once in a Python worker."""
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]
-    return np.array(points), [chr(p).lower()[:1] for p in points]
-
-
 class Profiles:
-    """Profiles as arrays: letters, packed n-grams in order, and each one's rank in each language (TOP: not in it)."""
+    """Profiles as arrays: the code points of n-grams, and each one's rank in each language (TOP: not in it)."""
 
     def __init__(self, rows: list[tuple[str, str, int]]) -> None:
         self.langs = sorted({r[0] for r in rows})
-        letters = sorted({c for _, g, _ in rows for c in g} - {"_"})[: (1 << LETTER_BITS) - 3]
-        number = {c: i + 3 for i, c in enumerate(letters)} | {"_": 1}  # 2: a letter of no profile
-        self.table = np.zeros(0x110000, np.uint16)
-        points, low = letters_of_unicode()
-        self.table[points] = [number.get(c, 2) for c in low]
-        packed = {g: self.pack([number.get(c, 2) for c in g]) for _, g, _ in rows}
-        self.codes = np.array(sorted(set(packed.values())), np.int64)
-        at = {c: i for i, c in enumerate(self.codes.tolist())}
-        self.ranks = np.full((len(self.codes) + 1, len(self.langs)), TOP, np.int64)
+        held = sorted({g for _, g, _ in rows})
+        self.points = np.array([[0] * (3 - len(g)) + list(map(ord, g)) for g in held], np.int64).reshape(-1, 3)
+        at = {g: i for i, g in enumerate(held)}
+        self.ranks = np.full((len(held) + 1, len(self.langs)), TOP, np.int64)
         for lang, g, rank in rows:
-            self.ranks[at[packed[g]], self.langs.index(lang)] = rank
-
-    @staticmethod
-    def pack(numbers: list[int]) -> int:
-        code = 0
-        for x in numbers:
-            code = code << LETTER_BITS | x
-        return code
+            self.ranks[at[g], self.langs.index(lang)] = rank
+        self.number = np.zeros(0x110000, np.int64)
+
+    def numbered(self, x: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """The letters that texts have, by numbers in order of code point from 2 up, and how many bits these take; and
+        codes in order of the profiles' n-grams that consist of such letters, with their rows."""
+        there = np.zeros(0x110000, bool)
+        there[x] = True
+        there[0] = False
+        letters = np.flatnonzero(there)
+        self.number[letters] = np.arange(len(letters)) + 2
+        self.number[EDGE] = 1
+        bits = int(len(letters) + 1).bit_length()
+        made = self.number[self.points]
+        rows = np.flatnonzero(((made > 0) | (self.points == 0)).all(axis=1))
+        made = made[rows]
+        codes = made[:, 0] << 2 * bits | made[:, 1] << bits | made[:, 2]
+        order = np.argsort(codes)
+        out = self.number[x]
+        self.number[letters] = 0
+        return out, bits, codes[order], rows[order]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text: 1 less the distance as a share of the largest possible one.
@@ -106,26 +141,15 @@ class Profiles:
         langs, scores = ["und"] * n, [0.0] * n
         if not self.langs or not n:
             return langs, scores
-        parts = [np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        owner = np.repeat(np.arange(n), [len(p) for p in parts])
-        x = self.table[np.concatenate(parts)].astype(np.int64)
-        letter = x > 0
-        edge = ~letter & (np.append(letter[1:], False) | np.insert(letter[:-1], 0, False))  # stands for the underscore
-        x[edge] = 1
-        ok = letter | edge
-        keys = [(owner[letter] << 3 * LETTER_BITS) | x[letter]]
-        two = ok[:-1] & ok[1:] & (letter[:-1] | letter[1:])
-        pair = x[:-1] << LETTER_BITS | x[1:]
-        keys.append((owner[:-1][two] << 3 * LETTER_BITS) | pair[two])
-        three = two[:-1] & two[1:] & letter[1:-1]
-        keys.append((owner[:-2][three] << 3 * LETTER_BITS) | (pair[:-1] << LETTER_BITS | x[2:])[three])
-        key = np.sort(np.concatenate(keys))
+        x, owner = points(texts)
+        x, bits, codes, rows = self.numbered(x)
+        key = np.sort(np.concatenate([owner[at] << 3 * bits | code for at, code in grams(x, bits)]))
         if not len(key):
             return langs, scores
         first = np.flatnonzero(np.diff(key, prepend=-1))
         count = np.diff(np.append(first, len(key)))
         key = key[first]
-        doc, code = key >> 3 * LETTER_BITS, key & (1 << 3 * LETTER_BITS) - 1
+        doc, code = key >> 3 * bits, key & (1 << 3 * bits) - 1
         if count.max() >= 1 << COUNT_BITS:
             order = np.lexsort((code, -count, doc))
         else:  # one sort of one number is far quicker
@@ -136,9 +160,8 @@ class Profiles:
         rank = np.arange(len(doc)) - begin[doc]
         near = rank < TOP
         doc, code, rank = doc[near], code[near], rank[near]
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        at = np.where(self.codes[at] == code, at, len(self.codes))
-        known = self.ranks[at]
+        at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+        known = self.ranks[np.where(codes[at] == code, rows[at], len(self.points))] if len(codes) else np.full((len(code), len(self.langs)), TOP)
         apart = np.where(known == TOP, TOP, np.abs(known - rank[:, None]))
         have, starts = np.unique(doc, return_index=True)
         sums = np.add.reduceat(apart, starts, axis=0)
@@ -156,7 +179,7 @@ def is_held_out() -> F.Column:
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of every whole text of ``docs`` by profiles learned from ``labelled``.
 
-    ``und`` with score 0 for null texts and for texts without a letter. Only the text decides. Repeated rows give
+    ``und`` with score 0 for null texts and for texts without a letter; null ids stay. Only the text decides. Repeated rows give
     equal results; extra columns are not read; an empty table gives no rows; with nothing learned all are ``und``.
     Predicting is one pass without shuffle.
     """

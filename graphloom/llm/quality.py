@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from graphloom.llm.common import carried_schema, id_text
 
-# Phrases of boilerplate lines, matched in lower case.
+# Phrases of boilerplate lines in English, German, French and Spanish, matched in lower case.
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -25,6 +26,25 @@ BOILERPLATE = (
     "subscribe to our newsletter",
     "powered by",
     "lorem ipsum",
+    "alle rechte vorbehalten",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "verwendet cookies",
+    "klicken sie hier",
+    "newsletter abonnieren",
+    "tous droits réservés",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "utilise des cookies",
+    "cliquez ici",
+    "abonnez-vous à notre newsletter",
+    "todos los derechos reservados",
+    "términos y condiciones",
+    "política de privacidad",
+    "política de cookies",
+    "utiliza cookies",
+    "haga clic aquí",
+    "suscríbete a nuestro boletín",
 )
 # Characters that count as symbols, and that part the entries of a menu.
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +55,9 @@ MAX_REPEAT_PERCENT = 50
 MAX_MARKS_PERCENT = 30
 #: A line is navigation with so many separators at least, and one for so many words.
 MIN_SEPARATORS, WORDS_A_SEPARATOR = 3, 4
+#: How a sentence ends; a line of so few words that ends otherwise, and isn't the text's last, is a label or a heading.
+TERMINAL = r"""[.!?…:;。！？؟]["'”’»›)\]]*[\x20\x09-\x0D]*$"""
+MAX_OPEN_WORDS = 11
 #: A document is rejected when more than this share of its words stood in failed lines.
 MAX_LOST_PERCENT = 50
 
@@ -44,8 +67,13 @@ SCHEMA = (
 )
 
 
-def line_fails(line: str, n_words: int) -> bool:
-    """The rules for one line with ``n_words`` words, at least one."""
+_ENDS = re.compile(TERMINAL)
+
+
+def line_fails(line: str, n_words: int, last: bool = False) -> bool:
+    """The rules for one line with ``n_words`` words, at least one; ``last`` is that of the text's lines with words."""
+    if not last and n_words <= MAX_OPEN_WORDS and not _ENDS.search(line):
+        return True
     if 100 * sum(map(line.count, SYMBOLS)) > MAX_MARKS_PERCENT * n_words or 100 * line.count("!") > MAX_MARKS_PERCENT * n_words and line.count("!") > 1:
         return True
     separators = sum(map(line.count, SEPARATORS))
@@ -76,13 +104,14 @@ def judge(text: str | None) -> tuple:
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     n, seen, dup, failed, lost, left = len(words), set(), 0, 0, 0, []
-    for line in text.split("\n"):
-        m = len(line.encode("utf-8", "surrogatepass").split())
+    lines = [(line, len(line.encode("utf-8", "surrogatepass").split())) for line in text.split("\n")]
+    last = max((i for i, (_, m) in enumerate(lines) if m), default=-1)
+    for i, (line, m) in enumerate(lines):
         if m:
             if line in seen:
                 dup += 1
             seen.add(line)
-            if line_fails(line, m):
+            if line_fails(line, m, i == last):
                 failed, lost = failed + 1, lost + m
                 continue
         left.append(line)

@@ -39,9 +39,10 @@ t as (select *, lead(word) over p word2, lead(word, 2) over p word3 from w windo
 n as (select doc_id, i, word3 is not null and count(*) over (partition by doc_id, word, word2, word3) > 1 twice from t),
 c as (select doc_id, coalesce(bool_or(twice) over (partition by doc_id order by i rows between 2 preceding and current row), false) covered from n),
 r as (select doc_id, count(*) n_words, count(*) filter (covered) n_repeat_words from c group by doc_id),
-l as (select doc_id, line, len(regexp_extract_all(line, '{WORD}+')) m from (select doc_id, unnest(string_split(text, chr(10))) line from d)),
-j as (select doc_id, line, m, {_count("line", quality.SYMBOLS)} marks, {_count("line", "!")} bangs, {_count("line", quality.SEPARATORS)} parts from l where m > 0),
+l as (select doc_id, i, line, len(regexp_extract_all(line, '{WORD}+')) m from (select doc_id, unnest(x) line, unnest(range(len(x))) i from (select doc_id, string_split(text, chr(10)) x from d))),
+j as (select doc_id, line, m, i = max(i) over (partition by doc_id) is_last, {_count("line", quality.SYMBOLS)} marks, {_count("line", "!")} bangs, {_count("line", quality.SEPARATORS)} parts from l where m > 0),
 v as (select *, 100 * marks > {quality.MAX_MARKS_PERCENT} * m or (100 * bangs > {quality.MAX_MARKS_PERCENT} * m and bangs > 1)
+ or (not is_last and m <= {quality.MAX_OPEN_WORDS} and not regexp_matches(line, {_quoted(quality.TERMINAL)}))
  or (parts >= {quality.MIN_SEPARATORS} and parts * {quality.WORDS_A_SEPARATOR} >= m) or {_BOILERPLATE} fails from j),
 g as (select doc_id, count(*) - count(distinct line) n_dup_lines, count(*) filter (fails) n_failed_lines, coalesce(sum(m) filter (fails), 0)::bigint n_lost_words from v group by doc_id),
 a as (select d.doc_id, coalesce(n_words, 0) n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) word_chars, {_count("text", quality.SYMBOLS)} n_symbols,
@@ -88,9 +89,7 @@ n as (select unnest([{_N}]) n),
 p as (select doc_id, word, times, n, unnest(range({_GRAMS})) + (n = 1)::int + 1 i from u, n),
 c as (select lang, substr('_' || word || '_', i, n) gram, sum(times) total from p join d using (doc_id) where not held_out and lang is not null group by 1, 2),
 r as (select lang, gram, row_number() over (partition by lang order by total desc, gram) - 1 rank from c qualify rank < {language.TOP}),
-k as (select '[^' || string_agg(distinct letter, '') || ']' other from (select unnest(string_split(gram, '')) letter from r) where letter <> '_'),
-m as (select word, regexp_replace(word, other, '`', 'g') masked from (select distinct word from u), k),
-g as (select doc_id, substr('_' || masked || '_', i, n) gram, sum(times) total from p join m using (word) group by 1, 2),
+g as (select doc_id, substr('_' || word || '_', i, n) gram, sum(times) total from p group by 1, 2),
 h as (select doc_id, gram, row_number() over (partition by doc_id order by total desc, len(gram), gram) - 1 rank from g qualify rank < {language.TOP}),
 s as (select h.doc_id, l.lang, sum(case when r.rank is null then {language.TOP} else abs(r.rank - h.rank) end)::bigint apart, count(*) * {language.TOP} most
  from h cross join (select distinct lang from r) l left join r on r.lang = l.lang and r.gram = h.gram group by 1, 2),

@@ -440,12 +440,46 @@ def test_language(spark, empty):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
 
 
+def plain_grams(text):
+    out = Counter()
+    for word in "".join("".join(c.lower()[:1] for c in x) if x.isalpha() else " " for x in text).split():
+        padded = f"_{word}_"
+        for n in (1, 2, 3):
+            out.update(padded[i : i + n] for i in range(n == 1, len(padded) - n + 1 - (n == 1)))
+    return out
+
+
 def test_language_profiles_by_plain_counts():
-    made = [("x", g, i) for i, (g, _) in enumerate(sorted(language.grams("banana band").items(), key=lambda t: (-t[1], t[0])))]
+    made = [("x", g, i) for i, (g, _) in enumerate(sorted(plain_grams("banana band").items(), key=lambda t: (-t[1], t[0])))]
     profiles = language.Profiles(made)
     assert profiles.predict(["banana band"])[1][0] > 0.9
-    counts = language.grams("ab ab")
+    counts = plain_grams("ab ab")
     assert counts["_a"] == 2 and counts["a"] == 2 and counts["_ab"] == 2 and "_" not in counts
+    for text in ("Äb ΣΑΣ x, 山田ab2 İi \U0001d49c ß", "", "12 !", "a" * 400 + " \U00020000\U0002a6d6"):
+        x = language.points([text])[0]
+        got = Counter(language.shown(c) for _, code in language.grams(x, language.POINT_BITS) for c in code.tolist())
+        assert got == plain_grams(text), text
+
+
+def test_language_tells_all_letters_apart(spark):
+    """Distances against plain ranks, over texts with thousands of letters, most of them in no profile."""
+    rng = np.random.default_rng(12)
+    letters = {"han": [chr(c) for c in range(0x4E00, 0x4E00 + 5000)], "kor": [chr(c) for c in range(0xAC00, 0xAC00 + 5000)], "lat": list("abcdefghij")}
+    draw = lambda k, n: " ".join("".join(rng.choice(letters[k], 4)) for _ in range(n))
+    made = [(i, draw(k, 300), k) for i, k in enumerate([*letters] * 20)]
+    asked = [(1000 + i, draw(k, 30)) for i, k in enumerate([*letters] * 4)]
+    labelled = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    profiles = {}
+    for k in letters:
+        n = sum((plain_grams(t) for _, t, l in made if l == k), Counter())
+        profiles[k] = {g: i for i, (g, _) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[: language.TOP])}
+    assert {(k, g, i) for k, p in profiles.items() for g, i in p.items()} == set(language.learn(labelled))
+    got = by_id(language.identify(spark.createDataFrame(asked, "doc_id long, text string"), labelled))
+    for d, t in asked:
+        own = sorted(plain_grams(t).items(), key=lambda x: (-x[1], len(x[0]), x[0]))[: language.TOP]
+        apart = {k: sum(abs(p[g] - i) if g in p else language.TOP for i, (g, _) in enumerate(own)) for k, p in profiles.items()}
+        best = min(apart, key=lambda k: (apart[k], k))
+        assert got[d].lang_pred == best and got[d].score == pytest.approx(1 - apart[best] / (language.TOP * len(own)))
 
 
 def test_piecewise(docs, spark, empty):
