@@ -7,6 +7,8 @@ the source's shuffled documents.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.plans.staging import stage_table
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     mix takes from the row, repeats counted, at most MAX_TIMES times its size. A null source is one of its own, the
     last. Empty texts take nothing. Repeated rows are documents of their own, taken alike but for the end of a run.
     Extra columns are not read; an empty table gives no rows. Reruns agree: documents are shuffled by a digest of
-    doc_id, and rows that agree in it follow by doc_id and size.
+    doc_id and size, and rows that agree in these are taken in a row; null ids are spread by size.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
@@ -86,8 +88,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     buckets = 1024
     # Each source's documents in shuffled order, laid end to end. Running sums in two steps: over parts of the digest
     # range, and within a part, so that a source of any size is spread over many tasks.
-    n_parts = max(1, -(-sized.count() // 4096))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    n_parts = 1 + isqrt(sized.count())  # as many as rows in one, so neither sum is long
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
     laid = sized.join(plan.select("at", "source", "source_size"), sized.source.eqNullSafe(plan.source)).select("doc_id", "at", "size", plan.source_size, digest.alias("digest"))
     laid = laid.withColumn("part", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * n_parts / (1 << 32)))
     parts = laid.groupBy("at", "part").agg(F.sum("size").alias("part_size"))

@@ -113,49 +113,69 @@ def likeness(a: str, b: str) -> float:
 
 
 def with_next(docs: DataFrame, run_first, schema: str) -> DataFrame:
-    """Rows in descending order of id, dealt by ranges of ids: ``bucket, guest, rank`` and what ``run_first`` makes.
+    """Rows in descending order of id, dealt by ranges of ids: ``bucket, guest, rank, spread`` and what ``run_first`` makes.
 
     Each bucket holds a range of ids and ends with a guest: the row that follows its last one, which is the greatest
     of the nearest lower bucket, or for the lowest bucket the greatest of all. Ranges come from approximate quantiles,
-    so that buckets are even whatever the ids. A few numbers a bucket are gathered, and there are as many buckets as
+    so that buckets are even whatever the ids; a bucket of one id that many rows share, or of rows without an id, is cut
+    further by a checksum of the text. A few numbers a bucket are gathered, and there are about as many buckets as
     partitions are set, times three. Texts are shuffled once.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_text(docs).withColumn("rank", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    rows = id_text(docs).withColumn("rank", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("spread", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     probs = [i / (3 * n) for i in range(1, 3 * n)]
     cuts = np.unique(np.array(id_text(docs).approxQuantile("doc_id", probs, 0.1 / n), np.float64))
 
     def place(ranks: np.ndarray) -> np.ndarray:
         return np.searchsorted(cuts, ranks.astype(np.float64), side="right")  # order holds, though large ids round
 
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ranks = batch.column("rank").to_numpy()
-            own = place(ranks)
-            order = np.lexsort((ranks, own))
-            last = order[np.flatnonzero(np.diff(own[order], append=-1))] if len(own) else order
-            yield pa.RecordBatch.from_arrays([pa.array(own[last], pa.int64()), pa.array(ranks[last])], ["bucket", "rank"])
-
-    top = dict(map(tuple, rows.select("rank").mapInArrow(tops, "bucket long, rank long").groupBy("bucket").agg(F.max("rank")).collect()))
+    def placed(ranks: np.ndarray, spread: np.ndarray, split: dict[int, int]) -> np.ndarray:
+        """Buckets in order; one that is split gives as many as ``split`` says, by ranges of the checksum."""
+        bucket = place(ranks)
+        times = np.ones(len(cuts) + 1, np.int64)
+        for b, k in split.items():
+            times[b] = k
+        return (np.cumsum(times) - times)[bucket] + (spread * times[bucket] >> 32)
+
+    def tops(split: dict[int, int]) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ranks, spread = (batch.column(c).to_numpy() for c in ("rank", "spread"))
+                own = placed(ranks, spread, split)
+                order = np.lexsort((spread, ranks, own))
+                first = np.flatnonzero(np.diff(own[order], prepend=-1))
+                last = order[np.append(first[1:], len(own)) - 1] if len(own) else order
+                cols = [own[last], ranks[last], spread[last], ranks[order[first]], np.diff(np.append(first, len(own)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "rank", "spread", "least", "n"])
+
+        made = rows.select("rank", "spread").mapInArrow(run, "bucket long, rank long, spread long, least long, n long")
+        return made.groupBy("bucket").agg(F.max(F.struct("rank", "spread")).alias("top"), F.min("least").alias("least"), F.sum("n").alias("n")).collect()
+
+    found = tops({})
+    even = max(1, sum(r["n"] for r in found) // (3 * n))
+    split = {r["bucket"]: -(-r["n"] // even) for r in found if r["n"] > 2 * even and r["top"]["rank"] == r["least"]}
+    top = {r["bucket"]: tuple(r["top"]) for r in (tops(split) if split else found)}
     filled = sorted(top)
     above = {top[b]: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in f"bucket long, guest boolean, {schema}".split(", ")]
         for batch in batches:
-            ranks = batch.column("rank").to_numpy()
-            made = run_first(batch)
-            cols = [pa.array(place(ranks), pa.int64()), pa.array(np.zeros(len(ranks), bool)), *made]
-            names = [x.split()[0] for x in f"bucket long, guest boolean, {schema}".split(", ")]
-            yield pa.RecordBatch.from_arrays(cols, names)
-            also = [i for i, r in enumerate(ranks.tolist()) if r in above]
-            if also:
-                part = pa.RecordBatch.from_arrays(cols, names).take(pa.array(also))
-                cols = [pa.array([above[ranks[i]] for i in also], pa.int64()), pa.array([True] * len(also)), *part.columns[2:]]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            ranks, spread = (batch.column(c).to_numpy() for c in ("rank", "spread"))
+            own = pa.RecordBatch.from_arrays([pa.array(placed(ranks, spread, split), pa.int64()), pa.array(np.zeros(len(ranks), bool)), *run_first(batch)], names)
+            yield own
+            guests: dict[tuple[int, int], int] = {}
+            text = own.column("text")
+            for i, key in enumerate(zip(ranks.tolist(), spread.tolist())):
+                if key in above and (key not in guests or text[i].as_py() < text[guests[key]].as_py()):
+                    guests[key] = i  # of rows alike in both the first by text
+            if guests:
+                part = own.take(pa.array(list(guests.values())))
+                yield pa.RecordBatch.from_arrays([pa.array([above[k] for k in guests], pa.int64()), pa.array([True] * len(guests)), *part.columns[2:]], names)
 
     dealt = rows.mapInArrow(deal, f"bucket long, guest boolean, {schema}")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("rank"), "text")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("rank"), F.desc("spread"), "text")
 
 
 def piecewise(docs: DataFrame) -> DataFrame:
@@ -163,13 +183,13 @@ def piecewise(docs: DataFrame) -> DataFrame:
 
     The edited text is the first ``n_chars - n_chars // 2`` code points of the text and then the first
     ``n_chars // 2`` (or all) of the next document's, in descending order of doc_id; the first follows the last. Null
-    texts are empty. Rows that repeat a doc_id follow one another in order of their texts; null ids come last. A
-    single row is its own next. Extra columns are not read; an empty table gives no rows.
+    texts are empty. Rows that repeat a doc_id follow one another by a checksum of their texts, from the greatest on,
+    and then by text; null ids come last. A single row is its own next. Extra columns are not read; an empty table gives no rows.
     """
 
     def first(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
-        return [batch.column("rank"), batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([fingerprint(x) for x in texts], pa.string())]
+        return [batch.column("rank"), batch.column("spread"), batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([fingerprint(x) for x in texts], pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -189,6 +209,6 @@ def piecewise(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return with_next(docs, first, "rank long, doc_id long, text string, fingerprint string").mapInArrow(
+    return with_next(docs, first, "rank long, spread long, doc_id long, text string, fingerprint string").mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

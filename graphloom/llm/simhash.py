@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from graphloom.llm.common import id_text, raw_texts
+from graphloom.llm.common import carried_schema, id_text, raw_texts
 from graphloom.operators.components import components
 from graphloom.plans.staging import stage_table
 
@@ -21,6 +21,8 @@ TILE = 2048
 BLOCK_ROWS = 1024
 #: Shingle hashes whose bits are unpacked at once.
 PIECE = 1 << 17
+#: Classes of equal fingerprints that are broadcast at most; each holds over this part of all rows, and HOT_ROWS.
+HOT_CLASSES, HOT_ROWS = 10_000, 10_000
 
 
 def shingle_hashes(raw: bytes) -> list[int]:
@@ -150,15 +152,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed 64-bit integer, in one pass over the texts."""
+def document_fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, *carry)``: the fingerprint as a signed 64-bit integer, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array(fingerprints(raw_texts(batch)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made, *map(batch.column, carry)], ["doc_id", "fp", *carry])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, *carry).mapInArrow(run, "doc_id long, fp long" + carried_schema(docs, carry))
 
 
 def fingerprint_links(classes: DataFrame, n_values: int) -> DataFrame:
@@ -200,17 +202,26 @@ def fingerprint_links(classes: DataFrame, n_values: int) -> DataFrame:
     return dealt.repartition(n, "t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for each row of ``docs``.
+def simhash_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fingerprint, component_id, *carry)`` for each row of ``docs``.
 
     Fingerprints that differ in three bits or fewer are linked; component_id is the smallest doc_id that can be
     reached. Equal fingerprints fold into one class before any comparison, so exact copies cost one row each and no
-    pair. Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows stay, with
-    equal results; extra columns are not read; an empty table gives no rows. All pairs in reach are found: values
+    pair; rows of the largest classes find their component without a shuffle, as there are HOT_CLASSES of these at
+    most. Null, empty and blank texts have fingerprint zero and are linked like any other; a null id is never the
+    smallest, and a component of such rows alone has none. Repeated rows stay, with equal results; extra columns are
+    not read, and those in ``carry`` pass through; an empty table gives no rows. All pairs in reach are found: values
     that differ in three bits agree on whole blocks of bits, and buckets of any size are compared in tiles.
     """
-    marked = stage_table(document_fingerprints(docs), "fingerprints")
-    classes = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    linked = components(fingerprint_links(classes, classes.count()))
-    named = classes.join(linked, classes.node == linked.id, "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = stage_table(document_fingerprints(docs, carry), "fingerprints")
+    classes = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    total = classes.agg(F.sum("n"), F.count("*")).first()
+    # Classes are known by their fingerprints, so that one without any id still links those on either side of it.
+    linked = components(fingerprint_links(classes.select("fp", F.col("fp").alias("node")), total[1]))
+    known = stage_table(classes.join(linked, classes.fp == linked.id, "left").select("fp", "node", "n", F.coalesce("component", "fp").alias("component")), "known")
+    least = known.groupBy("component").agg(F.min("node").alias("component_id"))
+    named = stage_table(known.join(least, "component").select("fp", "n", "component_id"), "named")
+    hot = F.col("n") > max(HOT_ROWS, (total[0] or 0) // HOT_CLASSES)
+    large = F.broadcast(named.where(hot).drop("n"))
+    rows = marked.join(large, "fp").unionByName(marked.join(large, "fp", "left_anti").join(named.where(~hot).drop("n"), "fp"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)

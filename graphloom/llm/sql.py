@@ -70,7 +70,7 @@ m as (select id, nr, n_blocks from (select id, point - floor(point) point from k
 r as (select nr, n_blocks, row_number() over (partition by nr order by id) - 1 place from m),
 t as (select nr, place % n_blocks as block, count(*) times from r where place < {_T} * n_blocks group by 1, 2),
 x as (select row_number() over () row_id, doc_id, size, nr, d.source, source_size, target from d join i on d.source is not distinct from i.source),
-l as (select *, (sum(size) over (partition by nr order by md5(coalesce(doc_id::varchar, '')), doc_id, size rows unbounded preceding) - size)::bigint begin_at from x),
+l as (select *, (sum(size) over (partition by nr order by md5(coalesce(doc_id::varchar, '') || ':' || size), doc_id, size rows unbounded preceding) - size)::bigint begin_at from x),
 c as (select row_id, nr, size, begin_at, unnest(range(begin_at // {_B}, (begin_at + size - 1) // {_B} + 1)) as block from l where size > 0),
 o as (select row_id, sum(times * (least(begin_at + size, (c.block + 1) * {_B}) - greatest(begin_at, c.block * {_B})))::bigint taken from c join t on t.nr = c.nr and t.block = c.block group by 1)
 select doc_id, size, source_size, target, coalesce(taken, 0) taken from l left join o on o.row_id = l.row_id

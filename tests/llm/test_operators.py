@@ -508,6 +508,19 @@ def test_piecewise(docs, spark, empty):
         assert piecewise.edit_distance(a, b) == slow(a, b)
 
 
+def test_piecewise_splits_ids_that_many_rows_share(spark):
+    """Against a sorted list: a third of the rows without an id, a third of one id, copies among them."""
+    rng = np.random.default_rng(13)
+    made = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, None if i % 50 == 0 else f"text {rng.integers(0, 200)} " * 5) for i in range(900)]
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in piecewise.piecewise(spark.createDataFrame(made, "doc_id long, text string").repartition(5)).collect())
+    line = sorted(((d is None, -(d or 0), -zlib.crc32((t or "").encode()), t or "", d) for d, t in made))
+    want = Counter()
+    for now, after in zip(line, line[1:] + line[:1]):
+        text, half = now[3], len(now[3]) // 2
+        want[now[4], len(text), hashlib.sha256((text[: len(text) - half] + after[3][:half]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 def test_piecewise_signatures_cover_the_whole_text():
     for head in [(a + b) * 2000 for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]:  # some have a chunk for each turn
         size, long, short = piecewise.fingerprint(head + "the end of it").split(":")
@@ -538,6 +551,28 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_simhash_large_classes_and_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 5)
+    texts = ["one two three four"] * 40 + ["five six seven"] * 3 + [None, "", " "] + ["alone with no id"]
+    made = [(None if i % 4 == 0 or i == 46 else i, t, f"c{i}") for i, t in enumerate(texts)]
+    got = simhash.simhash_components(spark.createDataFrame(made, "doc_id long, text string, extra string"), ("extra",)).collect()
+    same = lambda t: " ".join((t or "").split())
+    least = {}
+    for d, t, _ in made:
+        if d is not None:
+            least[same(t)] = min(d, least.get(same(t), d))
+    assert sorted((r.extra, r.component_id) for r in got if r.extra != "c46") == sorted((e, least.get(same(t))) for d, t, e in made if e != "c46")
+    assert len(got) == len(made) and [r.component_id for r in got if r.extra == "c46"] == [None]
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    made = [(5, 0), (None, 0b111), (3, 0b111111), (None, 1 << 40), (9, -1), (8, -2), (9, -1)]
+    monkeypatch.setattr(simhash, "document_fingerprints", lambda docs, carry: spark.createDataFrame(made, "doc_id long, fp long"))
+    got = [(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in simhash.simhash_components(None).collect()]
+    least = {0: 3, 0b111: 3, 0b111111: 3, 1 << 40: 3, -1: 8, -2: 8}
+    assert Counter(got) == Counter((d, fp % (1 << 64), least[fp]) for d, fp in made)
+
+
 def test_bit_slices():
     rng = np.random.default_rng(5)
     seed = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -653,22 +688,48 @@ def test_pii_key_and_long_texts(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Stage by stage against plain Python, over copies, near copies, odd ids, empty and null texts and extra columns."""
     import corpus_pipeline
 
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(rng.choice(words, 80)) + "." for _ in range(12)]
-    made = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts + texts[:4] + ["too short", None])]
-    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    names = spark.read.parquet(str(tmp_path / "documents.parquet")).columns
-    docs_, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    texts = [" ".join(rng.choice(words, 80)) + f". Mail a{i}@example.com." for i in range(12)]
+    texts += texts[:4] + [texts[5] + " More.", "too short", None, "", " | ".join(words[:90]), "Menu\n" + texts[3], " ".join(rng.choice(words, 3000)) + "."]
+    made = [(i, t, "en", f"s{i % 3}" if i % 5 else None, 0, 1, "x") for i, t in enumerate(texts)]
+    made += [(2, texts[7] + " Other.", "en", "s1", 0, 1, "x"), (2, texts[2], "en", "s2", 0, 1, "x"), (None, texts[8], "en", "s1", 0, 1, "x"), (None, texts[8], "en", "s1", 0, 1, "x")]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, copies int, row string").write.parquet(str(tmp_path / "documents.parquet"))
+    key, docs_, seen = pii.stored_key(spark), spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs_ = stage(spark, docs_, str(tmp_path))
-        assert docs_.columns == names
-        seen.append(docs_.count())
-    assert seen[:3] == [16, 12, 12]
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert ids and ids <= set(range(12))
+        assert docs_.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append([tuple(r) for r in docs_.collect()])
+        assert all(r[4] == len(r[1]) for r in seen[-1])
+    clean = [(d, quality.judge(t)[-1], l, s, len(quality.judge(t)[-1])) for d, t, l, s, *_ in made if quality.judge(t)[6]]
+    assert Counter(seen[0]) == Counter(clean) and len(clean) < len(made)
+
+    def bits(t):
+        w = [x.lower() for x in t.split()]
+        h = [xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows_ = [(*r, bits(r[1])) for r in clean if r[0] is not None]
+    group = [r[0] for r in rows_]
+    for _ in rows_:
+        for i, x in enumerate(rows_):
+            group[i] = min([group[i]] + [g for y, g in zip(rows_, group) if (x[5] ^ y[5]).bit_count() <= 3])
+    want = {r[0]: {y[:5] for y, h in zip(rows_, group) if y[0] == r[0] == h} for r, g in zip(rows_, group) if r[0] == g}
+    got = [r for r in seen[1] if r[0] is not None]
+    assert {r[0] for r in got} == set(want) and len(got) == len(want) and all(r in want[r[0]] for r in got)
+    assert [r for r in seen[1] if r[0] is None] == [r for r in clean if r[0] is None] and len(want) < len(rows_)
+    assert Counter(seen[2]) == Counter((d, x := pii.redact(t, key)[0], l, s, len(x)) for d, t, l, s, _ in seen[1]) and seen[2] != seen[1]
+    takes = defaultdict(lambda: [0, 0])
+    for r in mixing.mix(spark.createDataFrame(seen[2], docs_.schema)).collect():
+        takes[r.doc_id][0] += r.taken
+        takes[r.doc_id][1] += r["size"]
+    assert Counter(seen[3]) == Counter(r for r in seen[2] for _ in range(int(takes[r[0]][0] / takes[r[0]][1] + 0.5)))
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    out = Counter((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist()), r.decoded) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert out == Counter((r[0], tuple(x := t.encode(r[1], add_special_tokens=False).ids), t.decode(x, skip_special_tokens=False)) for r in seen[3])
 
 
 def test_suffix_dedup_counts_frequent_anchors_in_one_block(spark):
