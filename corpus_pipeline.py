@@ -1,6 +1,8 @@
 """The corpus pipeline: raw documents in, token ids out; each stage works on all that the one before it kept.
 
 doc_id names a document: rows that repeat one count as the same document where a stage must choose among documents.
+Every stage reads the columns of documents by name, whatever others there are, and gives these alone; an empty table
+gives an empty one. Texts are worked on whole, however long. Reruns agree, as long as the key of the surrogates does.
 """
 
 from __future__ import annotations
@@ -18,32 +20,44 @@ def _documents(df: DataFrame, text: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep, with the lines that passed. A null text is rejected."""
+    """The documents that the quality rules keep, with the lines that passed. Null, empty and blank texts are rejected;
+    repeated rows fare alike, and null ids stay."""
     return _documents(quality.quality_rules(docs, carry=("lang", "source")).where("kept"), "clean_text")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id. Rows without an id all stay."""
-    found = simhash.simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(found, "doc_id").dropDuplicates(["doc_id"])
-    return _documents(with_id, "text").union(_documents(docs.where("doc_id is null"), "text"))
+    """One document of each group of near-duplicates, that of the smallest doc_id.
+
+    Of different rows with that doc_id in the group the one of the least checksum stays, equal rows as one. Rows
+    without an id can't be told apart, so all stay.
+    """
+    row = F.xxhash64("text", "lang", "source")
+    marked = docs.where("doc_id is not null").select("doc_id", "text", "lang", "source", row.alias("row"))
+    found = simhash.simhash_components(marked, ("row",)).where("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("row"))
+    kept = marked.join(found, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    return _documents(kept, "text").union(_documents(docs.where("doc_id is null"), "text"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced."""
-    return _documents(pii.replace_pii(docs, carry=("lang", "source")), "redacted")
+    """All documents, personal data replaced under the session's key. Null texts, repeated rows and null ids stay."""
+    return _documents(pii.replace_pii(docs, pii.stored_key(spark), carry=("lang", "source")), "redacted")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number, at most three times."""
+    """Each document as often as the mix takes its words, to the nearest whole number, at most three times.
+
+    Documents without words go, as the mix takes none. Rows that repeat a doc_id, or have none, share their copies
+    evenly. A null source is one of its own.
+    """
     takes = mixing.mix(docs).groupBy("doc_id").agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("copies")).where("copies > 0")
     takes = takes.select(F.col("doc_id").alias("taken_id"), "copies")
-    mixed = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    mixed = docs.select("doc_id", "text", "lang", "source").join(takes, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return _documents(mixed, "text")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, as little-endian unsigned 32-bit integers, and the text that they decode to."""
+    """Token ids of each document, as little-endian unsigned 32-bit integers, and the text that they decode to; copies
+    that the mix made stay."""
     return bpe.encode(docs, tokenizer_path())
 
 
