@@ -42,8 +42,16 @@ def edge_key(src: str = "src", dst: str = "dst") -> Column:
     return F.shiftleft(F.least(src, dst), 32).bitwiseOR(F.greatest(src, dst))
 
 
+def seeded(seed: Column | int, *keys: str | Column) -> Column:
+    """A hash of a seed and whole numbers, from 0 to 2 ** 60, that any engine with MD5 can make again."""
+    text = F.concat_ws(":", F.lit(seed).cast("string"), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def duration(seconds: str) -> Column:
+    """Seconds with one decimal, under an hour minutes and rounded seconds (none under half a second), then hours."""
     s = F.col(seconds)
-    whole = F.floor(s).cast("long")
-    hours = F.format_string("%dh %dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60))
-    return F.when(s < 60, F.format_string("%.1fs", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(whole / 60), whole % 60)).otherwise(hours)
+    minutes = F.floor(s / 60).cast("long")
+    rest = s - minutes * 60
+    short = F.when(rest < 0.5, F.format_string("%dm", minutes)).otherwise(F.format_string("%dm %ds", minutes, F.bround(rest, 0).cast("long")))
+    return F.when(s < 60, F.format_string("%.1fs", s)).when(minutes < 60, short).otherwise(F.format_string("%dh %dm", F.floor(minutes / 60), minutes % 60))

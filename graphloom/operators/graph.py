@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.operators.ranking import ranked
 from graphloom.plans.staging import stage_table
 
 
@@ -41,16 +42,8 @@ class Graph:
         return self.vertices.join(found, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
     def logical_ids(self) -> DataFrame:
-        """``(id, logical_id)``: the rank of each vertex by id, from 0, by counts of ranges of ids and ranks in them."""
-        from pyspark.sql import Window
-
-        width = 1 << 16
-        rows = self.vertices.withColumn("part", F.floor(F.col("id") / width))
-        parts = rows.groupBy("part").count()
-        ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
-        own = Window.partitionBy("part").orderBy("id")
-        return rows.withColumn("rank", F.row_number().over(own) - 1).join(parts, "part").select("id", (F.col("base") + F.col("rank")).alias("logical_id"))
+        """``(id, logical_id)``: the rank of each vertex by id, from 0, however far apart ids are."""
+        return ranked(self.vertices, "id", name="logical_id")
 
     def vertex_ids(self, probes: DataFrame) -> DataFrame:
         """``(logical_id, id)`` for probed ranks; null where there is no such rank."""

@@ -39,26 +39,33 @@ def bfs(g: Graph, root: int) -> DataFrame:
     _need_root(g, root)
     adj = stage_table(g.adjacency().select("src", "dst"), "adjacency")
     seen = front = stage_table(g.vertices.where(F.col("id") == root).select("id", F.lit(0).alias("level")), "front")
-    level = 0
+    level, fronts = 0, [front]
     while not front.isEmpty():
         level += 1
         reached = front.select(F.col("id").alias("src")).join(adj, "src").select(F.col("dst").alias("id")).distinct()
         front = stage_table(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level")), "front")
         seen = seen.union(front)
+        fronts.append(front)
         if level % 16 == 0:  # on graphs of many levels the union of fronts would grow without bound
             seen = stage_table(seen, "seen")
+            for old in fronts[:-1]:
+                drop_table(old)
+            fronts = [seen, front]
     return g.vertices.join(seen, "id", "left").select("id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 def sssp(g: Graph, root: int, weighted: bool = True) -> DataFrame:
     """``(id, distance)``: least sum of weights from the root, infinite where it is not reached; only vertices that got
-    nearer send on. Weights that are not finite are skipped. An unknown root is an error."""
+    nearer send on. Weights that are not finite are skipped. An unknown root is an error. There are as many rounds as
+    vertices less one at most, which is all that a path can need; with a negative cycle distances are those reached then."""
     _need_root(g, root)
     weight = F.col("weight") if weighted else F.lit(1.0)
     inf = float("inf")
     adj = stage_table(g.adjacency().select("src", "dst", weight.alias("weight")).where(~F.isnan("weight") & (F.abs("weight") < inf)), "weights")
     now = stage_table(g.vertices.select("id", F.when(F.col("id") == root, 0.0).otherwise(inf).alias("distance"), (F.col("id") == root).alias("fresh")), "distances")
-    while not now.where("fresh").isEmpty():
+    for _ in range(g.vertices.count() - 1):
+        if now.where("fresh").isEmpty():
+            break
         sent = now.where("fresh").select(F.col("id").alias("src"), "distance").join(adj, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
         new = now.join(sent, "id", "left").select("id", F.least("distance", "offer").alias("distance"), F.coalesce(F.col("offer") < F.col("distance"), F.lit(False)).alias("fresh"))
         after = stage_table(new, "distances")

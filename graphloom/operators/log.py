@@ -5,11 +5,13 @@ Log columns: ``seq`` (the version), ``op`` (U upsert, D delete), ``src``, ``dst`
 
 from __future__ import annotations
 
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.operators.graph import Graph
+from graphloom.operators.ranking import ranked
 from graphloom.plans.staging import stage_table
 
 
@@ -77,6 +79,24 @@ def remove_isolated(g: Graph, ids: DataFrame) -> DataFrame:
     return ids.join(g.degrees(), "id", "left").select("id", F.coalesce(F.col("degree") == 0, F.lit(False)).alias("removed"))
 
 
+def remove_tail(g: Graph, ids: DataFrame) -> DataFrame:
+    """``(id, removed)``: where logical ids must stay dense, a vertex can be removed if it has no edges and is the last."""
+    last = g.vertices.agg(F.max("id").alias("last"))
+    rows = ids.join(g.degrees(), "id", "left").crossJoin(F.broadcast(last))  # one row
+    return rows.select("id", F.coalesce((F.col("degree") == 0) & (F.col("id") == F.col("last")), F.lit(False)).alias("removed"))
+
+
+def put_edges(log: DataFrame, version: int | None = None, force_insert: bool = False) -> DataFrame:
+    """Live ``(src, label, dst, payload, seq)``: the last put of each edge, or with ``force_insert`` every put since the
+    edge was last deleted, each an edge of its own."""
+    rows = log if version is None else log.where(F.col("seq") <= version)
+    if not force_insert:
+        last = rows.groupBy("src", "label", "dst").agg(F.max_by(F.struct("op", "payload"), "seq").alias("x"), F.max("seq").alias("seq"))
+        return last.where("x.op = 'U'").select("src", "label", "dst", "x.payload", "seq")
+    gone = F.max(F.when(F.col("op") == "D", F.col("seq"))).over(Window.partitionBy("src", "label", "dst"))
+    return rows.withColumn("gone", gone).where("op = 'U' and (gone is null or seq > gone)").select("src", "label", "dst", "payload", "seq")
+
+
 def compact(log: DataFrame, oldest: int) -> DataFrame:
     """The log without versions that no reader at ``oldest`` or later can see."""
     rows = paired(log).withColumn("late", F.col("seq") > oldest)
@@ -91,9 +111,11 @@ def latest_payload(versions: DataFrame, version: int) -> DataFrame:
 
 
 def conflicts(log: DataFrame, staged: DataFrame, read_version: int) -> DataFrame:
-    """Sources that ``staged`` writes and someone else changed after ``read_version``."""
-    late = log.where(F.col("seq") > read_version).select("src")
-    return staged.select("src").distinct().join(late, "src", "left_semi")
+    """``(id)``: ends of edges that ``staged`` writes and someone else changed after ``read_version``. Edges have no
+    direction, so a write touches both ends."""
+    end = F.explode(F.array("src", "dst")).alias("id")
+    late = log.where(F.col("seq") > read_version).select(end)
+    return staged.select(end).distinct().join(late, "id", "left_semi")
 
 
 def labelled_snapshot(log: DataFrame, version: int | None = None) -> DataFrame:
@@ -190,11 +212,12 @@ class Transaction:
         if not self.open:
             raise TransactionClosed("ended")
         self.open = False
-        if self.staged:
-            if not conflicts(self.store.log, self.frame(), self.version).isEmpty():
-                raise TransactionConflict("changed since the snapshot")
-            self.store.append(self.staged)
-        return self.store.version
+        with self.store.lock:  # nobody appends between the check and the append
+            if self.staged:
+                if not conflicts(self.store.log, self.frame(), self.version).isEmpty():
+                    raise TransactionConflict("changed since the snapshot")
+                self.store.append(self.staged)
+            return self.store.version
 
 
 class MutationLog:
@@ -209,14 +232,35 @@ class MutationLog:
         self.log = log if log is not None else spark.createDataFrame([], self.SCHEMA)
         self.version = self.log.agg(F.max("seq")).first()[0] or 0
         self.pending = 0
+        self.lock = threading.RLock()
 
     def append(self, ops: list[tuple[str, int, int, float | None]]) -> None:
-        rows = [(self.version + i + 1, *x) for i, x in enumerate(ops)]
-        self.log = self.log.unionByName(self.spark.createDataFrame(rows, self.SCHEMA))
-        self.version += len(rows)
-        self.pending += 1
-        if self.pending == self.STAGE_AFTER:  # the plan would grow with every commit
-            self.log, self.pending = stage_table(self.log, "log"), 0
+        with self.lock:
+            rows = [(self.version + i + 1, *x) for i, x in enumerate(ops)]
+            self.log = self.log.unionByName(self.spark.createDataFrame(rows, self.SCHEMA))
+            self.version += len(rows)
+            self.pending += 1
+            if self.pending == self.STAGE_AFTER:  # the plan would grow with every commit
+                self.log, self.pending = stage_table(self.log, "log"), 0
+
+    def extend(self, ops: DataFrame) -> int:
+        """Append ``ops(op, src, dst, weight, seq)`` as one batch; ``seq`` numbers them from 0 within it."""
+        with self.lock:
+            new = ops.select((F.col("seq") + F.lit(self.version + 1)).alias("seq"), "op", "src", "dst", F.col("weight").cast("double").alias("weight"))
+            new = stage_table(new, "batch")
+            self.log = self.log.unionByName(new)
+            self.version += new.count()
+            self.pending += 1
+            if self.pending == self.STAGE_AFTER:
+                self.log, self.pending = stage_table(self.log, "log"), 0
+            return self.version
+
+    def bulk_load(self, edges: DataFrame) -> int:
+        """Append ``edges(src, dst, weight)`` as upserts in order of ends and weight, all at once and unchecked: for
+        loading before any transaction begins."""
+        with self.lock:
+            rows = ranked(edges.select("src", "dst", "weight", F.monotonically_increasing_id().alias("row")), "src", "dst", "weight", "row", name="seq")
+            return self.extend(rows.withColumn("op", F.lit("U")))
 
     def begin(self, read_only: bool = False) -> Transaction:
         return Transaction(self, read_only)

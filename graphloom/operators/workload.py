@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, floor, gcd
+from math import ceil, floor, gcd, isqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType
 
-from graphloom.functions.hashing import edge_rank, mix64
+from graphloom.functions.hashing import edge_key, edge_rank, mix, mix64, seeded
 from graphloom.operators.graph import Graph
+from graphloom.operators.ranking import first_rows, ranked
 from graphloom.plans.staging import stage_table
 
 
 def shuffled(rows: DataFrame, seed: int, *keys: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows with ``place``: their rank from 0, among all or those of equal ``by``, in an order that the seed alone decides.
 
-    Distributed: counts of hash ranges first, then ranks within a range, so that no key gathers in one task.
+    Distributed: counts of hash ranges first, then ranks within a range, so that no key gathers in one task. There are
+    as many ranges as rows in one.
     """
-    h = rows.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).withColumn("_part", F.floor(F.col("_h") / (1 << 52)))
+    n_parts = 1 + isqrt(rows.count())
+    h = rows.withColumn("_h", seeded(seed, *keys)).withColumn("_part", F.shiftright(F.shiftright("_h", 30) * n_parts, 30))
     ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = h.groupBy(*by, "_part").count().select(*by, "_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_base"))
     own = Window.partitionBy(*by, "_part").orderBy("_h", *keys)
@@ -32,7 +38,7 @@ def mixed_round(edges: DataFrame, kind: str, seed: int, round_: int) -> DataFram
     n = edges.count()
     re, mo = (n // x if x else 0 for x in MIXES[kind])
     rows = shuffled(edges, seed * 1000 + round_, "src", "dst").where(F.col("place") < re + mo)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(round_), "src", "dst"), F.lit(9900)) / 100 + 1
+    drawn = seeded(seed, F.lit(round_), "src", "dst") % 9900 / 100 + 1
     again = F.col("place") < re
     return rows.select("src", "dst", F.when(again, F.col("weight")).otherwise(drawn).alias("weight"), F.when(again, "REINSERT").otherwise("MODIFY").alias("action"))
 
@@ -45,7 +51,7 @@ def round_stats(rounds: DataFrame) -> DataFrame:
 def hot_edges(edges: DataFrame, fraction: float, seed: int) -> DataFrame:
     """The max(1, floor(fraction * E)) edges of least rank; ties by ends and weight."""
     k = max(1, floor(fraction * edges.count()))
-    return edges.withColumn("rank", edge_rank("src", "dst", F.lit(seed))).orderBy("rank", "src", "dst", "weight").limit(k)
+    return edges.withColumn("rank", edge_rank("src", "dst", F.lit(seed))).transform(first_rows, k, "rank", "src", "dst", "weight")
 
 
 def hot_rounds(fraction: float) -> int:
@@ -81,8 +87,8 @@ def hot_updates(hot: DataFrame, n: int, seed: int) -> DataFrame:
 def weighted_vertices(g: Graph, fraction: float, seed: int) -> DataFrame:
     """max(1, ceil(fraction * V)) vertices without replacement, by degree: least -ln(u) / degree first."""
     k = max(1, ceil(fraction * g.vertices.count()))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    return g.degrees().where("degree > 0").withColumn("key", -F.log(u) / F.col("degree")).orderBy("key", "id").limit(k).select("id")
+    u = (F.shiftright(seeded(seed, "id"), 8) + 1) / float((1 << 52) + 1)
+    return first_rows(g.degrees().where("degree > 0").withColumn("key", -F.log(u) / F.col("degree")), k, "key", "id").select("id")
 
 
 def edges_at(g: Graph, ids: DataFrame) -> DataFrame:
@@ -143,7 +149,7 @@ def general_split(edges: DataFrame, seed: int, share: float = 0.8) -> DataFrame:
 def high_vertices(g: Graph, share: float, bound: int) -> DataFrame:
     """``(id, degree)``: of the ``share`` of vertices of highest degree those past ``bound``."""
     k = max(1, ceil(share * g.vertices.count()))
-    return g.degrees().orderBy(F.desc("degree"), "id").limit(k).where(F.col("degree") > bound)
+    return first_rows(g.degrees(), k, F.desc("degree"), "id").where(F.col("degree") > bound)
 
 
 def by_degree(g: Graph, high: bool, share: float, bound: int) -> DataFrame:
@@ -161,7 +167,7 @@ def drawn_stream(g: Graph, n: int, seed: int, weighted: bool) -> DataFrame:
     pool = g.adjacency().select(F.col("src").alias("id"), "dst") if weighted else g.vertices.select("id")
     size = pool.count()
     numbered = shuffled(pool, seed, *pool.columns).select("id", "place")
-    draws = g.edges.sparkSession.range(n).select(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max(size, 1))).alias("place"))
+    draws = g.edges.sparkSession.range(n).select((seeded(seed + 1, "id") % max(size, 1)).alias("place"))
     wanted = draws.join(numbered, "place").groupBy(F.col("id").alias("src")).agg(F.count("*").alias("draws"))
     e = shuffled(g.edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), seed, "src", "dst", by=("src",))
     insert = F.col("place") < F.coalesce("draws", F.lit(0))
@@ -202,7 +208,7 @@ def by_busiest_end(g: Graph, share: float = 0.1, high: bool = True) -> DataFrame
     k = int(g.edges.count() * share)
     lo, hi = (g.degrees().select(F.col("id").alias(x), F.col("degree").alias(f"d_{x}")) for x in ("lo", "hi"))
     rows = g.edges.join(lo, "lo").join(hi, "hi").select("lo", "hi", F.greatest("d_lo", "d_hi").alias("busiest"))
-    return rows.orderBy(F.desc("busiest") if high else F.col("busiest"), "lo", "hi").limit(k)
+    return first_rows(rows, k, F.desc("busiest") if high else F.col("busiest"), "lo", "hi")
 
 
 def checksum(rows: DataFrame, *columns: str) -> DataFrame:
@@ -210,6 +216,37 @@ def checksum(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("digest"))
 
 
+@F.pandas_udf(LongType())
+def _chained(values: pd.Series, starts: pd.Series) -> pd.Series:
+    """For each list of values the chain ``h = mix(h ^ value)`` from its start on: numbers follow one another."""
+    out = []
+    for own, start in zip(values, starts):
+        h = np.uint64(int(start) & (1 << 64) - 1)
+        for x in np.asarray(own, np.int64).view(np.uint64):
+            h = mix(h ^ x)
+        out.append(int(np.asarray(h).view(np.int64)))
+    return pd.Series(out)
+
+
+def chained_checksum(rows: DataFrame, seed: int, *order: str, src: str = "src", dst: str = "dst", chunk: int = 1 << 16) -> DataFrame:
+    """``(n, digest)`` of edges in an order: chunks of consecutive edges are chained each by itself, all at once, and
+    then their digests one after the other; so it tells orders apart, as a chain over single edges does."""
+    keyed = ranked(rows.withColumn("_key", F.col(src).bitwiseXOR(F.shiftleft(dst, 32))), *order).select("place", "_key", F.floor(F.col("place") / chunk).alias("chunk"))
+    parts = keyed.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_key"))), lambda x: x["_key"]).alias("keys"), F.count("*").alias("n"))
+    parts = parts.select("chunk", "n", _chained("keys", F.lit(seed) + F.col("chunk")).alias("digest"))
+    whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("chunk", "digest"))), lambda x: x["digest"]).alias("digests"))  # a number a chunk
+    return whole.select("n", _chained("digests", F.lit(seed)).alias("digest"))
+
+
+def churn_digests(plan: DataFrame, seed: int) -> DataFrame:
+    """``(n, operations, ordered)`` of a round of :func:`churn`: a digest of its new edges whatever their order, and
+    one of the order in which a seeded shuffle replays them."""
+    done = plan.where("new_dst is not null").withColumn("value", mix64(edge_key("src", "new_dst")))
+    placed = shuffled(done, seed, "src", "dst")
+    at = mix64(F.col("value").bitwiseXOR(mix64("place")))
+    return placed.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("value"), F.lit(0)).alias("operations"), F.coalesce(F.bit_xor(at), F.lit(0)).alias("ordered"))
+
+
 def churn_rounds(g: Graph, rounds: int, seed: int) -> Iterator[tuple[DataFrame, Graph]]:
     """Round by round the plan of :func:`churn` and the graph after it; edges that found no replacement stay."""
     for r in range(1, rounds + 1):

@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from graphloom.functions.hashing import seeded
+from graphloom.operators.ranking import ranked
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with ``file`` and ``seq``, the line's number within its file; files are read in splits.
@@ -48,7 +51,7 @@ def delimited_edges(spark: SparkSession, path: str, sep: str = ",", seed: int =
     """``(seq, src, dst, weight)`` without comments and self-loops, ends in order; a missing weight is drawn by seed."""
     rows = _lines(spark, path).where((F.trim("value") != "") & ~F.trim("value").startswith("#")).withColumn("f", F.split("value", sep))
     a, b = F.trim(F.element_at("f", 1)).cast("long"), F.trim(F.element_at("f", 2)).cast("long")
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "seq"), F.lit(9900)) / 100 + 1
+    drawn = seeded(seed, "seq") % 9900 / 100 + 1
     weight = F.coalesce(F.try_element_at("f", F.lit(3)).try_cast("double"), drawn)
     return rows.select("seq", F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), weight.alias("weight")).where("src <> dst")
 
@@ -67,22 +70,52 @@ def hot_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_hot_set(rows: DataFrame, path: str, **header: object) -> None:
-    """``src dst bits`` rows under a header, in one file: a hot set is small by definition."""
+    """``src dst bits`` rows as files of a folder, and the header as its ``_header``, which readers of the rows pass over."""
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw = b.weight.to_numpy(np.float64).view(np.uint64)
             yield pd.DataFrame({"value": [f"{s} {d} {w}" for s, d, w in zip(b.src, b.dst, raw)]})
 
-    head = rows.sparkSession.createDataFrame([(f"{k} = {v}",) for k, v in header.items()] or [("# hot set",)], "value string")
-    head.union(rows.select("src", "dst", "weight").mapInPandas(lines, "value string")).coalesce(1).write.text(path)
+    spark = rows.sparkSession
+    rows.select("src", "dst", "weight").mapInPandas(lines, "value string").write.text(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_header")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray("".join(["# hot set\n", *(f"{k} = {v}\n" for k, v in header.items())]).encode()))
+    finally:
+        out.close()
 
 
 def graph_log(spark: SparkSession, path: str) -> DataFrame:
     """``(seq, op, src, dst, weight)`` from binary logs: text properties, then raw-deflate blocks of three columns.
 
     The stream holds for each block all sources, all destinations (unsigned 64-bit) and all weights (doubles); a
-    negative weight deletes.
+    negative weight deletes. A log is one file of 2 GB at most, read by one task block after block; larger ones come as
+    several files.
     """
+    return decode_graph_log(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def encode_graph_log(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """``(content)``: for each partition of ``(op, src, dst, weight)`` a binary log of its rows, in their order."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = pd.concat([pd.DataFrame({"op": [], "src": [], "dst": [], "weight": []}), *batches])
+        weight = np.where(b.op == "D", -1.0, b.weight.astype(float))
+        columns = b.src.to_numpy(np.int64), b.dst.to_numpy(np.int64), weight
+        body = []
+        for at in range(0, len(b), block):
+            packer = zlib.compressobj(wbits=-15)
+            body.append(packer.compress(b"".join(c[at : at + block].tobytes() for c in columns)) + packer.flush())
+        head = f"# GRAPHLOG\ninternal.edges.block_size = {block}\ninternal.edges.cardinality = {len(b)}\n__BINARY_SECTION_FOLLOWS"
+        yield pd.DataFrame({"content": [head.encode() + b"".join(body)]})
+
+    return rows.select("op", "src", "dst", "weight").mapInPandas(write, "content binary")
+
+
+def decode_graph_log(contents: DataFrame) -> DataFrame:
+    """The operations of binary logs ``(content)``; see :func:`graph_log`."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for raw in b.content:
@@ -92,17 +125,22 @@ def graph_log(spark: SparkSession, path: str) -> DataFrame:
                 props = dict(map(str.strip, x.split("=", 1)) for x in head.decode().splitlines() if "=" in x)
                 size, total = int(props["internal.edges.block_size"]), int(props["internal.edges.cardinality"])
                 raw = body if "internal.edges.begin" not in props else bytes(raw)[int(props["internal.edges.begin"]) :]
-                at = 0
+                raw, at, place = memoryview(raw), 0, 0
                 while at < total:
-                    stream = zlib.decompressobj(-15)
-                    data = stream.decompress(raw)
-                    raw = stream.unused_data
+                    stream, held = zlib.decompressobj(-15), []
+                    while not stream.eof:  # piece by piece: what follows a block is not copied whole
+                        if place >= len(raw):
+                            raise ValueError("the graph log ends within a block")
+                        held.append(stream.decompress(raw[place : place + (1 << 20)]))
+                        place = min(place + (1 << 20), len(raw))
+                    place -= len(stream.unused_data)
+                    data = b"".join(held)
                     n = min(size, total - at)
                     src, dst, weight = (np.frombuffer(data, k, n, 8 * n * i) for i, k in enumerate(("<i8", "<i8", "<f8")))
                     yield pd.DataFrame({"seq": np.arange(at, at + n), "op": np.where(weight < 0, "D", "U"), "src": src, "dst": dst, "weight": weight})
                     at += n
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "seq long, op string, src long, dst long, weight double")
+    return contents.mapInPandas(read, "seq long, op string, src long, dst long, weight double")
 
 
 def write_result(values: DataFrame, path: str, value: str) -> None:
@@ -127,11 +165,7 @@ def dense_remap(edges: DataFrame) -> DataFrame:
     """``(id, dense)``: ids numbered from 0 in order of first appearance, sources before destinations of a row."""
     seen = edges.select((F.col("seq") * 2).alias("at"), F.col("src").alias("id")).union(edges.select(F.col("seq") * 2 + 1, "dst"))
     first = seen.groupBy("id").agg(F.min("at").alias("at"))
-    part = first.withColumn("part", F.floor(F.col("at") / (1 << 16)))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = part.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
-    own = Window.partitionBy("part").orderBy("at")
-    return part.withColumn("rank", F.row_number().over(own) - 1).join(bases, "part").select("id", (F.col("base") + F.col("rank")).alias("dense"))
+    return ranked(first, "at", name="dense").select("id", "dense")
 
 
 SAMPLES = "time_sec double, rss_kb long, rss_mb double, hwm_kb long, hwm_mb double, vmsize_kb long, vmsize_mb double, last_marker string"
@@ -152,6 +186,14 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
+def write_memory_summary(samples: DataFrame, events: DataFrame, path: str, label: str = "run") -> None:
+    """One JSON object: label, how long the samples span, peaks in kB and MB, how many there are, and the events."""
+    peak = [x for c in ("rss_kb", "hwm_kb") for x in (F.coalesce(F.max(c), F.lit(0)).alias(f"peak_{c}"), F.coalesce(F.max(c) / 1024, F.lit(0.0)).alias(f"peak_{c[:-3]}_mb"))]
+    one = samples.agg(F.lit(label).alias("label"), F.coalesce(F.max("time_sec"), F.lit(0.0)).alias("duration_sec"), *peak, F.count("*").alias("samples"))
+    marked = events.where("marker is not null").agg(F.array_sort(F.collect_list(F.struct("time_sec", "marker", "line"))).alias("events"))  # a few a run
+    one.crossJoin(marked).write.json(path)
+
+
 #: Datasets by short name, each an edge list's path.
 PRESETS: dict[str, str] = {}
 

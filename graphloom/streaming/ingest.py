@@ -28,6 +28,14 @@ def ingest(ops: DataFrame, log_path: str, checkpoint: str, analyse: Callable | N
     return ops.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def live_edges(ops: DataFrame) -> DataFrame:
+    """``(lo, hi, op, weight, seq)``: the last operation of each pair, as state by edge that every batch of a stream
+    updates (output mode ``update`` or ``complete``); works on tables too. An edge is live where op is U."""
+    ends = ops.where("src <> dst").withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
+    last = ends.groupBy("lo", "hi").agg(F.max_by(F.struct("op", "weight"), "seq").alias("x"), F.max("seq").alias("seq"))
+    return last.select("lo", "hi", "x.op", "x.weight", "seq")
+
+
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their summed value by window and type; works on streams and on tables."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 
 import numpy as np
@@ -6,12 +7,14 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.functions.hashing import mix
+from graphloom.functions.hashing import duration, mix
 from graphloom.operators import kernels, log as mlog, metrics, reads, workload
 from graphloom.operators.components import components
 from graphloom.operators.graph import Graph
+from graphloom.operators.ranking import first_rows, ranked
 from graphloom.sources import files
-from graphloom.streaming.ingest import ingest, read_operations
+from graphloom.streaming.concurrent import Heartbeat, Progress, run_concurrently
+from graphloom.streaming.ingest import ingest, live_edges, read_operations
 
 EDGES = [(0, 1, 4.0), (0, 2, 1.0), (1, 2, 2.0), (1, 3, 5.0), (1, 4, 1.0), (10, 11, 3.0)]
 
@@ -266,3 +269,144 @@ def test_kernels_over_the_whole_table(spark, tmp_path):
         rank = {v: 0.15 / len(ids) + 0.85 * sum(rank[u] / len(adj[u]) for u in adj[v]) for v in ids}
         label = {v: min(Counter(label[u] for u in adj[v]).items(), key=lambda x: (-x[1], x[0]))[0] for v in ids}
     assert all(abs(r - rank[v]) < 1e-8 for v, r in got["pagerank"]) and dict(got["cdlp"]) == label
+
+
+def test_edges_conflict_at_both_ends(spark):
+    for a, b in (((3, 5), (5, 3)), ((3, 5), (9, 3)), ((3, 5), (5, 9))):
+        store = mlog.MutationLog(spark)
+        one, two = store.begin(), store.begin()
+        one.upsert(*a, 1.0)
+        two.upsert(*b, 2.0)
+        one.commit()
+        with pytest.raises(mlog.TransactionConflict):
+            two.commit()
+    store = mlog.MutationLog(spark)
+    one, two = store.begin(), store.begin()
+    one.upsert(1, 2, 1.0)
+    two.upsert(3, 4, 1.0)
+    assert one.commit() == 1 and two.commit() == 2
+
+
+def test_negative_edges_end(spark):
+    edges = spark.createDataFrame([(1, 2, -1.0), (2, 3, 4.0)], "src long, dst long, weight double")
+    got = pairs(kernels.sssp(Graph.from_edges(edges), 1))
+    want = {1: 0.0, 2: math.inf, 3: math.inf}
+    for _ in range(2):  # as many rounds as vertices less one
+        want = {v: min([want[v]] + [want[u] + w for a, b, w in ((1, 2, -1.0), (2, 3, 4.0)) for u, x in ((a, b), (b, a)) if x == v]) for v in want}
+    assert got == want
+
+
+def test_durations_round_seconds(spark):
+    made = {0.04: "0.0s", 59.96: "60.0s", 60.2: "1m", 65.7: "1m 6s", 119.7: "1m 60s", 3599.0: "59m 59s", 3600.0: "1h 0m", 7322.0: "2h 2m"}
+    rows = spark.createDataFrame([(x,) for x in made], "x double").select("x", duration("x").alias("shown"))
+    assert {r.x: r.shown for r in rows.collect()} == made
+
+
+def test_ranks_and_first_rows(spark):
+    rows = spark.range(3000).selectExpr("id * 1000003 % 3001 id", "id % 7 k").repartition(5)
+    want = sorted((r.k, r.id) for r in rows.collect())
+    got = {(r.k, r.id): r.place for r in ranked(rows, "k", "id").collect()}
+    assert [got[x] for x in want] == list(range(3000))
+    assert sorted((r.k, r.id) for r in first_rows(rows, 1234, F.desc("k"), "id").collect()) == sorted(sorted(want, key=lambda x: (-x[0], x[1]))[:1234])
+    far = Graph(spark.createDataFrame([(x,) for x in (5, 1 << 62, -7, 1 << 40, 0)], "id long"), None)
+    assert pairs(far.logical_ids()) == {-7: 0, 0: 1, 5: 2, 1 << 40: 3, 1 << 62: 4}
+
+
+def test_graph_log_round_trip(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("if(id % 5 = 0, 'D', 'U') op", "id src", "id * 7 dst", "cast(id as double) weight").coalesce(1)
+    content = files.encode_graph_log(rows, block=700).collect()[0].content
+    (tmp_path / "x.log").write_bytes(bytes(content))
+    got = files.graph_log(spark, str(tmp_path / "x.log")).collect()
+    assert [(r.seq, r.op, r.src, r.dst) for r in sorted(got, key=lambda r: r.seq)] == [(i, "D" if i % 5 == 0 else "U", i, 7 * i) for i in range(5000)]
+    (tmp_path / "cut.log").write_bytes(bytes(content)[:-9])
+    with pytest.raises(Exception, match="ends within a block"):
+        files.graph_log(spark, str(tmp_path / "cut.log")).collect()
+
+
+def test_checksums_tell_orders_apart(spark):
+    rows = spark.range(300).selectExpr("id at", "id % 17 src", "id % 23 dst")
+
+    def plain(order, seed=5, chunk=100):
+        one = lambda h, xs: [h := int(mix(np.array([(h ^ x) & (1 << 64) - 1], np.uint64))[0]) for x in xs][-1]
+        keys = [(i % 17) ^ (i % 23) << 32 for i in order]
+        digests = [one((seed + c) & (1 << 64) - 1, keys[c * chunk : (c + 1) * chunk]) for c in range(-(-len(keys) // chunk))]
+        return one(seed, digests)
+
+    got = workload.chained_checksum(rows, 5, "at", chunk=100).first()
+    assert (got.n, got.digest % (1 << 64)) == (300, plain(range(300)))
+    back = workload.chained_checksum(rows, 5, F.desc("at"), chunk=100).first()
+    assert back.digest % (1 << 64) == plain(range(299, -1, -1)) != got.digest % (1 << 64)
+    assert workload.chained_checksum(rows.where("at < 0"), 5, "at").first().n == 0
+    plan = rows.selectExpr("src", "at + 100 dst", "at + 1000 new_dst")
+    one, two = (workload.churn_digests(plan.repartition(n), 3).first() for n in (1, 4))
+    assert one == two and one.operations != workload.churn_digests(plan.where("new_dst > 1000"), 3).first().operations
+
+
+def test_heartbeat_and_stall(tmp_path):
+    said, stalled = [], []
+    progress = Progress(started={"pr": 1}, runs=[("pr", 5, 1)])
+    with Heartbeat(progress, every=0.02, idle=3, emit=said.append, path=str(tmp_path / "p"), on_stall=lambda: stalled.append(1)):
+        while not stalled:
+            time.sleep(0.01)
+    assert said[0].startswith("[Heartbeat] ops done: 0 rate: 0") and any(x.startswith("[STALL] no progress for 0.06s, ops=0") for x in said)
+    assert (tmp_path / "p").read_text().splitlines()[1] == "TASK 0 algo=pr started=1 completed=1 elapsed_us=5"
+
+
+def test_readers_start_after_the_first_batch_and_run_until_writes_end(spark):
+    store, seen = mlog.MutationLog(spark), []
+    batch = lambda k: spark.createDataFrame([("U", 10 * k + i, i + 1 + 10 * k, 1.0, i) for i in range(5)], "op string, src long, dst long, weight double, seq long")
+
+    def degrees(g):
+        seen.append(g.edges.count())
+        return g.degrees()
+
+    progress = run_concurrently(store, (batch(k) for k in range(4)), {"degrees": degrees})
+    assert store.version == 20 and progress.ops == 20 and len(progress.runs) == len(seen) >= 1
+    assert all(n and n % 5 == 0 for n in seen) and all(v % 5 == 0 and v for _, _, v in progress.runs)
+    with pytest.raises(RuntimeError):
+        run_concurrently(store, [batch(9)], {"bad": lambda g: (_ for _ in ()).throw(RuntimeError("no"))})
+
+
+def test_stateful_upserts(spark, tmp_path):
+    ops = spark.createDataFrame([(i, "D" if i % 4 == 0 else "U", i % 5, i % 7 + 1, float(i)) for i in range(1, 41)], mlog.MutationLog.SCHEMA)
+    for k in range(4):
+        ops.where(f"seq > {10 * k} and seq <= {10 * k + 10}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = live_edges(read_operations(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.lo, r.hi, r.weight) for r in spark.table("live").where("op = 'U'").collect()}
+    assert got == {(r.lo, r.hi, r.weight) for r in mlog.snapshot(ops).collect()} == {(r.lo, r.hi, r.weight) for r in live_edges(ops).where("op = 'U'").collect()}
+
+
+def test_command_line_writes(spark, tmp_path, capsys):
+    from graphloom.__main__ import arguments, check, run
+
+    (tmp_path / "g.e").write_text("".join(f"{a} {b} {w}\n" for a, b, w in EDGES))
+    go = lambda *more: run(spark, check(arguments(), arguments().parse_args(["--file", str(tmp_path / "g.e"), *more])))
+    assert go("--mix", "id", "--rounds", "2")[1].startswith("MIX kind=id round=2 reinserts=3 modifies=0 operations=6")
+    assert go("--churn", "--rounds", "1")[0].startswith("CHURN round=1 edges=6")
+    assert go("--hotset", "0.5", "--hotset-update-pct", "100", "--rounds", "1")[0].startswith("HOTSET round=1 hot=3 reinserts=0 updates=3 operations=3")
+    lines = go("--con", "--tasks", "wcc,bfs", "--batches", "2", "--repeat", "2", "--quiet", "--progress-file", str(tmp_path / "p"))
+    assert lines[0].startswith("WRITER operations=12") and [x.split()[1] for x in lines[1:]] == ["algorithm=bfs", "algorithm=wcc"]
+    assert (tmp_path / "p").read_text().startswith("PROGRESS")
+    for bad in (["--hotset", "0.5", "--mix", "id"], ["--mix", "id", "--repeat", "2"], ["--hotset", "2"]):
+        with pytest.raises(SystemExit):
+            go(*bad)
+
+
+def test_tail_rule_bulk_load_and_multi_edges(spark, hand, tmp_path):
+    n = hand.vertices.agg(F.max("id")).first()[0]
+    wide = Graph(hand.vertices.union(spark.createDataFrame([(n + 1,), (n + 2,)], "id long")), hand.edges)
+    ids = spark.createDataFrame([(n,), (n + 1,), (n + 2,), (999,)], "id long")
+    assert pairs(mlog.remove_tail(wide, ids)) == {n: False, n + 1: False, n + 2: True, 999: False}
+    store = mlog.MutationLog(spark)
+    assert store.bulk_load(hand.edges.selectExpr("lo src", "hi dst", "weight")) == store.version == hand.edges.count() == mlog.snapshot(store.log).count()
+    rows = [(1, "U", 1, 0, 2, 1.0), (2, "U", 1, 0, 2, 2.0), (3, "D", 1, 0, 2, None), (4, "U", 1, 0, 2, 3.0), (5, "U", 1, 0, 2, 4.0), (6, "U", 1, 1, 2, 5.0)]
+    put = spark.createDataFrame(rows, "seq long, op string, src long, label int, dst long, payload double")
+    assert sorted(r.payload for r in mlog.put_edges(put, force_insert=True).collect()) == [3.0, 4.0, 5.0]
+    assert sorted(r.payload for r in mlog.put_edges(put, 2, force_insert=True).collect()) == [1.0, 2.0]
+    assert sorted(r.payload for r in mlog.put_edges(put).collect()) == [4.0, 5.0]
+    samples = spark.createDataFrame([(0.5, 1024, 1.0, 2048, 2.0, 1, 1.0, "a"), (2.5, 4096, 4.0, 4096, 4.0, 1, 1.0, "b")], files.SAMPLES)
+    events = spark.createDataFrame([(1.0, "load", "x")], files.EVENTS)
+    files.write_memory_summary(samples, events, str(tmp_path / "m"), "one")
+    got = spark.read.json(str(tmp_path / "m")).first()
+    assert (got.label, got.duration_sec, got.peak_rss_kb, got.peak_hwm_mb, got.samples, got.events[0].marker) == ("one", 2.5, 4096, 4.0, 2, "load")
