@@ -162,14 +162,14 @@ def run_beside(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     root = kernels.default_root(g) if args.root is None else args.root
     edges = g.edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight")
     order = workload.shuffled(edges, args.wseed, "src", "dst") if args.permute else workload.ranked(edges, "src", "dst")
-    passes = workload.repeat_writes(order, args.repeat)
+    turned = order.select("place", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     total = edges.count()
     size = max(1, ceil(total / args.batches))
 
     def batches():
         for turn in range(args.repeat):
             for at in range(0, total, size):
-                rows = passes.where((F.col("turn") == turn) & (F.col("place") >= at) & (F.col("place") < at + size))
+                rows = (turned if turn % 2 else order).where((F.col("place") >= at) & (F.col("place") < at + size))
                 yield _ops(rows.withColumn("seq", F.col("place") - at), args.split_update)
 
     names = args.tasks.split(",")
