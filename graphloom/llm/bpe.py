@@ -1,4 +1,4 @@
-"""BPE encoding over a table of distinct words, and decoding by an id-to-piece lookup.
+"""BPE encoding over a table of distinct words, and decoding by an id-to-piece join, or lookup where ids are made.
 
 Documents become blocks: the positions of their words as codes into the block's own distinct words. The distinct words
 of all blocks meet by hash in one table, in which each is encoded once; its ids go back to the blocks and replace the
@@ -20,6 +20,7 @@ from xxhash import xxh32_intdigest
 
 from graphloom.llm.blocks import block_table, pack, unpack
 from graphloom.llm.common import give_back
+from graphloom.plans.staging import stage_table
 
 #: Bytes of text in a block (or one document, if that is longer), distinct words that one bucket of
 #: the table takes, and bytes of text that are split at once.
@@ -101,7 +102,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     The ids are those of the tokenizers library for the whole text with ``add_special_tokens=False`` and neither
     truncation nor padding, for a vocabulary that drops white space and has no decoder of its own; decoding keeps
-    special tokens. Null and empty texts have no ids and decode to an empty string. Repeated rows stay; extra columns
+    special tokens. Null and empty texts have no ids and decode to an empty string. Repeated rows and null ids stay; extra columns
     are not read; an empty table gives no rows. A text longer than a block is a block of its own.
     """
     spark = docs.sparkSession
@@ -211,14 +212,26 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(doc_id, decoded)`` from ``(doc_id, ids)``, each id looked up in the piece table; null ids give null."""
+    """``(doc_id, decoded)`` from ``(doc_id, ids)`` through a join of ids and pieces; null ids give null, empty ones an
+    empty text; repeated rows and null doc_ids stay.
+
+    The piece table, as long as the vocabulary, is broadcast; pieces then gather by row, so every token is shuffled.
+    """
+    spark = encoded.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        shipped = encoded.sparkSession.sparkContext.broadcast(f.read())
+        table = piece_table(_load(f.read())).to_pylist()
+    pieces = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(table)], "id long, piece string")
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("binary").alias("ids"), F.monotonically_increasing_id().alias("row"))
+    rows = stage_table(rows, "encoded")  # so that rows keep their numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(_load(shipped.value))
         for batch in batches:
-            made = [None if x is None else b"".join(pieces.take(pa.array(np.frombuffer(x, "<u4"))).to_pylist())[:-1].decode() for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "decoded"])
-
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("binary").alias("ids")).mapInArrow(run, "doc_id long, decoded string")
+            held = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(held, pa.list_(pa.int64()))], ["row", "ids"])
+
+    tokens = rows.select("row", "ids").mapInArrow(run, "row long, ids array<long>").select("row", F.posexplode("ids").alias("pos", "id"))
+    put = tokens.join(F.broadcast(pieces), "id").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda t: t["piece"]), "")
+    put = put.select("row", text.alias("t"))  # each piece ends with a space, the last one's goes
+    made = F.when(F.col("ids").isNotNull(), F.coalesce(F.expr("left(t, length(t) - 1)"), F.lit("")))
+    return rows.join(put, "row", "left").select("doc_id", made.alias("decoded"))

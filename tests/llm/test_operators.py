@@ -750,3 +750,21 @@ def test_suffix_dedup_counts_frequent_anchors_in_one_block(spark):
     for d, t in enumerate(texts):
         gone = {j for i in range(len(t) - 49) if first[t[i : i + 50]] < d for j in range(i, i + 50)}
         assert got[d].n_removed == len(gone) and bytes(got[d].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone)
+
+
+def test_rows_without_id_fare_as_others(spark, monkeypatch):
+    """Of every operator that judges rows by themselves, and of mixing, which spreads them."""
+    monkeypatch.setattr(lm_score, "ROUNDS", 1)
+    texts = [t for _, t, *_ in rows()][:20]
+    table = spark.createDataFrame([(d, t, "en", "s") for i, t in enumerate(texts) for d in (i, None)], "doc_id long, text string, lang string, source string")
+    path = queries.tokenizer_path()
+    encoded = bpe.encode(table, path)
+    for made in (quality.quality_rules(table), encoded, bpe.decode(encoded, path), lm_score.score(table), language.identify(table, table), secrets.secret_scan(table)):
+        got = [tuple(r) for r in made.collect()]
+        at = made.columns.index("doc_id")
+        known, lost = (Counter(map(str, (r[:at] + r[at + 1 :] for r in got if (r[at] is None) == x))) for x in (False, True))
+        assert known == lost and sum(lost.values()) == len(texts)
+    got = [r for r in mixing.mix(table, block_words=8).collect() if r.doc_id is None]
+    assert Counter(r["size"] for r in got) == Counter(len((t or "").encode().split()) for t in texts) and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    none = bpe.decode(spark.createDataFrame([(1, None), (2, b""), (None, b"")], "doc_id long, ids binary"), path).collect()
+    assert {r.doc_id: r.decoded for r in none} == {1: None, 2: "", None: ""}
