@@ -48,7 +48,7 @@ SUMS, UNIT = 32, 2.0**44
 #: Weights of the first ring that are tried.
 MIXES = tuple(i / 8 for i in range(1, 8))
 _BLOCKS = "doc_ids array<long>, counts binary, codes binary, n_words long, words binary, n binary"
-_CODED = "doc_ids array<long>, counts binary, codes binary, near binary, classes binary, shares binary"
+_CODED = "doc_ids array<long>, counts binary, codes binary, near binary, classes binary, n binary"
 
 
 def class_counts(kinds: int) -> tuple[int, int, int]:
@@ -78,10 +78,9 @@ class Vocabulary:
         """Classes of a neighbour, of which the last stands past either end of a text."""
         return self.near + self.ends + 1
 
-    def lookup(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class as a neighbour, class as a target, and log-share in the latter of each word, from its count."""
-        near, classes = word_classes(words, self.top, self.near, self.ends), word_classes(words, self.top, self.own, self.ends)
-        return near, classes, (np.log(n) - np.log(self.total[classes])).astype(np.float32)
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Class as a neighbour and as a target of each word."""
+        return word_classes(words, self.top, self.near, self.ends), word_classes(words, self.top, self.own, self.ends)
 
 
 def word_classes(words: list[str], top: dict[str, int], own: int, ends: int) -> np.ndarray:
@@ -205,7 +204,7 @@ def learn_vocabulary(table: DataFrame) -> Vocabulary:
 
 
 def code(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """Blocks of documents, with classes and log-share of each of a block's distinct words; and the vocabulary."""
+    """Blocks of documents, with classes and count in the corpus of each of a block's distinct words; and the vocabulary."""
 
     def split(part: pa.RecordBatch) -> list:
         counts, codes, n, words = split_block(part.column("text"))
@@ -222,9 +221,9 @@ def code(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
             for row in range(batch.num_rows):
                 words, found = (batch.column(c)[row].as_py() for c in ("words", "found"))
                 n = np.concatenate([np.zeros(0, np.int64), *(unpack(x["n"], "<i8") for x in sorted(found or [], key=lambda x: x["bucket"]))])
-                near, classes, shares = shipped.value.lookup([w.decode() for w in _words(words)] if len(n) else [], n)
-                cols = [pa.array([pack(x)], pa.binary()) for x in (near.astype("<u4"), classes.astype("<u4"), shares.astype("<f4"))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("doc_ids", "counts", "codes")), *cols], ["doc_ids", "counts", "codes", "near", "classes", "shares"])
+                near, classes = shipped.value.lookup([w.decode() for w in _words(words)] if len(n) else [])
+                cols = [pa.array([pack(x)], pa.binary()) for x in (near.astype("<u4"), classes.astype("<u4"), n.astype("<i8"))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("doc_ids", "counts", "codes")), *cols], ["doc_ids", "counts", "codes", "near", "classes", "n"])
                 give_back()
 
     back = table.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "n")).alias("found"))
@@ -272,8 +271,7 @@ def folded(counts: np.ndarray, near: np.ndarray, target: np.ndarray, sides: int,
 
 def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> Iterator[np.ndarray]:
     for name in names:
-        x = unpack(batch.column(name)[row].as_py(), "<f4" if name == "shares" else "<u4")
-        yield x if name == "shares" else x.astype(np.int64)
+        yield unpack(batch.column(name)[row].as_py(), "<i8" if name == "n" else "<u4").astype(np.int64)
 
 
 def window_table(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -467,23 +465,35 @@ class Model:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Each block's ids, and by token classes as neighbours and as targets, log-shares, and the texts' lengths."""
+    """Each block's ids, its texts' lengths, words by token, and these words' classes and counts in the corpus."""
     give_back()
     for batch in batches:
         for row in range(batch.num_rows):
-            counts, codes, near, classes, logs = _unpacked(batch, row, "counts", "codes", "near", "classes", "shares")
-            yield batch.column("doc_ids")[row].as_py(), counts, near[codes], classes[codes], logs[codes]
+            yield batch.column("doc_ids")[row].as_py(), *_unpacked(batch, row, "counts", "codes", "near", "classes", "n")
             give_back()
 
 
+def own_counts(counts: np.ndarray, codes: np.ndarray, kinds: int) -> np.ndarray:
+    """For each token how often its text has its word."""
+    if len(counts) == 1:
+        return np.bincount(codes, minlength=kinds)[codes]
+    key = np.repeat(np.arange(len(counts)), counts) * kinds + codes
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    out = np.empty(len(key), np.int64)
+    many = np.diff(np.append(first, len(key)))
+    out[order] = np.repeat(many, many)
+    return out
+
+
 def mix_weight(coded: DataFrame, make: Callable[[], Model], sides: int) -> float:
     """The weight of the first ring, of MIXES, under which all tokens of all documents are likeliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = make(), np.zeros(len(MIXES), np.int64)
-        for _, counts, near, target, _ in _blocks(batches):
-            for at, contexts in pieces(counts, near, sides):
-                one, two = model.rings(contexts, target[at])
+        for _, counts, codes, near, target, _ in _blocks(batches):
+            for at, contexts in pieces(counts, near[codes], sides):
+                one, two = model.rings(contexts, target[codes[at]])
                 total += [int(np.rint(np.log(w * one + (1 - w) * two) * 1024).astype(np.int64).sum()) for w in MIXES]  # whole numbers again
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["logs"])
 
@@ -493,17 +503,20 @@ def mix_weight(coded: DataFrame, make: Callable[[], Model], sides: int) -> float
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_tokens, log_likelihood, per_token)`` of every whole text by a model of all of ``docs``.
+    """``(doc_id, n_tokens, log_likelihood, per_token, held_out, unseen)`` of every whole text by a model of all of ``docs``.
 
     log_likelihood is the sum over the tokens of the log-probability of each given all others in its window; per_token
-    its mean. Null, empty and blank texts have no tokens, sum 0 and a null mean; null ids stay. Repeated rows have equal
-    scores; extra columns are not read; an empty table gives no rows. Reruns agree, however the input is split.
+    its mean; held_out the mean if a word's count leaves out the row that is scored (a word that no other row has counts
+    half); unseen the share of the tokens whose word no other row has, 0 for a row with a copy. Null, empty and blank
+    texts have no tokens, sum 0 and null means; null ids stay. Repeated rows have equal scores; extra columns are not
+    read; an empty table gives no rows. Reruns agree, however the input is split.
     """
     coded, vocabulary = code(id_text(docs))
     sides, targets = vocabulary.sides, vocabulary.targets
     windows = window_table(coded, vocabulary)
     params = train(windows, vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast((params, divisors(windows, params, vocabulary)))  # as long as there are classes and contexts
+    total = np.log(np.maximum(vocabulary.total, 1))
 
     def make() -> Model:
         return Model(*shipped.value, sides, targets)
@@ -512,14 +525,24 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for doc_ids, counts, near, target, logs in _blocks(batches):
-            logs = logs.astype(np.float64)
-            for at, contexts in pieces(counts, near, sides):
-                one, two = model.rings(contexts, target[at])
-                logs[at] += np.log(weight * one + (1 - weight) * two)
-            sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts))
-            mean = pa.array(np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
-            cols = [pa.array(doc_ids, pa.int64()), pa.array(counts), pa.array(sums), mean]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+        for doc_ids, counts, codes, near, target, n in _blocks(batches):
+            logs, share = np.zeros(len(codes)), np.log(np.maximum(n, 1)) - total[target]
+            for at, contexts in pieces(counts, near[codes], sides):
+                one, two = model.rings(contexts, target[codes[at]])
+                logs[at] = np.log(weight * one + (1 - weight) * two)
+            rest = n[codes] - own_counts(counts, codes, len(n))
+            owner = np.repeat(np.arange(len(counts)), counts)
+
+            def sums(x: np.ndarray) -> np.ndarray:
+                return np.bincount(owner, weights=x, minlength=len(counts))
+
+            def mean(x: np.ndarray) -> pa.Array:
+                return pa.array(np.divide(x, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
+
+            unseen = sums(rest == 0)
+            held = sums(logs + np.log(np.maximum(rest, 0.5)) - total[target][codes])
+            whole = sums(logs + share[codes])
+            cols = [pa.array(doc_ids, pa.int64()), pa.array(counts), pa.array(whole), mean(whole), mean(held), mean(unseen)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "log_likelihood", "per_token", "held_out", "unseen"])
+
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double, held_out double, unseen double")

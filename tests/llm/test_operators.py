@@ -138,7 +138,8 @@ def test_lm_score(docs, empty, monkeypatch):
     nets = [lm_score.Network(p, vocabulary.sides, vocabulary.targets) for p in params]
     words = {d: "".join(c.lower() for c in t or "").split() for d, t, *_ in rows()}
     n = Counter(w for d, x in [*words.items(), (30, words[30])] for w in x)
-    near, target, shares = (dict(zip(n, x)) for x in vocabulary.lookup(list(n), np.array(list(n.values()))))
+    near, target = (dict(zip(n, x)) for x in vocabulary.lookup(list(n)))
+    shares = {w: np.log(m / vocabulary.total[target[w]]) for w, m in n.items()}
     want, windows = {w: {} for w in lm_score.MIXES}, Counter()
     for d, x in words.items():
         logs = dict.fromkeys(lm_score.MIXES, 0.0)
@@ -155,6 +156,12 @@ def test_lm_score(docs, empty, monkeypatch):
         for w in logs:
             want[w][d] = logs[w]
     best = max(want, key=lambda w: sum(want[w].values()) + want[w][30])
+    for d, x in words.items():
+        if x:
+            own = Counter(x)
+            assert got[d].unseen == pytest.approx(sum(n[w] == own[w] for w in x) / len(x))
+            held = sum(np.log(max(n[w] - own[w], 0.5) / n[w]) for w in x) + want[best][d]
+            assert got[d].held_out == pytest.approx(held / len(x), rel=1e-4, abs=1e-3) and got[d].per_token == got[d].log_likelihood / len(x)
     assert {d: r.log_likelihood for d, r in got.items()} == pytest.approx(want[best], rel=1e-4, abs=1e-3)
     per_class = Counter()
     for word in n:
@@ -214,19 +221,18 @@ def test_lm_counts_every_word(spark, monkeypatch):
     coded, vocabulary = lm_score.code(made)
     for r in coded.collect():
         counts, codes = (lm_score.unpack(r[c], "<u4") for c in ("counts", "codes"))
-        classes, shares = lm_score.unpack(r.classes, "<u4")[codes], lm_score.unpack(r.shares, "<f4")[codes]
+        classes, many = lm_score.unpack(r.classes, "<u4")[codes], lm_score.unpack(r.n, "<i8")[codes]
         ends = np.cumsum(counts)
         for d, a, b in zip(r.doc_ids, ends - counts, ends):
             own = (texts[d] or "").lower().split()
             assert len(own) == b - a
-            got |= zip(own, zip(classes[a:b].tolist(), shares[a:b].tolist()))
+            got |= zip(own, zip(classes[a:b].tolist(), many[a:b].tolist()))
             tokens += len(own)
-    assert tokens == len(words) and got.keys() == n.keys()
+    assert tokens == len(words) and {w: m for w, (_, m) in got.items()} == n
     total = Counter()
-    for w, (c, _) in got.items():
-        total[c] += n[w]
-    assert all(abs(share - np.log(n[w] / total[c])) < 1e-4 for w, (c, share) in got.items())
-    assert vocabulary.total.sum() == len(words) and got["the"][1] == 0
+    for w, (c, m) in got.items():
+        total[c] += m
+    assert dict(total) == {c: m for c, m in enumerate(vocabulary.total.tolist()) if m}
 
 
 def test_lm_classes_grow_with_the_corpus():
