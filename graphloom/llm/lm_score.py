@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.blocks import block_table, pack, unpack
-from graphloom.llm.bpe import _join, word_hashes
+from graphloom.llm.bpe import _join, split_block as split_texts, word_hashes
 from graphloom.llm.common import give_back, id_text, one_thread
 from graphloom.plans.staging import stage_table
 
@@ -37,7 +37,7 @@ from graphloom.plans.staging import stage_table
 #: for all others: so many at least and at most.
 LEAST_OWN, LEAST_NEAR, MOST_NEAR = 256, 64, 256
 #: Bytes of text in a block (or one document, if that is longer), and distinct words that one bucket of the table takes.
-BLOCK_TEXT, BUCKET_WORDS = 8 << 20, 150_000
+BLOCK_TEXT, BUCKET_WORDS = 4 << 20, 75_000
 #: Distances of the neighbours that a network sees, width of the networks, training rounds, each over every window, and
 #: the first and last step size.
 RINGS, WIDTH, ROUNDS, RATES = (1, 2), 16, 16, (0.3, 0.05)
@@ -95,26 +95,17 @@ def word_classes(words: list[str], top: dict[str, int], own: int, ends: int) ->
     return out
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """Words of each text, parted by ASCII space: how many, and all of them, coded; the words coded are lower-cased."""
-    lists = pc.ascii_split_whitespace(texts)
-    flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
-    there = pc.greater(pc.binary_length(flat), 0)
-    counts = np.bincount(parent.filter(there).to_numpy().astype(np.int64), minlength=len(texts))
-    coded = flat.filter(there).dictionary_encode()
-    return counts, pa.DictionaryArray.from_arrays(coded.indices, pc.utf8_lower(coded.dictionary))
-
-
 def split_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Words in each text, every word's code, how often each code stands, and the words of codes, in order of hash."""
-    counts, coded = split_words(texts)
-    low = coded.dictionary.dictionary_encode()  # words that differ in case alone are one
+    """Words in each text, parted by ASCII space, every word's code, how often each code stands, and the lower-cased
+    words of codes, in order of hash."""
+    counts, coded, _, words = split_texts(texts)
+    low = pc.utf8_lower(words.cast(pa.string())).dictionary_encode()  # words that differ in case alone are one
     words = low.dictionary.cast(pa.binary())
     hashes = word_hashes(words.to_pylist())
     order = np.argsort(hashes, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    codes = rank[low.indices.to_numpy()][coded.indices.to_numpy()]
+    codes = rank[low.indices.to_numpy()][coded]
     return counts, codes, np.bincount(codes, minlength=len(words)), words.take(pa.array(order))
 
 
@@ -129,8 +120,10 @@ def word_table(blocks: DataFrame) -> DataFrame:
     n_buckets = max(n_parts, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            for block, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "n"))):
+            for i in range(batch.num_rows):
+                block, words, n = (batch.column(c)[i].as_py() for c in ("block", "words", "n"))
                 held, n = _words(words), unpack(n, "<u4")
                 bucket = (word_hashes(held).astype(np.uint64) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=n_buckets))
@@ -138,6 +131,7 @@ def word_table(blocks: DataFrame) -> DataFrame:
                 own, pairs = bucket[cuts[:-1]], list(zip(cuts, cuts[1:]))
                 cols = [pa.array(own), pa.array(np.full(len(own), block)), pa.array([_join(held[a:b]) for a, b in pairs], pa.binary()), pa.array([pack(n[a:b]) for a, b in pairs], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "words", "n"])
+                give_back()
 
     def table(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         lists = [_words(w) for _, w, _ in rows]
@@ -157,7 +151,8 @@ def word_table(blocks: DataFrame) -> DataFrame:
         give_back()
         now, held = None, []
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words", "n"))):
+            for i in range(batch.num_rows):
+                bucket, *row = (batch.column(c)[i].as_py() for c in ("bucket", "block", "words", "n"))
                 if bucket != now and held:
                     yield table(now, held)
                     held = []
