@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.blocks import block_table, pack, unpack
-from graphloom.llm.bpe import _join, split_block as split_texts, word_hashes
+from graphloom.llm.bpe import _join, word_hashes
 from graphloom.llm.common import give_back, id_text, one_thread
 from graphloom.plans.staging import stage_table
 
@@ -37,7 +37,7 @@ from graphloom.plans.staging import stage_table
 #: for all others: so many at least and at most.
 LEAST_OWN, LEAST_NEAR, MOST_NEAR = 256, 64, 256
 #: Bytes of text in a block (or one document, if that is longer), and distinct words that one bucket of the table takes.
-BLOCK_TEXT, BUCKET_WORDS = 4 << 20, 75_000
+BLOCK_TEXT, BUCKET_WORDS = 6 << 20, 75_000
 #: Distances of the neighbours that a network sees, width of the networks, training rounds, each over every window, and
 #: the first and last step size.
 RINGS, WIDTH, ROUNDS, RATES = (1, 2), 16, 16, (0.3, 0.05)
@@ -95,17 +95,26 @@ def word_classes(words: list[str], top: dict[str, int], own: int, ends: int) ->
     return out
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Words of each text, parted by ASCII space: how many, and all of them, coded; the words coded are lower-cased."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    there = pc.greater(pc.binary_length(flat), 0)
+    counts = np.bincount(parent.filter(there).to_numpy().astype(np.int64), minlength=len(texts))
+    coded = flat.filter(there).dictionary_encode()
+    return counts, pa.DictionaryArray.from_arrays(coded.indices, pc.utf8_lower(coded.dictionary))
+
+
 def split_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Words in each text, parted by ASCII space, every word's code, how often each code stands, and the lower-cased
-    words of codes, in order of hash."""
-    counts, coded, _, words = split_texts(texts)
-    low = pc.utf8_lower(words.cast(pa.string())).dictionary_encode()  # words that differ in case alone are one
+    """Words in each text, every word's code, how often each code stands, and the words of codes, in order of hash."""
+    counts, coded = split_words(texts)
+    low = coded.dictionary.dictionary_encode()  # words that differ in case alone are one
     words = low.dictionary.cast(pa.binary())
     hashes = word_hashes(words.to_pylist())
     order = np.argsort(hashes, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    codes = rank[low.indices.to_numpy()][coded]
+    codes = rank[low.indices.to_numpy()][coded.indices.to_numpy()]
     return counts, codes, np.bincount(codes, minlength=len(words)), words.take(pa.array(order))
 
 
@@ -247,7 +256,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, n = key[order], n[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     return key[first], np.add.reduceat(n, first) if len(first) else n
@@ -287,7 +296,7 @@ def window_table(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 counts, codes, near, classes = _unpacked(batch, i, "counts", "codes", "near", "classes")
                 for ring, (key, n) in enumerate(folded(counts, near[codes], classes[codes], sides, targets)):
                     own = (key // targets * 0x9E3779B1 >> 7) % shards
-                    order = np.argsort(own, kind="stable")
+                    order = np.argsort(own.astype(np.uint16) if shards < 1 << 16 else own, kind="stable")  # short numbers sort faster
                     cuts = np.flatnonzero(np.diff(own[order], prepend=-1, append=shards))
                     pairs = list(zip(cuts, cuts[1:]))
                     yield row(own[order][cuts[:-1]].tolist(), [ring] * len(pairs), [key[order[a:b]] for a, b in pairs], [n[order[a:b]] for a, b in pairs])
@@ -473,7 +482,7 @@ def own_counts(counts: np.ndarray, codes: np.ndarray, kinds: int) -> np.ndarray:
     if len(counts) == 1:
         return np.bincount(codes, minlength=kinds)[codes]
     key = np.repeat(np.arange(len(counts)), counts) * kinds + codes
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = np.flatnonzero(np.diff(key[order], prepend=-1))
     out = np.empty(len(key), np.int64)
     many = np.diff(np.append(first, len(key)))
