@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.components import components
 from graphloom.operators.graph import Graph
-from graphloom.plans.staging import drop_table, stage_table
+from graphloom.plans.staging import drop_table, stage_bucketed, stage_table
 
 
 def _need_root(g: Graph, root: int) -> None:
@@ -22,7 +22,7 @@ def pagerank(g: Graph, iterations: int = 10, damping: float = 0.85) -> DataFrame
     """``(id, rank)`` after a fixed number of rounds; what vertices without edges hold is spread over all."""
     n = g.vertices.count()
     deg = stage_table(g.degrees(), "degrees")
-    adj = stage_table(g.adjacency().join(deg.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "shares")
+    adj = stage_bucketed(g.adjacency().join(deg.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "src", "shares")
     now = stage_table(deg.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
     for _ in range(iterations):
         lost = now.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] / n
@@ -37,7 +37,7 @@ def pagerank(g: Graph, iterations: int = 10, damping: float = 0.85) -> DataFrame
 def bfs(g: Graph, root: int) -> DataFrame:
     """``(id, level)``: hops from the root, -1 where it is not reached. An unknown root is an error."""
     _need_root(g, root)
-    adj = stage_table(g.adjacency().select("src", "dst"), "adjacency")
+    adj = stage_bucketed(g.adjacency().select("src", "dst"), "src", "adjacency")
     seen = front = stage_table(g.vertices.where(F.col("id") == root).select("id", F.lit(0).alias("level")), "front")
     level, fronts = 0, [front]
     while not front.isEmpty():
@@ -61,7 +61,7 @@ def sssp(g: Graph, root: int, weighted: bool = True) -> DataFrame:
     _need_root(g, root)
     weight = F.col("weight") if weighted else F.lit(1.0)
     inf = float("inf")
-    adj = stage_table(g.adjacency().select("src", "dst", weight.alias("weight")).where(~F.isnan("weight") & (F.abs("weight") < inf)), "weights")
+    adj = stage_bucketed(g.adjacency().select("src", "dst", weight.alias("weight")).where(~F.isnan("weight") & (F.abs("weight") < inf)), "src", "weights")
     now = stage_table(g.vertices.select("id", F.when(F.col("id") == root, 0.0).otherwise(inf).alias("distance"), (F.col("id") == root).alias("fresh")), "distances")
     for _ in range(g.vertices.count() - 1):
         if now.where("fresh").isEmpty():
@@ -83,7 +83,7 @@ def wcc(g: Graph) -> DataFrame:
 def cdlp(g: Graph, rounds: int = 10) -> DataFrame:
     """``(id, label)`` by synchronous label propagation: the most frequent label of the neighbours, ties to the
     smallest; without neighbours a vertex keeps its own. Counts fold before the shuffle, so hubs do no harm."""
-    adj = stage_table(g.adjacency().select("src", "dst"), "adjacency")
+    adj = stage_bucketed(g.adjacency().select("src", "dst"), "dst", "adjacency")
     now = stage_table(g.vertices.select("id", F.col("id").alias("label")), "labels")
     for _ in range(rounds):
         counts = adj.join(now.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))

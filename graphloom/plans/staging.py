@@ -37,6 +37,19 @@ def stage_table(df: DataFrame, tag: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, key: str, tag: str = "bucketed") -> DataFrame:
+    """Like :func:`stage_table`, dealt by ``key``: joins on it read the table as it lies, round after round, and only
+    what meets it is shuffled. Each task writes one bucket, so there are as many files as partitions are set."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"graphloom_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom/{name}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.table(name)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`stage_table` that nothing reads any more."""
     sc = df.sparkSession.sparkContext

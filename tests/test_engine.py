@@ -12,6 +12,7 @@ from graphloom.operators import kernels, log as mlog, metrics, reads, workload
 from graphloom.operators.components import components
 from graphloom.operators.graph import Graph
 from graphloom.operators.ranking import first_rows, ranked
+from graphloom.plans.staging import stage_bucketed
 from graphloom.sources import files
 from graphloom.streaming.concurrent import Heartbeat, Progress, run_concurrently
 from graphloom.streaming.ingest import ingest, live_edges, read_operations
@@ -413,3 +414,17 @@ def test_tail_rule_bulk_load_and_multi_edges(spark, hand, tmp_path):
     files.write_memory_summary(samples, events, str(tmp_path / "m"), "one")
     got = spark.read.json(str(tmp_path / "m")).first()
     assert (got.label, got.duration_sec, got.peak_rss_kb, got.peak_hwm_mb, got.samples, got.events[0].marker) == ("one", 2.5, 4096, 4.0, 2, "load")
+
+
+def test_bucketed_tables_are_not_shuffled_again(spark):
+    edges = stage_bucketed(spark.range(4000).selectExpr("id % 97 src", "id dst"), "src")
+    assert edges.count() == 4000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = edges.join(spark.range(97).withColumnRenamed("id", "src").withColumn("rank", F.lit(1.0)), "src")
+        assert joined.count() == 4000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert pairs(kernels.pagerank(Graph.from_edges(spark.createDataFrame([(1, 2)], "src long, dst long")), 3)) == {1: 0.5, 2: 0.5}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
