@@ -47,7 +47,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--hotset", type=float, help="share of the edges that rounds write to")
     p.add_argument("--hotset-file", help="the hot set itself")
     p.add_argument("--hotset-update-pct", type=int, default=0, choices=(0, 20, 40, 60, 80, 100))
-    p.add_argument("--churn", "--teseo-churn", action="store_true", help="replace every edge in each round")
+    p.add_argument("--churn", action="store_true", help="replace every edge in each round")
     p.add_argument("--split-update", action="store_true", help="write updates as a delete and an insert")
     p.add_argument("--repeat", type=int, default=1, help="times that all edges are written, directions in turn")
     p.add_argument("--con", action="store_true", help="read while edges are written")

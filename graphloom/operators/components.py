@@ -7,15 +7,24 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.plans.staging import drop_table, stage_table
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges ``(u, v)`` with ``u > v``.
+#: Nodes that are broadcast at most, twice over; each is in more than this part of the links, and in HUB_LINKS.
+HUBS, HUB_LINKS = 10_000, 100_000
+
+
+def _star(edges: DataFrame, large: bool, links: int) -> DataFrame:
+    """One star step over so many edges ``(u, v)`` with ``u > v``.
 
     Large: each node hooks its larger neighbours onto its smallest one. Small: each node hooks its smaller
-    neighbours, and itself, onto the smallest one.
+    neighbours, and itself, onto the smallest one. Links of hubs find the smallest neighbour without a shuffle.
     """
     pairs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    hooked = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    if links > HUB_LINKS:
+        hub = F.col("n") > max(HUB_LINKS, links // HUBS)
+        hubs = F.broadcast(least.where(hub).drop("n"))  # links count twice, so 2 * HUBS rows at most
+        hooked = pairs.join(hubs, "u").unionByName(pairs.join(hubs, "u", "left_anti").join(least.where(~hub).drop("n"), "u"))
+    else:
+        hooked = pairs.join(least, "u")
     if large:
         out = hooked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -38,7 +47,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
     before = mark(now)
     while True:
-        after = stage_table(_star(_star(now, True), False), "stars")
+        after = stage_table(_star(_star(now, True, before[0]), False, before[0]), "stars")
         drop_table(now)
         now, seen = after, mark(after)
         if tuple(seen) == tuple(before):

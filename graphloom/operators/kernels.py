@@ -20,14 +20,15 @@ def default_root(g: Graph) -> int:
 
 def pagerank(g: Graph, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """``(id, rank)`` after a fixed number of rounds; what vertices without edges hold is spread over all."""
-    n = g.vertices.count()
+    n = max(1, g.vertices.count())
     deg = stage_table(g.degrees(), "degrees")
     adj = stage_bucketed(g.adjacency().join(deg.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "src", "shares")
     now = stage_table(deg.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
     for _ in range(iterations):
-        lost = now.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] / n
+        lost = F.broadcast(now.agg((F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0)) / n).alias("lost")))  # one row
         sent = adj.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = now.drop("rank").join(sent, "id", "left").select("id", "degree", (F.lit((1 - damping) / n + damping * lost) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        new = now.drop("rank").join(sent, "id", "left").crossJoin(lost)
+        new = new.select("id", "degree", (F.lit((1 - damping) / n) + damping * F.col("lost") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         after = stage_table(new, "ranks")
         drop_table(now)
         now = after

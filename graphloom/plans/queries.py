@@ -424,6 +424,13 @@ query("mixhash", f"with {mix_sql('a', 'events', 'event_id')}, {mix_sql('b', '(se
     lambda s, d: table(s, d, "events").select("event_id", mix64("event_id").alias("mixed"), edge_rank("user_id", "event_id", F.lit(42)).alias("rank"))
 )
 
+_SIGNED = "case when {x} >= 9223372036854775808 then ({x}::varchar::hugeint - 18446744073709551616::hugeint)::bigint else {x}::bigint end"
+query(
+    "replay_digests",
+    f"{CO}, {mix_sql('c', 'und', 'lo::uhugeint * 4294967296 + hi::uhugeint')}, r as (select mixed as_value, place from ({placed_sql(9, 'lo', 'hi', of='c')})), {mix_sql('p', 'r', 'place')}, "
+    f"o as (select as_value, mixed at_place from p), {mix_sql('w', 'o', 'xor(as_value, at_place)')}, t as (select count(*) n, bit_xor(as_value::ubigint) x, bit_xor(mixed::ubigint) y from w) select n, {_SIGNED.format(x='x')} operations, {_SIGNED.format(x='y')} ordered from t",
+)(lambda s, d: workload.churn_digests(_edges(s, d).withColumn("new_dst", F.col("dst")), 9))
+
 # Files: written from the tables to the shared folder and read again
 
 

@@ -15,6 +15,13 @@ from graphloom.operators.graph import Graph
 from graphloom.operators.log import MutationLog, graph_at
 
 
+# The lines of a heartbeat and of the counters, as programs that read them expect.
+BEAT = "[Heartbeat] ops done: {ops} rate: {rate} ops/s"
+STALL = "[STALL] no progress for {seconds:g}s, ops={ops}"
+PROGRESS = "PROGRESS elapsed_ms={elapsed:.0f} writer_ops={ops} num_tasks={tasks}"
+TASK = "TASK {i} algo={name} started={started} completed={completed} elapsed_us={micros}"
+
+
 @dataclass
 class Progress:
     """What a run has done so far; threads add to it."""
@@ -26,10 +33,10 @@ class Progress:
 
     def frame(self) -> str:
         """The counters as text, a line for the writer and one for each reader."""
-        lines = [f"PROGRESS elapsed_ms={1000 * (time.time() - self.begin):.0f} writer_ops={self.ops} num_tasks={len(self.started)}"]
+        lines = [PROGRESS.format(elapsed=1000 * (time.time() - self.begin), ops=self.ops, tasks=len(self.started))]
         for i, (name, started) in enumerate(list(self.started.items())):
             own = [us for n, us, _ in list(self.runs) if n == name]
-            lines.append(f"TASK {i} algo={name} started={started} completed={len(own)} elapsed_us={sum(own)}")
+            lines.append(TASK.format(i=i, name=name, started=started, completed=len(own), micros=sum(own)))
         return "\n".join(lines) + "\n"
 
 
@@ -47,10 +54,10 @@ class Heartbeat:
         while not self.done.wait(self.every):
             now = self.progress.ops
             still = still + 1 if now == last else 0
-            self.emit(f"[Heartbeat] ops done: {now} rate: {int((now - last) / self.every)} ops/s")
+            self.emit(BEAT.format(ops=now, rate=int((now - last) / self.every)))
             self._write()
             if still >= self.idle:
-                self.emit(f"[STALL] no progress for {self.every * self.idle:g}s, ops={now}")
+                self.emit(STALL.format(seconds=self.every * self.idle, ops=now))
                 still = 0
                 if self.on_stall:
                     self.on_stall()

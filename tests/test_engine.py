@@ -428,3 +428,23 @@ def test_bucketed_tables_are_not_shuffled_again(spark):
         assert pairs(kernels.pagerank(Graph.from_edges(spark.createDataFrame([(1, 2)], "src long, dst long")), 3)) == {1: 0.5, 2: 0.5}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from graphloom.operators import components as module
+
+    monkeypatch.setattr(module, "HUB_LINKS", 20)
+    monkeypatch.setattr(module, "HUBS", 10)
+    rng = np.random.default_rng(4)
+    made = [(0 if i % 3 == 0 else 1000 + int(rng.integers(0, 40)), int(rng.integers(1, 900))) for i in range(500)] + [(5000 + i, 6000) for i in range(99)] + [(7000, 7001)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in made:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert pairs(components(spark.createDataFrame(made, "src long, dst long"))) == {x: find(x) for x in list(root)}
