@@ -46,9 +46,12 @@ def triggers(raw: bytes) -> np.ndarray:
 
 
 def signature(raw: bytes, ends: list[int]) -> str:
-    """A character for each chunk."""
+    """A character for each chunk, or COMMON where there are fewer chunks than that, as in texts that repeat one line:
+    else two such texts would often be alike by chance."""
     ends = [e for e in ends if e < len(raw)] + [len(raw)]
-    return "".join(ALPHABET[xxh32_intdigest(raw[a:b]) & 63] for a, b in zip([0, *ends], ends))
+    width = 1 if len(ends) >= COMMON else COMMON
+    hashes = (xxh32_intdigest(raw[a:b]) for a, b in zip([0, *ends], ends))
+    return "".join(ALPHABET[h >> 6 * i & 63] for h in hashes for i in range(width))
 
 
 def fingerprint(text: str) -> str:

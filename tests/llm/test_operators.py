@@ -533,7 +533,10 @@ def test_piecewise_signatures_cover_the_whole_text():
         assert len(short) <= len(long) <= piecewise.MAX_SIGNATURE
         raw = (head + "the end of it").encode()
         ends = [0, *(i + 1 for i in np.flatnonzero(piecewise.triggers(raw) < (1 << 32) // int(size)) if i + 1 < len(raw)), len(raw)]
-        assert long == "".join(piecewise.ALPHABET[piecewise.xxh32_intdigest(raw[a:b]) & 63] for a, b in zip(ends, ends[1:]))
+        width = 1 if len(ends) > piecewise.COMMON else piecewise.COMMON
+        assert long == "".join(piecewise.ALPHABET[piecewise.xxh32_intdigest(raw[a:b]) >> 6 * i & 63] for a, b in zip(ends, ends[1:]) for i in range(width))
+    made = [piecewise.fingerprint(f"{a}{b} " * 700) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    assert len(set(made)) == len(made) and sum(piecewise.likeness(x, y) > 0.5 for x in made[::7] for y in made[::7] if x != y) == 0
 
 
 def test_simhash(docs, empty):
